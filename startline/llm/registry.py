@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from startline.llm import op04_exact_dedup as op4
+from startline.llm import op05_decontaminate as op5
 from startline.llm import op06_mixture as op6
+from startline.llm import op10_simhash as op10
 
 
 def queries() -> dict:
@@ -11,7 +13,9 @@ def queries() -> dict:
 
     return {
         "op4_exact_dedup": op4.op4_exact_dedup,
+        "op5_decontaminate": op5.op5_decontaminate,
         "op6_mix_sources": op6.op6_mix_sources,
+        "op10_simhash": op10.op10_simhash,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -19,5 +23,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op4_exact_dedup": op4.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op4_exact_dedup": op4.SQL, "op5_decontaminate": op5.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in found.items() if v}
