@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from startline.llm import op01_substring_dedup as op1
 from startline.llm import op04_exact_dedup as op4
 from startline.llm import op05_decontaminate as op5
 from startline.llm import op06_mixture as op6
@@ -12,6 +13,7 @@ def queries() -> dict:
     import corpus_pipeline
 
     return {
+        "op1_substring_dedup": op1.op1_substring_dedup,
         "op4_exact_dedup": op4.op4_exact_dedup,
         "op5_decontaminate": op5.op5_decontaminate,
         "op6_mix_sources": op6.op6_mix_sources,
@@ -23,5 +25,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op4_exact_dedup": op4.SQL, "op5_decontaminate": op5.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op1_substring_dedup": op1.SQL, "op4_exact_dedup": op4.SQL, "op5_decontaminate": op5.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in found.items() if v}
