@@ -19,12 +19,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from startline.llm.common import materialise, pieces, scratch, shuffle_width, worker_cache
+from startline.llm.common import materialise, pieces, scratch, shuffle_width, target_file, worker_cache
 
 BLOCK, PERCENTILE, END = 4096, 0.90, 0
 MAGIC, VERSION = b"PFOR", 1
@@ -180,15 +179,6 @@ class Encoder:
         return [np.frombuffer(b"".join([known[p] for p in parts]), "<u4") for parts in cut]
 
 
-def target_file(folder: str, name: str):
-    """Opens a new file in a folder that executors share; (stream, function that puts it in place)."""
-    fs, path = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
-    fs.create_dir(path, recursive=True)
-    context = TaskContext.get()
-    draft = f"{path}/_draft-{name}-{context.taskAttemptId() if context else 0}"
-    return fs.open_output_stream(draft), lambda: fs.move(draft, f"{path}/{name}")
-
-
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, files: int | None = None) -> DataFrame:
     """Writes all texts in ascending identifier order; the manifest: name, docs, ids, first, last."""
     files = files or shuffle_width(docs.sparkSession)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from startline.llm import op01_substring_dedup as op1
+from startline.llm import op02_warc as op2
 from startline.llm import op04_exact_dedup as op4
 from startline.llm import op05_decontaminate as op5
 from startline.llm import op06_mixture as op6
@@ -16,6 +17,7 @@ def queries() -> dict:
 
     return {
         "op1_substring_dedup": op1.op1_substring_dedup,
+        "op2_warc": op2.op2_warc,
         "op4_exact_dedup": op4.op4_exact_dedup,
         "op5_decontaminate": op5.op5_decontaminate,
         "op6_mix_sources": op6.op6_mix_sources,
@@ -29,5 +31,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op1_substring_dedup": op1.SQL, "op4_exact_dedup": op4.SQL, "op5_decontaminate": op5.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op1_substring_dedup": op1.SQL, "op2_warc": op2.SQL, "op4_exact_dedup": op4.SQL, "op5_decontaminate": op5.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in found.items() if v}
