@@ -7,6 +7,7 @@ from startline.llm import op02_warc as op2
 from startline.llm import op04_exact_dedup as op4
 from startline.llm import op05_decontaminate as op5
 from startline.llm import op06_mixture as op6
+from startline.llm import op07_toxicity as op7
 from startline.llm import op08_language_id as op8
 from startline.llm import op09_token_ids as op9
 from startline.llm import op10_simhash as op10
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op4_exact_dedup": op4.op4_exact_dedup,
         "op5_decontaminate": op5.op5_decontaminate,
         "op6_mix_sources": op6.op6_mix_sources,
+        "op7_toxicity": op7.op7_toxicity,
         "op8_language_id": op8.op8_language_id,
         "op9_token_ids": op9.op9_token_ids,
         "op10_simhash": op10.op10_simhash,
