@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from startline.llm import op01_substring_dedup as op1
 from startline.llm import op02_warc as op2
+from startline.llm import op03_hmm as op3
 from startline.llm import op04_exact_dedup as op4
 from startline.llm import op05_decontaminate as op5
 from startline.llm import op06_mixture as op6
@@ -19,6 +20,7 @@ def queries() -> dict:
     return {
         "op1_substring_dedup": op1.op1_substring_dedup,
         "op2_warc": op2.op2_warc,
+        "op3_hmm_score": op3.op3_hmm_score,
         "op4_exact_dedup": op4.op4_exact_dedup,
         "op5_decontaminate": op5.op5_decontaminate,
         "op6_mix_sources": op6.op6_mix_sources,
