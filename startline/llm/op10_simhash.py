@@ -21,6 +21,8 @@ from startline.llm.common import byte_values, materialise, pieces, salt_of
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 SALTS, MEETING = 64, 16384
+#: Any number over DISTANCE finds the same links; six make 15 keys of some 21 bits, eight 70 keys of 32 bits.
+BLOCKS = 6
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -58,14 +60,6 @@ def block_masks(blocks: int, distance: int) -> list[int]:
     return [sum(c) for c in combinations(parts, blocks - distance)]
 
 
-def blocks_for(distinct: int, distance: int) -> int:
-    """The fewest blocks with which unrelated fingerprints seldom meet; any choice finds the same links."""
-    blocks = distance + 1
-    while blocks < distance + 4 and distinct > 16 << (64 * (blocks - distance) // blocks):
-        blocks += 1
-    return blocks
-
-
 def spanning_links(a: np.ndarray, b: np.ndarray | None, distance: int) -> list[tuple[int, int]]:
     """Links (positions in a, then b) that join all of a, or of a and b across, that lie within the distance."""
     every = a if b is None else np.concatenate((a, b))
@@ -90,9 +84,8 @@ def spanning_links(a: np.ndarray, b: np.ndarray | None, distance: int) -> list[t
     return links
 
 
-def close_links(distinct: DataFrame, distance: int = DISTANCE, blocks: int | None = None, meeting: int = MEETING) -> DataFrame:
+def close_links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, meeting: int = MEETING) -> DataFrame:
     """Links (a, b) between distinct fingerprints `fp` that span every component of the close pairs."""
-    blocks = blocks or blocks_for(distinct.count(), distance)
     meets = distinct.select(
         "fp", F.explode(F.array(*[F.struct(F.lit(n).cast("int").alias("table"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for n, m in enumerate(block_masks(blocks, distance))])).alias("m")
     ).select("fp", "m.table", "m.key")
