@@ -1,21 +1,65 @@
-"""From documents to packed token identifiers: five stages, each one operator of startline.llm."""
+"""From documents to packed token identifiers: five stages, each one operator of startline.llm.
+
+Every stage takes what its predecessor kept and returns the columns of documents; the last returns one row for each
+encoded document. Repeated doc_ids: near-dedup keeps one row of each; rows without doc_id cannot be told apart and
+end there. Columns other than doc_id, text, lang and source are passed on as they are.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from startline.llm.common import materialise
+from startline.llm.op05_decontaminate import decontaminate
+from startline.llm.op06_mixture import mix_sources
+from startline.llm.op08_language_id import language_id
+from startline.llm.op09_token_ids import default_tokenizer, token_ids
+from startline.llm.op10_simhash import simhash_components
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language is rejected: no letters, or two languages within the margin."""
+    return language_id(docs).where("NOT lang_rejected").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of every group of near-duplicates."""
+    stay = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
 
-STAGES: list = []
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark passage."""
+    hit = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit > 0").select("doc_id")
+    return docs.join(hit.distinct(), "doc_id", "left_anti")
 
-#: Not expressible in SQL: language models, fingerprints and tokenizers; tests/llm holds brute-force versions.
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as many times as the mix takes it."""
+    mixed = mix_sources(docs, carry=tuple(docs.columns)).where("copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("row.*")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes token files and reads them back."""
+    return token_ids(docs, default_tokenizer()).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources to target weights", mix),
+    ("token-ID / binary output", encode),
+]
+
+#: SQL has neither the compression, the fingerprints nor the tokenizer; tests/llm holds a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from startline.llm.common import materialise
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for n, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
-            docs = materialise(docs, f"stage-{n}")
-    return docs
+    for n, (_, stage) in enumerate(STAGES[:-1]):
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{n}")
+    return STAGES[-1][1](spark, docs, sf_dir)
