@@ -1 +1 @@
-
+"""Messages as streams."""
