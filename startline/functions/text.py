@@ -131,6 +131,14 @@ def key_values(pairs: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def keyword_places(low: Column, word: str) -> Column:
+    """Array of the positions (from 0) of a word that cannot overlap itself."""
+    # what is split off before each hit, added up
+    sizes = F.transform(F.split(low, "\\Q" + word + "\\E", -1), lambda p: F.length(p))
+    before = F.slice(sizes, 1, F.size(sizes) - 1)
+    return F.transform(before, lambda _, i: F.aggregate(F.slice(before, 1, i + 1), F.lit(0), lambda s, x: s + x) + i * len(word))
+
+
 def excerpt(html: Column) -> Column:
     """Short pages whole; of long ones the head and a window about every keyword, joined, up to the most.
 
@@ -138,14 +146,7 @@ def excerpt(html: Column) -> Column:
     """
     low = F.lower(html)
     span = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
-    hits = []
-    for word in MORE_KEYWORDS:
-        # the cumulative length of what is split off before each hit, overlaps of a keyword with itself being impossible
-        parts = F.split(low, "\\Q" + word + "\\E", -1)
-        ends = F.transform(F.slice(F.transform(parts, lambda p: F.length(p)), 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda n: n)
-        at = F.transform(ends, lambda n, i, ends=ends, word=word: F.aggregate(F.slice(ends, 1, i + 1), F.lit(0), lambda s, x: s + x) + i * len(word))
-        hits.append(at)
-    found = F.flatten(F.array(*hits))
+    found = F.flatten(F.array(*[keyword_places(low, word) for word in MORE_KEYWORDS]))
     windows = F.array_sort(
         F.concat(F.array(span(F.lit(0), F.lit(EXCERPT_HEAD))), F.transform(found, lambda p: span(F.greatest(p - EXCERPT_BEFORE, F.lit(0)), F.least(p + EXCERPT_AFTER, F.length(html)))))
     )

@@ -1,11 +1,17 @@
-"""Every query of the engine by name."""
+"""Every query of the engine by name, with the SQL that it must agree with."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from startline.plans import crawl_queries, extract_queries, report_queries
+
+MODULES = (report_queries, crawl_queries, extract_queries)
+
+
+def queries() -> dict[str, Callable]:
+    return {name: q for m in MODULES for name, (q, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
