@@ -138,10 +138,8 @@ class SnapshotTable:
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _current(self) -> str | None:
-        pointer = self._path(f"{self.path}/_current")
-        if not self._fs.exists(pointer):
-            return None
-        return self.spark.read.text(pointer.toString() + "/*").first()[0] if self._fs.getFileStatus(pointer).isDirectory() else self.spark.read.text(pointer.toString()).first()[0]
+        pointer = self._path(f"{self.path}/current.txt")
+        return self.spark.read.text(pointer.toString()).first()[0] if self._fs.exists(pointer) else None
 
     def read(self) -> DataFrame | None:
         now = self._current()
@@ -150,10 +148,11 @@ class SnapshotTable:
     def replace(self, rows: DataFrame) -> None:
         name = f"snapshot-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{name}")
-        draft, pointer = self._path(f"{self.path}/draft-{name}"), self._path(f"{self.path}/_current")
+        draft, pointer = self._path(f"{self.path}/draft-{name}"), self._path(f"{self.path}/current.txt")
         out = self._fs.create(draft)
         out.write(bytearray(name.encode()))
         out.close()
-        if self._fs.exists(pointer):
-            self._fs.delete(pointer, False)
-        self._fs.rename(draft, pointer)
+        fs = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        modes = self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+        modes[0] = fs.Options.Rename.OVERWRITE
+        fs.FileContext.getFileContext(self._fs.getUri(), self._fs.getConf()).rename(draft, pointer, modes)
