@@ -1,6 +1,7 @@
 import os
 import sys
 
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -43,7 +44,7 @@ def duck():
 
 def plain(value):
     """Values of either engine in one form."""
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return "NULL"
     if isinstance(value, bool):
         return str(value)
