@@ -103,7 +103,7 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     headers: dict[str, str] = {}
     for line in lines[1:]:
         name, colon, value = line.partition(":")
-        if not colon or not name or name != name.strip():
+        if not colon or not re.fullmatch(r"[!#-'*+.^-z|~0-9A-Z-]+", name):
             raise WarcError(f"not a header: {line[:80]!r}")
         headers[name.lower()] = value.strip()
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):

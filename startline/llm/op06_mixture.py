@@ -103,9 +103,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     targets = source_targets(by_length.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, cap)
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf["size"] > 0].sort_values("size")
-        if not len(pdf):
-            return pd.DataFrame({"source": [], "size": [], "copies": [], "more": []})
+        pdf = pdf.sort_values("size")
         whole, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
         copies = min(int(target // whole), cap)
         more = fit_budget(pdf["size"].tolist(), pdf["n"].tolist(), round(target - copies * whole)) if copies < cap else [0] * len(pdf)
@@ -113,7 +111,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     same_source = F.col("l.source").eqNullSafe(F.col("t.source"))
     lengths = by_length.alias("l").join(targets.alias("t"), same_source).select("l.source", "l.size", "l.n", "t.source_size", "t.target")
-    plans = lengths.groupBy("source").applyInPandas(plan, "source string, size long, copies long, more long")
+    plans = lengths.where("size > 0").groupBy("source").applyInPandas(plan, "source string, size long, copies long, more long")
     # a document is taken once more if its rank in the seeded order of its source and length is within `more`
     run = Window.partitionBy("source", "size").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = counts.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0)))
