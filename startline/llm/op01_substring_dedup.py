@@ -24,6 +24,8 @@ from startline.llm.common import byte_values, pieces, shuffle_width
 WINDOW = 50
 #: Windows settled together in a batch, and bytes of text hashed at a time.
 BATCH_WINDOWS, BATCH_BYTES = 2_000_000, 2 << 20
+#: Of packed runs: identifier, mark, first window, end.
+KINDS = (np.int64, np.int32, np.int32, np.int32)
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 M64 = (1 << 64) - 1
 
@@ -110,16 +112,14 @@ def runs(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return doc[first], pos[first], pos[last] + 1
 
 
-OUT = ["doc_id", "mark", "starts", "ends"]
-
-
-def _replies(ids, marks, doc, pos):
-    """A record batch of the marked windows: a row for each document with its runs."""
-    d, a, b = runs(doc, pos)
-    own, at = np.unique(d, return_index=True)
-    offsets = pa.array(np.append(at, len(d)).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (a, b)]
-    return pa.RecordBatch.from_arrays([pa.array(ids[own], pa.int64()), pa.array(marks[own], pa.int32()), *lists], OUT)
+def _replies(columns: list[np.ndarray], buckets: int, tool):
+    """Runs (identifier, mark, start, end) packed by bucket of the identifier: one row for each bucket."""
+    bucket = mix(columns[0].astype(np.int64).view(np.uint64)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    own, at = np.unique(bucket[order], return_index=True)
+    ends = np.append(at[1:], len(order))
+    packed = [[pack(np.ascontiguousarray(c[order[x:y]]), tool) for c in columns] for x, y in zip(at.tolist(), ends.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(packed, pa.list_(pa.binary()))], ["bucket", "packed"])
 
 
 def repeated_windows(rows: DataFrame, window: int, ranges: int) -> DataFrame:
@@ -179,8 +179,8 @@ def repeated_windows(rows: DataFrame, window: int, ranges: int) -> DataFrame:
             yield from send()
 
     def match(batches):
-        """Each task holds whole ranges, one after the other."""
-        held, at = [], None
+        """Each task holds whole ranges, one after the other; repeats go to the bucket of their document."""
+        held, at, tool = [], None, zstandard.ZstdCompressor(level=1)
 
         def finish():
             if not held:
@@ -197,15 +197,15 @@ def repeated_windows(rows: DataFrame, window: int, ranges: int) -> DataFrame:
             again = np.zeros(len(doc), bool)
             again[order[repeat]] = True
             if again.any():
-                yield _replies(ids, marks, doc[again], pos[again])
+                order = np.nonzero(again)[0]
+                order = order[np.lexsort((pos[order], doc[order]))]
+                d, a, b = runs(doc[order], pos[order])
+                yield _replies([ids[d], marks[d], a.astype(np.int32), b.astype(np.int32)], ranges, tool)
 
         for batch in batches:
             for part, settled, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if settled:
-                    ids, marks, a, b = unpack(packed[0], np.int64), unpack(packed[1], np.int32), unpack(packed[2], np.int32), unpack(packed[3], np.int32)
-                    head = np.nonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1]))))[0]
-                    offsets = pa.array(np.append(head, len(ids)).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[head]), pa.array(marks[head]), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (a, b))], OUT)
+                    yield _replies([unpack(x, k) for x, k in zip(packed, KINDS, strict=True)], ranges, tool)
                     continue
                 if part != at:
                     yield from finish()
@@ -219,9 +219,38 @@ def repeated_windows(rows: DataFrame, window: int, ranges: int) -> DataFrame:
                 held.append((ids, marks, doc, pos, np.frombuffer(packed[4], np.uint64)))
         yield from finish()
 
+    def merge(batches):
+        """Each task holds whole buckets: the runs of a document as one row."""
+        held, at = [], None
+
+        def finish():
+            if not held:
+                return
+            ids, marks, a, b = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((a, marks, ids))
+            ids, marks, a, b = ids[order], marks[order], a[order], b[order]
+            # the furthest end so far in each document; runs that overlap or touch become one
+            own = np.concatenate(([0], np.cumsum((ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])))) << 32
+            reach = np.maximum.accumulate(b + own) - own
+            first = np.nonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (a[1:] > reach[:-1]))))[0]
+            ids, marks, a, b = ids[first], marks[first], a[first], reach[np.append(first[1:], len(ids)) - 1].astype(np.int32)
+            own = np.nonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1]))))[0]
+            offsets = pa.array(np.append(own, len(ids)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(marks[own]), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (a, b))], ["doc_id", "mark", "starts", "ends"])
+
+        for batch in batches:
+            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != at:
+                    yield from finish()
+                    held, at = [], bucket
+                held.append([unpack(x, k) for x, k in zip(packed, KINDS, strict=True)])
+        yield from finish()
+
     dealt = rows.mapInArrow(hash_all, "part int, settled boolean, packed array<binary>")
     dealt = dealt.repartition(ranges, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(match, "doc_id long, mark int, starts array<int>, ends array<int>")
+    replies = dealt.mapInArrow(match, "bucket int, packed array<binary>")
+    replies = replies.repartition(ranges, "bucket").sortWithinPartitions("bucket")
+    return replies.mapInArrow(merge, "doc_id long, mark int, starts array<int>, ends array<int>")
 
 
 def marked(key: np.ndarray, rank: np.ndarray, extra: np.ndarray | None = None) -> np.ndarray:
@@ -250,7 +279,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("mark"), F.col(text_col).cast("string").alias("text"))
     found = repeated_windows(rows.where("doc_id IS NOT NULL AND text IS NOT NULL"), window, shuffle_width(docs.sparkSession))
-    found = found.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     both = rows.join(found.hint("shuffle_hash"), ["doc_id", "mark"], "left").select("doc_id", "text", "starts", "ends")
 
     def cut(batches):
