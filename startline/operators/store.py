@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -125,6 +126,17 @@ def grow_schema(rows: DataFrame, wanted: T.StructType, defaults: dict[str, objec
     return rows, left_out
 
 
+def settle(rows: DataFrame) -> DataFrame:
+    """rows computed once into the checkpoint folder that the cluster shares; a temporary one only in local mode."""
+    sc = rows.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        root = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="startline-"))
+    return rows.checkpoint()
+
+
 class SnapshotTable:
     """A table whose readers see whole snapshots: each is written beside the others, then a pointer file is replaced.
 
