@@ -43,7 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes token files and reads them back."""
-    return token_ids(docs, default_tokenizer()).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_ids(docs, default_tokenizer(), ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 STAGES = [

@@ -13,9 +13,9 @@ All numbers are little-endian.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,23 +28,26 @@ from startline.llm.common import materialise, pieces, scratch, shuffle_width, ta
 BLOCK, PERCENTILE, END = 4096, 0.90, 0
 MAGIC, VERSION = b"PFOR", 1
 BLOCK_HEADER = "<IBHI"
-#: Pieces of text whose identifiers a worker remembers; beyond, it starts again.
-REMEMBERED = 1_500_000
+#: Parts of text whose identifiers a worker remembers in each generation, and new parts encoded in one string.
+REMEMBERED, TOGETHER = 400_000, 200
+#: Marks that are parts of their own behind a word.
+MARKS = tuple(",.;:!?")
+#: The line end's identifier in this vocabulary.
+LINE = 198
 
 
 def pack_bits(values: np.ndarray, width: int) -> bytes:
     """The low `width` bits of each value, least significant bit first."""
-    if not width:
-        return b""
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    return np.packbits(bits.astype(np.uint8).reshape(-1), bitorder="little").tobytes()
+    kind = "<u2" if width <= 16 else "<u4"
+    bits = np.unpackbits(values.astype(kind).view(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
+    return np.packbits(bits[:, :width], bitorder="little").tobytes()
 
 
 def unpack_bits(data: bytes, width: int, n: int) -> np.ndarray:
-    if not width:
-        return np.zeros(n, np.uint32)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width, bitorder="little").reshape(n, width)
-    return bits.astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
+    kind, whole = ("<u2", 16) if width <= 16 else ("<u4", 32)
+    bits = np.zeros((n, whole), np.uint8)
+    bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width, bitorder="little").reshape(n, width)
+    return np.packbits(bits, axis=1, bitorder="little").view(kind).reshape(-1).astype(np.uint32)
 
 
 def encode_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
@@ -104,7 +107,7 @@ def write_file(out, docs, block: int = BLOCK) -> tuple[int, int]:
     return len(ids), total
 
 
-def read_file(data: bytes):
+def read_file(data):
     """Yields (doc_id, identifiers) in file order; raises ValueError if the file is not whole."""
     view = memoryview(data)
     if bytes(view[:5]) != MAGIC + bytes([VERSION]):
@@ -132,51 +135,121 @@ def read_file(data: bytes):
         held, have = [flat[n:]], have - n
 
 
-AFTER_SPACE = re.compile(r"\s ")
+class Recent(dict):
+    """A bounded memory of two generations: what is used stays, what is not is forgotten."""
 
+    def __init__(self, most: int = REMEMBERED):
+        super().__init__()
+        self.most, self.old = most, {}
 
-def spaced_pieces(text: str) -> list[str]:
-    """Cuts a text before spaces that follow a non-space.
+    def renew(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
 
-    A byte-level BPE of this kind never joins a non-space to a space after it, so pieces are encoded alone with the
-    same result as in the whole text.
-    """
-    parts = text.split(" ")
-    if not AFTER_SPACE.search(text):
-        return [parts[0], *(" " + p for p in parts[1:])] if text[:1] != " " else [" " + p for p in parts[1:]]
-    out = [parts[0]]
-    for p in parts[1:]:
-        if not out[-1] or out[-1][-1].isspace():
-            out[-1] += " " + p
-        else:
-            out.append(" " + p)
-    return out
+    def absent(self, keys) -> list:
+        """The keys that neither generation has; those that the old one has move to the new."""
+        out = []
+        for k in keys:
+            if k not in self:
+                if k in self.old:
+                    self[k] = self.old[k]
+                else:
+                    out.append(k)
+        return out
 
 
 class Encoder:
-    """Encodes texts with a byte-level BPE tokenizer file, remembering the identifiers of recurring pieces."""
+    """Encodes texts with a byte-level BPE tokenizer file, remembering the identifiers of recurring parts.
+
+    Such a tokenizer first cuts a text by a pattern and then encodes each part alone. No part reaches across the
+    border from a non-space to a space, so a text is cut at its single spaces and the pieces are looked up; texts
+    with a space after other white space are cut by the pattern. Every new part goes through the library.
+    """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
+        self.pattern = regex.compile(PATTERN)
+        self.line = self.ids_of("\n")
+        self.marks = {m: self.ids_of(m) for m in MARKS}
+        self.parts, self.pieces = Recent(REMEMBERED // 4), Recent(REMEMBERED)
+
+    def ids_of(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def together(self, parts: list[str]) -> list[bytes]:
+        """Encodes parts without line ends, many to a string with line ends between them, which never join a part."""
+        if self.line != np.array([LINE], "<u4").tobytes():  # another vocabulary
+            return [self.ids_of(p) for p in parts]
+        groups = [parts[i : i + TOGETHER] for i in range(0, len(parts), TOGETHER)]
+        out = []
+        for at in range(0, len(groups), 50):
+            some = groups[at : at + 50]
+            for e in self.tokenizer.encode_batch_fast(["\n".join(g) + "\n" for g in some], add_special_tokens=False):
+                ids = np.array(e.ids, "<u4")
+                ends = np.nonzero(ids == LINE)[0] * 4
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)]
+        if len(out) != len(parts):
+            raise ValueError("a part was joined to a line end")
+        return out
+
+    def by_pattern(self, texts: list[str]) -> list[bytes]:
+        """Encodes texts by the tokenizer's own pattern, part by part."""
+        self.parts.renew()
+        cut = [self.pattern.findall(t) for t in texts]
+        new = self.parts.absent(set(chain.from_iterable(cut)))
+        plain = [p for p in new if not p.isspace() and "\n" not in p]
+        self.parts.update((p, self.ids_of(p)) for p in new if p.isspace() or "\n" in p)
+        self.parts.update(zip(plain, self.together(plain), strict=True))
+        find = self.parts.__getitem__
+        return [b"".join(map(find, parts)) for parts in cut]
+
+    def learn(self, new: list[str]) -> None:
+        """Adds pieces, which follow a space; None for those that a space may not follow.
+
+        A word of letters is one part; a mark behind it is another.
+        """
+        pieces, words, marked, odd = self.pieces, [], [], []
+        for p in new:
+            if p.isalpha():
+                words.append(p)
+            elif not p or p[-1].isspace():
+                pieces[p] = None
+            elif p[-1] in MARKS and p[:-1].isalpha():
+                marked.append(p)
+            else:
+                odd.append(p)
+        words += set(pieces.absent({p[:-1] for p in marked})).difference(words)
+        pieces.update(zip(words, self.together([" " + w for w in words]), strict=True))
+        pieces.update((p, pieces[p[:-1]] + self.marks[p[-1]]) for p in marked)
+        pieces.update(zip(odd, self.by_pattern([" " + p for p in odd]), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [spaced_pieces(t) for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known = self.known = {"": b""}
-        missing = list({p for parts in cut for p in parts if p not in known})
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[p] for p in parts]), "<u4") for parts in cut]
+        cut = [t.split(" ") for t in texts]
+        heads = self.by_pattern([c.pop(0) for c in cut])
+        self.pieces.renew()
+        self.learn(self.pieces.absent(set(chain.from_iterable(cut))))
+        find, out, odd = self.pieces.__getitem__, [], []
+        for n, (text, parts, head) in enumerate(zip(texts, cut, heads, strict=True)):
+            try:
+                out.append(head + b"".join(map(find, parts)))
+                if parts and text[: text.index(" ")][-1:].isspace():
+                    odd.append(n)
+            except TypeError:
+                out.append(b"")
+                odd.append(n)
+        for n, raw in zip(odd, self.by_pattern([texts[n] for n in odd]), strict=True):
+            out[n] = raw
+        return [np.frombuffer(raw, "<u4") for raw in out]
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, files: int | None = None) -> DataFrame:
@@ -193,7 +266,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str
         tail = np.array([end], "<u4")
 
         def encoded(first):
-            for batch in pieces(_chain(first, batches), 4 << 20):
+            for batch in pieces(_chain(first, batches), 8 << 20):
                 ids = batch.column(0).to_pylist()
                 span[:] = [span[0] if span else ids[0], ids[-1]]
                 for doc_id, tokens in zip(ids, encoder.encode(batch.column(1).to_pylist()), strict=True):
@@ -218,8 +291,8 @@ def _chain(first, rest):
     yield from rest
 
 
-def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids of every document, from the files."""
+def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame, ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and ids (null if not asked for) of every document, from the files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder)
     before = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     offsets = manifest.select("name", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
@@ -229,11 +302,11 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
         for batch in batches:
             for start, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows, size = [], 0
-                for doc_id, ids in read_file(content.as_buffer().to_pybytes()):
-                    raw = ids.astype("<u4").tobytes()
-                    rows.append((doc_id, start, len(ids), zlib.crc32(raw), raw))
-                    start += len(ids)
-                    size += len(raw)
+                for doc_id, found in read_file(content.as_buffer()):
+                    raw = found.astype("<u4").tobytes()
+                    rows.append((doc_id, start, len(found), zlib.crc32(raw), raw if ids else None))
+                    start += len(found)
+                    size += len(raw) if ids else 64
                     if size > 8 << 20:
                         yield _decoded(rows)
                         rows, size = [], 0
@@ -248,7 +321,7 @@ def _decoded(rows):
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
 
-def token_ids(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
+def token_ids(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = END, ids: bool = True) -> DataFrame:
     """Encodes, writes, reads back: one row for each document of the files with its identifiers.
 
     Null text counts as empty: only the end identifier. Rows without identifier have no place in the order and are
@@ -260,7 +333,7 @@ def token_ids(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col
     manifest = write_token_files(docs, folder, tokenizer, id_col, text_col, end)
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
-    return read_token_files(spark, folder, manifest)
+    return read_token_files(spark, folder, manifest, ids)
 
 
 def default_tokenizer() -> str:
@@ -270,5 +343,5 @@ def default_tokenizer() -> str:
 
 
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = token_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_tokenizer())
+    found = token_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_tokenizer(), ids=False)
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
