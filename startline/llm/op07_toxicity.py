@@ -21,7 +21,7 @@ from startline.llm.common import byte_values, materialise, pieces, worker_cache
 from startline.llm.op05_decontaminate import words_of
 from startline.llm.op08_language_id import bounded_sample, remainder
 
-SAMPLE, TERMS, NEIGHBOURS, BLOCK, SEED = 3000, 4096, 15, 64, 7
+SAMPLE, TERMS, NEIGHBOURS, BLOCK, SEED = 3000, 512, 15, 64, 7
 BEGINNINGS = (4, 5, 6)
 #: Likelihood-ratio statistic that a term must reach: one chance in a hundred thousand.
 LEAST_G2 = 19.5
@@ -58,39 +58,40 @@ class TermIndex(dict):
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples in blocks; nearest() is exact."""
+    """Unit vectors of examples in blocks; nearest() is exact.
+
+    A block holds its postings as rows of term weights, one column for each example. Blocks are scored in the order
+    of their bounds, in growing groups, until the next bound is below the k-th cosine.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
         self.n, self.block = len(vectors), block
-        n_blocks = max(1, -(-self.n // block))
-        self.most = np.zeros((terms, n_blocks))
-        postings: dict[tuple[int, int], list] = {}
+        self.blocks = np.zeros((max(1, -(-self.n // block)), terms, block), np.float32)
         for doc, (idx, weight) in enumerate(vectors):
-            for t, w in zip(idx.tolist(), weight.tolist(), strict=True):
-                postings.setdefault((t, doc // block), []).append((doc, w))
-                self.most[t, doc // block] = max(self.most[t, doc // block], w)
-        self.postings = {k: (np.array([d for d, _ in v]), np.array([w for _, w in v])) for k, v in postings.items()}
+            self.blocks[doc // block, idx, doc % block] = weight
+        self.most = np.ascontiguousarray(self.blocks.max(axis=2).T)
 
     def nearest(self, idx: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest with a common term; equal cosines by position."""
+        weight = weight.astype(np.float32)
         bound = weight @ self.most[idx]
-        ids, sims, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(ids) == k and bound[b] < kth - 1e-12):
+        order = np.argsort(-bound, kind="stable")
+        ids, sims, at, group = np.zeros(0, np.int64), np.zeros(0, np.float32), 0, 2
+        while at < len(order):
+            some = order[at : at + group]
+            least = sims[-1] - 1e-5 if len(sims) == k else 1e-9
+            some = some[bound[some] >= least]
+            if not len(some):
                 break
-            score = np.zeros(self.block)
-            for t, w in zip(idx.tolist(), weight.tolist(), strict=True):
-                found = self.postings.get((t, b))
-                if found is not None:
-                    score[found[0] - b * self.block] += w * found[1]
-            if 0 <= without - b * self.block < self.block:
-                score[without - b * self.block] = 0
-            here = np.nonzero(score > 0)[0]
-            ids, sims = np.concatenate((ids, here + b * self.block)), np.concatenate((sims, score[here]))
-            order = np.lexsort((ids, -np.round(sims, 12)))[:k]
-            ids, sims = ids[order], sims[order]
-            kth = sims[-1] if len(sims) == k else 0.0
-        return ids, sims
+            found = np.matmul(weight, self.blocks[some[:, None], idx])
+            row, column = np.nonzero(found > 1e-9)
+            here = some[row] * self.block + column
+            keep = here != without
+            ids, sims = np.concatenate((ids, here[keep])), np.concatenate((sims, found[row, column][keep]))
+            best = np.lexsort((ids, -np.round(sims, 5)))[:k]
+            ids, sims = ids[best], sims[best]
+            at, group = at + group, group * 2
+        return ids, sims.astype(float)
 
 
 def unit(idx: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
