@@ -4,8 +4,8 @@ Symbols. The OWN commonest training tokens are symbols of their own; every other
 class by its last three bytes. A state emits a symbol; a class symbol then emits one of its words by add-0.1
 smoothed counts with room for one unknown word, so the model is a distribution over all sequences.
 
-Counts. Words are counted over all training documents. The COMMON commonest counts (a bounded number) go to every
-task; the rest of a document's words meet their counts in a join, one row for each document and rare word.
+Counts. Words are counted over all training documents. At most COMMON of the commonest words, whole bands of like
+counts, go to every task; the rest of a document's words meet their counts in a join, one row for each document and rare word.
 
 Training. Each round computes expected counts of starts, steps and emissions by scaled forward-backward over all
 training documents, sums them over partitions in a tree, and re-estimates on the driver (states x symbols numbers).
@@ -85,9 +85,17 @@ class Vocabulary:
 
 def learn_vocabulary(counts: DataFrame, own: int = OWN, common: int = COMMON) -> Vocabulary:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    # whole classes of like counts, the highest first, while they fit; a top-k would send k rows from every partition
+    band = F.floor(F.log2("c") * 16).cast("int")
+    room, least = common, 1 << 30
+    for r in sorted(counts.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["band"]):
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["band"]
+    top = [(bytes(r["word"]), r["c"]) for r in counts.where((band >= least) | (F.col("word") == F.lit(END))).collect()]
     # the end of a document is always a symbol of its own
-    top = counts.orderBy((F.col("word") == F.lit(END)).desc(), F.desc("c"), "word").limit(common).collect()
-    top = [(bytes(r["word"]), r["c"]) for r in top]
+    top.sort(key=lambda x: (x[0] != END, -x[1], x[0]))
     # classes hold all words that are not symbols of their own
     last = F.expr("substring(word, greatest(octet_length(word) - 2, 1), 3)")
     by_class = counts.groupBy(F.pmod(F.crc32(last), F.lit(CLASSES)).alias("g"))
