@@ -215,7 +215,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     found = materialise(rows.mapInArrow(vectors, f"doc_id {kind}, idx array<int>, tf array<int>"), "toxic-vectors")
     total = found.count()
     idf = np.full(len(terms), math.log(1 + total) + 1)
-    for r in found.select(F.explode("idx").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("df")).collect():  # a row for each chosen term
+
+    def count(batches):
+        df = np.zeros(len(terms), np.int64)
+        for batch in batches:
+            df += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=len(terms))
+        own = np.nonzero(df)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(df[own])], ["i", "df"])
+
+    for r in found.select("idx").mapInArrow(count, "i int, df long").groupBy("i").agg(F.sum("df").alias("df")).collect():  # a row for each chosen term
         idf[r["i"]] = math.log((1 + total) / (1 + r["df"])) + 1
     examples = [(r["doc_id"], r["toxic"], np.array(r["idx"], np.int64), np.array(r["tf"], float)) for r in found.join(F.broadcast(chosen), "doc_id").collect()]  # the sample
     n = {c: max(1, sum(1 for e in examples if e[1] == c)) for c in (0, 1)}
