@@ -71,3 +71,21 @@ def paced(requests: DataFrame, site: str = "site", arrival: str = "arrival", del
     out = requests.withColumn("_n", (F.row_number().over(w) - 1).cast("double")).withColumn("_d", gap)
     free = F.max(F.col(arrival) - F.col("_n") * F.col("_d")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return out.withColumn("starts", F.when(F.col("_d") > 0, F.col("_n") * F.col("_d") + free).otherwise(F.col(arrival).cast("double"))).drop("_n", "_d")
+
+
+def paced_together(requests: DataFrame, delay: float, arrival: str = "arrival", order: tuple[str, ...] = (), seconds: float = 3600.0) -> DataFrame:
+    """requests with `starts`: paced as one site, in two passes, so that no task holds all rows.
+
+    Each range of time is paced alone; its count and its max(arrival - k d) go to the ranges after it, which wait
+    for whatever those leave undone. The only window over everything has a row for each range. A request without an
+    arrival has no start and holds up no other.
+    """
+    own = paced(requests.withColumns({"_range": F.floor(F.col(arrival) / seconds), "_gap": F.lit(delay)}), "_range", arrival, "_gap", order)
+    number = (F.row_number().over(Window.partitionBy("_range").orderBy(arrival, *order)) - 1).cast("double")
+    own = own.withColumn("_n", number)
+    ranges = own.where("_range IS NOT NULL").groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"), F.max(F.col("starts") - F.col("_n") * F.lit(delay)).alias("_free"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).cast("double"))
+    ranges = ranges.withColumn("_held", F.max(F.col("_free") - F.col("_before") * F.lit(delay)).over(earlier)).select("_range", "_before", "_held")
+    out = own.join(ranges, "_range", "left")
+    return out.withColumn("starts", F.greatest("starts", (F.col("_before") + F.col("_n")) * F.lit(delay) + F.col("_held"))).drop("_range", "_gap", "_n", "_before", "_held")

@@ -71,9 +71,9 @@ def crawl_pacing(spark, d):
 
 
 def geocode_throttle(spark, d):
-    """One request a second over all: the minute of an event is its partition, so no minute waits for another."""
-    e = table(spark, d, "events").select("event_id", F.date_trunc("day", "ts").alias("site"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("arrival"), F.lit(1.0).alias("delay"))
-    return robots.paced(e, order=("event_id",)).select("event_id", "starts")
+    """One request a second over all: a queue left at the end of a range of time is carried into the next."""
+    e = table(spark, d, "events").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("arrival"))
+    return robots.paced_together(e, 1.0, order=("event_id",)).select("event_id", "starts")
 
 
 def crawl_requests(spark, d):
