@@ -1,4 +1,6 @@
-"""Exact dedup: a tree-merge of sorted digest runs, in DataFrame operations only.
+"""Exact dedup: a tree-merge of digest runs by hash aggregation, in DataFrame operations only.
+
+Nothing is sorted: a hash aggregation at each level of the tree stands in for the merge of sorted runs.
 
 Every document gets the SHA-256 of its normalised text. Documents are dealt into 64 runs; a run holds one entry
 for each digest with the smallest identifier and a count. In each round groups of four neighbouring runs exchange
