@@ -103,12 +103,33 @@ def _row_sizes(batch):
     return None
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker, whatever functions it is sent."""
+def worker_cache(owner: str) -> dict:
+    """A dictionary that lives as long as the Python worker, whatever functions it is sent.
+
+    It belongs to one operator at a time: what another one left there is let go, and its memory given back.
+    """
     import sys
     import types
 
-    return sys.modules.setdefault("_startline_worker", types.ModuleType("_startline_worker")).__dict__
+    found = sys.modules.setdefault("_startline_worker", types.ModuleType("_startline_worker")).__dict__
+    if found.get("owner") != owner:
+        for name in [k for k in found if not k.startswith("__")]:
+            del found[name]
+        found["owner"] = owner
+        give_back()
+    return found
+
+
+def give_back() -> None:
+    """Returns freed memory of this worker to the system."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
 
 
 def target_file(folder: str, name: str):

@@ -101,7 +101,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     name = hashlib.sha256(repr(sorted((k, v[0], sorted(map(str, v[1]))) for b in blocks for k, v in b.items())).encode()).hexdigest()
 
     def work(batches):
-        cache = worker_cache()
+        cache = worker_cache("op5")
         if len(sent.value) <= 1:
             if cache.get("automaton", ("",))[0] != name:
                 cache["automaton"] = (name, [automaton(b) for b in sent.value])

@@ -199,7 +199,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def vectors(batches):
         for batch in pieces(batches, 16 << 20):
-            cache = worker_cache()
+            cache = worker_cache("op7")
             if cache.get("terms", (None,))[0] != terms:
                 cache["terms"] = (terms, TermIndex(number))
             find = cache["terms"][1].__getitem__

@@ -91,7 +91,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
     at = docs.columns.index(text_col)
 
     def work(batches):
-        cache = worker_cache()
+        cache = worker_cache("op8")
         key = hash(tuple(sorted(dictionaries.items())))
         if cache.get("languages", (None,))[0] != key:
             cache["languages"] = (key, compressors(dictionaries))

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from startline.llm import op02_warc as op2
@@ -24,9 +25,9 @@ def test_blocks_round_trip():
 
 def test_files_round_trip_and_damage_is_seen():
     rng = np.random.default_rng(2)
-    docs = [(n * 3, rng.integers(0, 50_257, rng.integers(0, 9000)).astype("<u4")) for n in range(40)]
+    docs = [(n * 3 if n < 37 else None, rng.integers(0, 50_257, rng.integers(0, 9000)).astype("<u4")) for n in range(40)]
     out = io.BytesIO()
-    assert op9.write_file(out, docs) == (40, sum(len(x) for _, x in docs))
+    assert op9.write_file(out, docs) == (40, sum(len(x) for _, x in docs), True)
     back = list(op9.read_file(out.getvalue()))
     assert all(a == c and (b == d).all() for (a, b), (c, d) in zip(docs, back, strict=True))
     broken = bytearray(out.getvalue())
@@ -37,12 +38,32 @@ def test_files_round_trip_and_damage_is_seen():
         list(op9.read_file(b"other" + bytes(40)))
 
 
-def test_encoder_equals_the_library():
-    rnd = random.Random(1)
+def odd_texts(rnd, n):
+    parts = ["a", "B", " ", "\n", "'s", ",", "1", "é", "\U0001f642", "\t", "  ", "日本", "word. ", "'", "'ll", "…", "½", "\r\n", "\u0301", "<|", "<|endoftext|>", "|>", "\xa0", "\x0b", "\x1f", "\u200b"]
+    return ["".join(rnd.choice(parts) for _ in range(rnd.randrange(40))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("as_text", [False, True])
+def test_encoder_equals_the_library(as_text):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(op9.default_tokenizer())
+    plain.encode_special_tokens = as_text
+    e = op9.Encoder(op9.default_tokenizer(), as_text, remembered=20_000)  # so little that most is forgotten
+    texts = ["", " ", "  a", "a  b", "a\n b", "it's  'll", "　 x", "x\x1c y", " lead", "trail ", "a\x85 b", "Don't stop, now!", "\n\n\na", "x\n", "<|endoftext|>", "a<|endoftext|> b"]
+    texts += odd_texts(random.Random(1), 3000)
+    for at in (0, 0, 1000):  # again, remembered, and as a slice
+        some = texts[at:]
+        for ids, text in zip(e.encode(pa.array(texts).slice(at)), some, strict=True):
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert plain.encode("<|endoftext|>", add_special_tokens=False).ids == [50256] or as_text
+
+
+def test_long_texts_are_cut_in_segments(monkeypatch):
+    monkeypatch.setattr(op9, "SEGMENT", 100)
     e = op9.Encoder(op9.default_tokenizer())
-    texts = ["", " ", "  a", "a  b", "a\n b", "it's  'll", "　 x", "x\x1c y", " lead", "trail ", "a\x85 b", "Don't stop, now!"]
-    texts += ["".join(rnd.choice(["a", "B", " ", "\n", "'s", ",", "1", "é", "\U0001f642", "\t", "  ", "日本", "word. "]) for _ in range(rnd.randrange(40))) for _ in range(800)]
-    for ids, text in zip(e.encode(texts), texts, strict=True):
+    texts = [" ".join(f"w{n % 77}," for n in range(400)), "x" * 1000, "", "a b"]
+    for ids, text in zip(e.encode(pa.array(texts)), texts, strict=True):
         assert ids.tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -58,6 +79,23 @@ def test_token_query(spark, duck, data):
         start += len(ids)
 
 
+def test_token_files_roll_and_hold_every_row(spark, tmp_path):
+    rnd = random.Random(4)
+    rows = [(rnd.choice([None, 5, 5, n]), t) for n, t in enumerate(odd_texts(rnd, 400))] + [(7, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = f"file://{tmp_path}/t"
+    manifest = op9.write_token_files(docs, folder, op9.default_tokenizer(), files=2, file_bytes=2000)
+    files = sorted((r["name"], r["docs"], r["ids"]) for r in manifest.collect())
+    assert len(files) > 2 and sum(n for _, n, _ in files) == len(rows)
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"], bytes(r["ids"])) for r in op9.read_token_files(spark, folder, manifest).collect())
+    ids = [r[1] for r in got]
+    assert ids == sorted(ids, key=lambda x: (x is None, x or 0))
+    assert [r[0] for r in got] == np.cumsum([0] + [r[2] for r in got[:-1]]).tolist()
+    plain = op9.Encoder(op9.default_tokenizer()).tokenizer
+    want = sorted((str(d), np.array(plain.encode(t or "", add_special_tokens=False).ids + [0], "<u4").tobytes()) for d, t in rows)
+    assert sorted((str(d), raw) for _, d, _, raw in got) == want
+
+
 def archive(*records, words=b""):
     import struct
 
