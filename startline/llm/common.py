@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The ASCII white space of the contracts: [\x20\x09-\x0D]. bytes.split() splits on exactly these.
 SPACE = "[ \\t-\\r]+"
@@ -65,6 +66,38 @@ def salt_of(*cols: Column | str, salts: int) -> Column:
     return F.pmod(F.hash(*cols), F.lit(salts))
 
 
+def with_least(df: DataFrame, key: str, value: str, name: str, spread: str | None = None, salts: int = 64) -> DataFrame:
+    """df, which should be stored, with the least `value` of each `key` as `name`.
+
+    Rows of one key are dealt as `salts` keys by a hash of `spread` (else of value), and so is the answer: a key on a
+    third of all rows is never one task.
+    """
+    rows = df.withColumn("_salt", salt_of(spread or value, salts=salts))
+    part = rows.groupBy(key, "_salt").agg(F.min(value).alias("_least"))
+    back = part.select(key, "_salt").join(part.groupBy(key).agg(F.min("_least").alias(name)), key)
+    return rows.join(back, [key, "_salt"]).drop("_salt")
+
+
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df and, under each name, the sum of an expression over all rows before a row in the given order, 0 for the first.
+
+    Rows are dealt to ranges of the order and summed there; only a row for each range goes through one task.
+    """
+    ranged = materialise(df.repartitionByRange(shuffle_width(df.sparkSession), *order).withColumn("_range", F.spark_partition_id()), "ranged")
+    before = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_range").agg(*[F.sum(e).alias(f"_{n}") for n, e in sums.items()])
+    starts = starts.select("_range", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums])
+    rows = ranged.withColumns({n: F.coalesce(F.sum(e).over(before), F.lit(0)) for n, e in sums.items()})
+    rows = rows.join(F.broadcast(starts), "_range")  # a row for each range
+    return rows.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_range", *[f"_{n}" for n in sums])
+
+
+def schema_of(df: DataFrame, column: str, rest: str) -> T.StructType:
+    """The field of a column of df, whatever its type, followed by the fields of a DDL string."""
+    return T.StructType([df.schema[column], *T.StructType.fromDDL(rest).fields])
+
+
 def byte_values(column: pa.Array) -> list:
     """The rows of a string column as bytes, None for null."""
     if isinstance(column, pa.ChunkedArray):
@@ -132,9 +165,14 @@ def give_back() -> None:
         trim(0)
 
 
+def shared_files(folder: str):
+    """(file system, path) of a folder that executors share."""
+    return pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
+
+
 def target_file(folder: str, name: str):
     """Opens a new file in a folder that executors share; (stream, function that puts it in place)."""
-    fs, path = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
+    fs, path = shared_files(folder)
     fs.create_dir(path, recursive=True)
     context = TaskContext.get()
     draft = f"{path}/_draft-{name}-{context.taskAttemptId() if context else 0}"

@@ -17,11 +17,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from startline.llm.common import byte_values, materialise, pieces, salt_of
+from startline.llm.common import byte_values, materialise, pieces, salt_of, schema_of, with_least
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 SALTS, MEETING = 64, 16384
-#: Any number over DISTANCE finds the same links; six make 15 keys of some 21 bits, eight 70 keys of 32 bits.
+#: Any number over the distance finds the same links at another cost. For n distinct fingerprints that do not cluster,
+#: at distance 4: rows shuffled and pairs compared are
+#:   6 blocks: 15 keys of 21 bits, 15 n rows, 3.1e-6 n^2 pairs; 1.5e10 rows and 3.1e12 pairs at 10^9
+#:   7 blocks: 35 keys of 27 bits, 35 n rows, 1.0e-7 n^2 pairs; 3.5e10 rows and 1.0e11 pairs at 10^9
+#:   8 blocks: 70 keys of 32 bits, 70 n rows, 8.1e-9 n^2 pairs; 7.0e10 rows and 8.1e9 pairs at 10^9
+#: A core compares some 10^8 pairs a second, so six serve to about 10^9, seven to 10^10, eight beyond.
 BLOCKS = 6
 
 
@@ -51,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
 
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return ids.mapInArrow(work, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, fp long")
+    return ids.mapInArrow(work, schema_of(ids, "doc_id", "fp long"))
 
 
 def block_masks(blocks: int, distance: int) -> list[int]:
@@ -139,15 +144,18 @@ def _ended(batches):
 
 
 def components(links: DataFrame, name: str = "links", rounds: int = 100) -> DataFrame:
-    """node and root (the smallest node of its component), by alternating large and small stars, for every linked node."""
+    """node and root (the smallest node of its component), by alternating large and small stars, for every linked node.
+
+    A star of any size is dealt by (centre, salt), never by its centre alone.
+    """
     now = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
     seen = None
     for n in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        large = with_least(both, "u", "v", "m").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = materialise(large.distinct(), f"{name}-large-{n}")
+        # each neighbour but the least is tied to the least; the least's own row ties the centre to it
+        small = with_least(large, "u", "v", "m").select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
         now = materialise(small.where("u <> v").distinct(), f"{name}-{n}")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
@@ -156,19 +164,20 @@ def components(links: DataFrame, name: str = "links", rounds: int = 100) -> Data
     raise RuntimeError(f"components have not settled in {rounds} rounds")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """One row for each input row: doc_id, fp (signed long), component_id, the smallest doc_id of its component.
 
     Null and empty texts have fingerprint 0 and link like any other. Texts shorter than a shingle are one shingle.
     Repeated rows are members of the same component; null identifiers are never the smallest unless there is no
-    other. An empty table gives an empty result. Other columns, clashing names included, are not read.
+    other. An empty table gives an empty result. Other columns, clashing names included, are not read. `blocks`
+    changes the cost alone, see BLOCKS.
     """
     rows = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints").withColumn("salt", salt_of("doc_id", salts=SALTS))
     part = rows.groupBy("fp", "salt").agg(F.min("doc_id").alias("least"))
     distinct = materialise(part.groupBy("fp").agg(F.min("least").alias("least")), "distinct")
-    roots = components(close_links(distinct.select("fp"), distance))
+    roots = components(close_links(distinct.select("fp"), distance, blocks))
     nodes = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    found = nodes.join(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    found = with_least(materialise(nodes, "nodes"), "root", "least", "component_id", spread="fp").select("fp", "component_id")
     back = part.select("fp", "salt").join(found, "fp")
     return rows.join(back, ["fp", "salt"]).select("doc_id", "fp", "component_id")
 
