@@ -1,24 +1,28 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the normalised items, each text scanned once.
+"""Benchmark decontamination: an Aho-Corasick automaton over the normalised items, each text scanned once.
 
 Texts and items are lower-cased (A-Z) and reduced to words joined by single spaces; the automaton holds every
 window of `window` consecutive item words with a space at either end, so that matches fall on whole words. Matches
-are mapped to word numbers, and for texts with matches to character offsets of the original. The items are sent to
-the executors; should their windows exceed BLOCK_BYTES, they go in blocks, each with an automaton of its own.
+are mapped to word numbers, and for texts with matches to character offsets of the original.
+
+Windows are made and told apart in Spark and written to the shared folder in blocks of BLOCK_BYTES, in order; no
+driver and no broadcast ever holds them. A worker reads a block, builds its automaton once and keeps it. Benchmarks
+of one block (some 100,000 windows) are one automaton and one scan; of more, each block is a scan of its own, and only
+the rows that it hits are gathered by document.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from startline.llm.common import byte_values, pieces, worker_cache
+from startline.llm.common import byte_values, pieces, running_sums, schema_of, scratch, shared_files, worker_cache
 
-WINDOW, BLOCK_BYTES = 10, 64 << 20
+WINDOW, BLOCK_BYTES = 10, 8 << 20
 #: ASCII bytes outside 0-9, A-Z and a-z separate words; A-Z are lower-cased; other bytes are kept.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 ORIGINAL_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -39,15 +43,38 @@ def item_windows(texts: list[tuple], window: int) -> dict[str, tuple[int, set]]:
     return found
 
 
-def blocks_of(windows: dict, most: int) -> list[dict]:
-    blocks, size = [{}], 0
-    for key, value in windows.items():
-        if size and size + len(key) > most:
-            blocks.append({})
-            size = 0
-        blocks[-1][key] = value
-        size += len(key)
-    return blocks
+def window_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> tuple[str, int]:
+    """The folder of the blocks, and their number: window, words, item in parquet, a folder for each block."""
+
+    def work(batches):
+        for batch in pieces(batches, 1 << 20):
+            found = item_windows(list(zip(batch.column(0).to_pylist(), byte_values(batch.column(1)), strict=True)), window)
+            rows = [(key.encode("latin-1"), n, item) for key, (n, items) in found.items() for item in items]
+            if rows:
+                columns = zip(zip(*rows, strict=True), (pa.binary(), pa.int32(), pa.string()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], ["window", "words", "item"])
+
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
+    rows = items.mapInArrow(work, "window binary, words int, item string").distinct()
+    size = F.octet_length("window") + F.coalesce(F.octet_length("item"), F.lit(0)) + 16
+    rows = running_sums(rows, [F.col("window"), F.col("item")], {"before": size.cast("long")}).withColumn("block", F.floor(F.col("before") / block_bytes))
+    folder = scratch(spark, "windows")
+    rows.write.partitionBy("block").parquet(folder)
+    found = spark.read.schema("window binary, words int, item string, before long, block long").parquet(folder)
+    return folder, 1 + (found.agg(F.max("block")).first()[0] or 0)
+
+
+def read_block(folder: str, block: int) -> dict[str, tuple[int, set]]:
+    """The windows of a block, as item_windows() has them; none if it was not written."""
+    fs, path = shared_files(f"{folder}/block={block}")
+    found: dict[str, tuple[int, set]] = {}
+    for info in fs.get_file_info(pyarrow.fs.FileSelector(path, allow_not_found=True)):
+        if info.path.endswith(".parquet"):
+            table = pq.read_table(info.path, filesystem=fs, columns=["window", "words", "item"], partitioning=None)
+            for key, n, item in zip(*(c.to_pylist() for c in table.columns), strict=True):
+                found.setdefault(key.decode("latin-1"), (n, set()))[1].add(item)
+    return found
 
 
 def automaton(windows: dict):
@@ -88,63 +115,85 @@ def merged(ranges: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """For every row doc_id, n_words, n_hit, items (sorted strings) and spans (character offsets of the merged hits).
+FOUND = "k1 long, k2 long, n_words long, ranges array<struct<start: long, end: long, first: long, last: long>>, items array<string>"
 
-    Null and empty texts have no words and no hits. An item shorter than the window is one window; an item without
-    words matches nothing. Items of a null identifier hit words but are not listed; rows that repeat an identifier
-    are one item. Without items nothing is hit. Repeated documents are scanned each. Other columns are not read.
-    """
-    items = [(r[0], None if r[1] is None else r[1].encode()) for r in benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator()]
-    blocks = [b for b in blocks_of(item_windows(items, window), block_bytes) if b]
-    sent = docs.sparkSession.sparkContext.broadcast(blocks)
-    name = hashlib.sha256(repr(sorted((k, v[0], sorted(map(str, v[1]))) for b in blocks for k, v in b.items())).encode()).hexdigest()
+
+def scan_block(rows: DataFrame, folder: str, block: int) -> DataFrame:
+    """Every row with the word ranges and character offsets that a block's windows hit, and their items."""
 
     def work(batches):
         cache = worker_cache("op5")
-        if len(sent.value) <= 1:
-            if cache.get("automaton", ("",))[0] != name:
-                cache["automaton"] = (name, [automaton(b) for b in sent.value])
-            automata = cache["automaton"][1]
-        else:
-            automata = None
+        if cache.get("block", ("",))[0] != (folder, block):
+            cache.pop("block", None)
+            cache["block"] = ((folder, block), automaton(read_block(folder, block)))
+        automata = [cache["block"][1]]
         for batch in pieces(batches, 16 << 20):
             texts = byte_values(batch.column(1))
-            split = [words_of(t) for t in texts]
-            if automata is not None:
-                found = [scan(w, automata) for w in split]
-            else:  # one automaton in memory at a time
-                found = [([], set()) for _ in split]
-                for block in sent.value:
-                    built = [automaton(block)]
-                    for (ranges, own), w in zip(found, split, strict=True):
-                        more, others = scan(w, built)
-                        ranges += more
-                        own |= others
-            n_hit, listed, spans = [], [], []
-            for (ranges, own), text in zip(found, texts, strict=True):
-                joined = merged(ranges)
-                n_hit.append(sum(b - a for a, b in joined))
+            n_words, listed, spans = [], [], []
+            for text in texts:
+                words = words_of(text)
+                n_words.append(len(words))
+                ranges, own = scan(words, automata)
                 listed.append(sorted(x for x in own if x is not None))
-                if joined:
-                    at = [(m.start(), m.end()) for m in ORIGINAL_WORD.finditer(text.decode())]
-                    spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in joined])
-                else:
-                    spans.append([])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(np.fromiter(map(len, split), np.int64, len(split))),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array(listed, pa.list_(pa.string())),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                ],
-                ["doc_id", "n_words", "n_hit", "items", "spans"],
-            )
+                at = [(m.start(), m.end()) for m in ORIGINAL_WORD.finditer(text.decode())] if ranges else []
+                spans.append([{"start": a, "end": b, "first": at[a][0], "last": at[b - 1][1]} for a, b in merged(ranges)])
+            kinds = (pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "end", "first", "last")])), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n_words, pa.int64()), pa.array(spans, kinds[0]), pa.array(listed, kinds[1])], ["doc_id", "k1", "k2", "n_words", "ranges", "items"])
 
+    return rows.mapInArrow(work, schema_of(rows, "doc_id", FOUND))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """For every row doc_id, n_words, n_hit, items (sorted strings) and spans (character offsets of the merged hits).
+
+    Null and empty texts have no words and no hits. An item shorter than the window is one window; an item without
+    words matches nothing. Items of a null identifier hit words but are not listed; rows that repeat an identifier
+    are one item. Without items nothing is hit. Repeated documents are scanned each. Other columns are not read; the
+    identifier may be of any type that can be hashed, a struct of a whole row too.
+    """
+    folder, blocks = window_blocks(benchmark, item_col, text_col, window, block_bytes)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>")
+    keys = (F.xxhash64(F.lit(n), "doc_id", "text") if blocks > 1 else F.lit(0).cast("long") for n in (1, 2))
+    rows = rows.withColumns(dict(zip(("k1", "k2"), keys, strict=True)))
+    found = scan_block(rows, folder, 0)
+    if blocks > 1:
+        others = None
+        for block in range(1, blocks):
+            hit = scan_block(rows, folder, block).where(F.size("ranges") > 0).select("k1", "k2", "ranges", "items")
+            others = hit if others is None else others.union(hit)
+        # a set: rows alike in identifier and text are hit alike
+        others = others.groupBy("k1", "k2").agg(F.flatten(F.collect_set("ranges")).alias("more"), F.flatten(F.collect_set("items")).alias("others"))
+        none = F.array().cast(found.schema["ranges"].dataType)
+        found = found.join(others, ["k1", "k2"], "left").select(
+            "doc_id",
+            "n_words",
+            F.concat("ranges", F.coalesce("more", none)).alias("ranges"),
+            F.array_sort(F.array_distinct(F.concat("items", F.coalesce("others", F.array().cast("array<string>"))))).alias("items"),
+        )
+        found = found.mapInArrow(_join_ranges, found.schema)
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"]).alias("n_hit"),
+        "items",
+        F.transform("ranges", lambda r: F.struct(r["first"].alias("start"), r["last"].alias("end"))).alias("spans"),
+    )
+
+
+def _join_ranges(batches):
+    """Ranges of several blocks, joined where they overlap or touch."""
+    for batch in batches:
+        at, out = batch.schema.get_field_index("ranges"), []
+        for ranges in batch.column(at).to_pylist():
+            done: list[dict] = []
+            for r in sorted(ranges, key=lambda r: (r["start"], r["end"])):
+                if done and r["start"] <= done[-1]["end"]:
+                    if r["end"] > done[-1]["end"]:
+                        done[-1] |= {"end": r["end"], "last": r["last"]}
+                else:
+                    done.append(dict(r))
+            out.append(done)
+        yield pa.RecordBatch.from_arrays([pa.array(out, c.type) if n == at else c for n, c in enumerate(batch.columns)], batch.schema.names)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
