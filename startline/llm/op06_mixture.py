@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from startline.llm.common import WORD
+from startline.llm.common import WORD, materialise, running_sums
 
 SEED, MOST_COPIES, BINS = 20240, 3, 4096
 WEIGHTS = (1, 2, 3)
@@ -61,25 +61,22 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, table: int =
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MOST_COPIES) -> DataFrame:
-    """(source, source_size) -> with target: shares of the total by weight, stopped at cap times the size.
+    """(source, name, source_size) -> with target: shares of the total by weight, stopped at cap times the size.
 
     Weights repeat over the sources by code point, null last. A source is at its stop exactly if its stop per
-    weight is below the level that the sources after it would get, so one ordered pass settles the resharing.
-    The rows are one for each source.
+    weight is below the level that the sources after it would get, so one ordered pass settles the resharing. Both
+    orders run over ranges of sources, so that hosts may be sources.
     """
-    ranked = sizes.withColumn("pos", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    ranked = running_sums(sizes, [F.col("source").isNull(), F.col("source")], {"pos": F.lit(1)})
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("pos") % len(weights)).cast("int") + 1)
-    ranked = ranked.withColumn("weight", weight).withColumn("stop", F.lit(float(cap)) * F.col("source_size"))
-    whole = Window.partitionBy()
-    before = Window.orderBy(F.col("stop") / F.col("weight"), "pos").rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("stop").over(before), F.lit(0.0))) / (
-        F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    )
-    ranked = ranked.withColumn("level", level).withColumn("capped", F.col("stop") < F.col("weight") * F.col("level"))
-    rest = F.min(F.when(~F.col("capped"), F.struct(F.col("stop") / F.col("weight"), F.col("pos"), F.col("level")))).over(whole)["level"]
-    return ranked.withColumn("target", F.when(F.col("capped"), F.col("stop")).otherwise(F.least(F.col("stop"), F.col("weight") * rest))).select(
-        "source", "source_size", "target"
-    )
+    ranked = materialise(ranked.withColumn("weight", weight).withColumn("stop", F.lit(float(cap)) * F.col("source_size")), "sources")
+    whole_size, whole_weight = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    ranked = running_sums(ranked, [F.col("stop") / F.col("weight"), F.col("pos")], {"stops": F.col("stop"), "weights": F.col("weight")})
+    level = (F.lit(float(whole_size)) - F.col("stops")) / (F.lit(whole_weight) - F.col("weights"))
+    ranked = materialise(ranked.withColumn("level", level).withColumn("capped", F.col("stop") < F.col("weight") * F.col("level")), "levels")
+    rest = ranked.where("NOT capped").agg(F.min(F.struct(F.col("stop") / F.col("weight"), "pos", "level"))["level"]).first()[0]
+    shared = F.least(F.col("stop"), F.col("weight") * F.lit(rest).cast("double"))
+    return ranked.select("source", "name", "source_size", F.when(F.col("capped"), F.col("stop")).otherwise(shared).alias("target"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = (), weights=WEIGHTS, cap: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
@@ -92,39 +89,37 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
+        F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("name"),  # the source, never null
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), id_col).alias("draw"),
         F.xxhash64(text_col).alias("tie"),
-        (F.struct(*carry) if carry else F.lit(None)).alias("row"),
+        (F.struct(*carry) if carry else F.lit(0)).alias("row"),
     )
-    base = base.withColumn("bin", F.pmod("draw", F.lit(BINS)).cast("int"))
-    counts = base.groupBy("source", "size", "bin").agg(F.count(F.lit(1)).alias("n"))
-    by_length = counts.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    targets = source_targets(by_length.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, cap)
+    base = materialise(base.withColumn("bin", F.pmod("draw", F.lit(BINS)).cast("int")), "sizes")
+    counts = base.groupBy("name", "size", "bin").agg(F.count(F.lit(1)).alias("n"))
+    by_length = materialise(counts.groupBy("name", "size").agg(F.sum("n").alias("n")), "lengths")
+    sources = by_length.groupBy("name").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    sources = sources.withColumn("source", F.when(F.col("name") != "", F.expr("substring(name, 2)").cast(base.schema["source"].dataType)))
+    targets = source_targets(sources, weights, cap).drop("source")
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size")
         whole, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
         copies = min(int(target // whole), cap)
         more = fit_budget(pdf["size"].tolist(), pdf["n"].tolist(), round(target - copies * whole)) if copies < cap else [0] * len(pdf)
-        return pd.DataFrame({"source": pdf["source"], "size": pdf["size"], "copies": copies, "more": more})
+        return pd.DataFrame({"name": pdf["name"], "size": pdf["size"], "copies": copies, "more": more})
 
-    same_source = F.col("l.source").eqNullSafe(F.col("t.source"))
-    lengths = by_length.alias("l").join(targets.alias("t"), same_source).select("l.source", "l.size", "l.n", "t.source_size", "t.target")
-    plans = lengths.where("size > 0").groupBy("source").applyInPandas(plan, "source string, size long, copies long, more long")
+    lengths = by_length.join(targets, "name").select("name", "size", "n", "source_size", "target")
+    plans = lengths.where("size > 0").groupBy("name").applyInPandas(plan, "name string, size long, copies long, more long")
     # a document is taken once more if its rank in the seeded order of its source and length is within `more`
-    run = Window.partitionBy("source", "size").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy("name", "size").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = counts.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0)))
-    cut = (
-        bins.alias("b")
-        .join(plans.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source")) & (F.col("b.size") == F.col("p.size")), "left")
-        .join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
-        .select("b.source", "b.size", "b.bin", "t.source_size", "t.target", F.coalesce("p.copies", F.lit(0)).alias("copies"), (F.coalesce("p.more", F.lit(0)) - F.col("b.before")).alias("room"))
-    )
-    ranked = base.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "bin").orderBy("draw", "doc_id", "tie")))
-    out = ranked.alias("d").join(cut.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.size") == F.col("c.size")) & (F.col("d.bin") == F.col("c.bin")))
-    copies = F.when(F.col("d.size") > 0, F.col("c.copies") + (F.col("d.rank") <= F.col("c.room")).cast("long")).otherwise(F.lit(0)).cast("long")
-    return out.select("d.row", "d.doc_id", "d.source", "d.size", "c.source_size", "c.target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    cut = bins.join(plans, ["name", "size"], "left").join(targets, "name")
+    cut = cut.select("name", "size", "bin", "source_size", "target", F.coalesce("copies", F.lit(0)).alias("whole"), (F.coalesce("more", F.lit(0)) - F.col("before")).alias("room"))
+    ranked = base.withColumn("rank", F.row_number().over(Window.partitionBy("name", "size", "bin").orderBy("draw", "doc_id", "tie")))
+    out = ranked.join(cut, ["name", "size", "bin"])
+    copies = F.when(F.col("size") > 0, F.col("whole") + (F.col("rank") <= F.col("room")).cast("long")).otherwise(F.lit(0)).cast("long")
+    return out.select("row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
