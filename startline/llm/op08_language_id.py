@@ -1,7 +1,7 @@
 """Language ID by compression: the language whose dictionary compresses a text smallest.
 
 Each learned language has a raw-content zstandard dictionary: its commonest words, counted over a bounded sample of
-labelled documents (about SAMPLE for each language), the commonest last, where matches are cheapest. A text is
+labelled documents (about SAMPLE for each of the LABELS commonest languages), the commonest last, where matches are cheapest. A text is
 folded to lower-case letters, cut into pieces of PIECE bytes so that its own history does not hide the dictionary,
 and every piece is compressed with each dictionary. The smallest total wins; the margin is the share by which it
 beats the next, and a text is rejected if the margin is under MARGIN or it has no letters.
@@ -16,11 +16,15 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from startline.llm.common import byte_values, pieces, worker_cache
 
 SAMPLE, DICTIONARY, LEVEL, PIECE, MARGIN, SEED = 1500, 32 << 10, 6, 2048, 0.003, 8
+#: Labels that are learned at most, the commonest; a column of junk cannot fill the driver.
+LABELS = 256
 UNKNOWN = "und"
+NAMES = ("lang_pred", "lang_score", "lang_rejected")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -29,9 +33,9 @@ def fold(text: bytes | None) -> bytes:
     return NOT_LETTERS.sub(" ", (text or b"").decode("utf-8", "replace").lower()).strip().encode()
 
 
-def bounded_sample(rows: DataFrame, label: str, id_col: str, per_label: int, seed: int) -> DataFrame:
-    """About per_label rows of each label, chosen by a hash of the identifier; all of a label that has fewer."""
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+def bounded_sample(rows: DataFrame, label: str, id_col: str, per_label: int, seed: int, labels: int = LABELS) -> DataFrame:
+    """About per_label rows of each of the `labels` commonest labels, chosen by a hash of the identifier; all of a label that has fewer."""
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), label).limit(labels)
     draw = F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1 << 30)) / float(1 << 30)
     return rows.join(F.broadcast(counts), label).where(draw < F.lit(float(per_label)) / F.col("_n")).drop("_n")
 
@@ -80,13 +84,13 @@ def classify(text: bytes | None, tools: dict, piece: int = PIECE) -> tuple[str,
     return sizes[0][1], (sizes[1][0] - sizes[0][0]) / sizes[1][0]
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", margin: float = MARGIN) -> DataFrame:
-    """The input's columns and lang_pred, lang_score (the margin, 0 to 1) and lang_rejected.
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", margin: float = MARGIN, names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """The input's columns and, under `names`, the language, the margin (0 to 1) and whether it is rejected.
 
     Null texts and texts without letters are `und` with score 0, rejected. Ties go to the smaller language name,
-    with margin 0, rejected. Columns lang_pred, lang_score and lang_rejected of the input are replaced.
+    with margin 0, rejected. Columns of the input that have one of the names are replaced.
     """
-    added = ["lang_pred", "lang_score", "lang_rejected"]
+    added = list(names)
     docs = docs.drop(*added)
     at = docs.columns.index(text_col)
 
@@ -101,8 +105,6 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
             rejected = [lang == UNKNOWN or score < margin for lang, score in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64()), pa.array(rejected, pa.bool_())], [*batch.schema.names, *added])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*docs.schema.fields, T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType()), T.StructField(added[2], T.BooleanType())])
     return docs.mapInArrow(work, schema)
 
@@ -111,10 +113,10 @@ def remainder(id_col: str, n: int):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))
 
 
-def language_id(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
+def language_id(docs: DataFrame, margin: float = MARGIN, names: tuple[str, str, str] = NAMES) -> DataFrame:
     """Learns from labelled rows outside the held-out quarter and classifies every row; see identify()."""
     train = docs.where(F.coalesce(remainder("doc_id", 4), F.lit(0)) != 2).select("doc_id", "text", "lang")
-    return identify(docs, learn_dictionaries(train), margin=margin)
+    return identify(docs, learn_dictionaries(train), margin=margin, names=names)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
