@@ -1,8 +1,10 @@
 """WARC archives in Zstandard frames: a writer that turns repeated payloads into revisit records, and a reader.
 
 A file starts with a skippable frame (magic 0x184D2A5D) that holds the dictionary; then every record is one frame,
-so a record is found and decoded without the others. The reader loads the dictionary from the file itself, walks the
-frames by their block headers, decodes each and checks version line, headers, lengths and digests.
+so a record is found and decoded without the others. The reader streams a file: it loads the dictionary from the file
+itself, decodes one frame at a time and checks version line, headers and lengths, and digests where they are stated.
+It holds one record and a few hundred kilobytes of the file, however long that is. A writer begins a new file whenever
+one has grown over FILE_BYTES.
 
 Which record of equal payloads is the response is settled before writing by a grouping on the payload's SHA-1,
 length and a second hash, salted so that one payload on a third of all pages is dealt over many tasks.
@@ -12,8 +14,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import re
 import struct
+from itertools import chain
 
 import pyarrow as pa
 import zstandard
@@ -21,8 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from startline.llm.common import byte_values, materialise, pieces, salt_of, scratch, target_file
+from startline.llm.common import byte_values, materialise, pieces, salt_of, scratch, shared_files, target_file
 
+FRAME, SKIPPABLE = b"\x28\xb5\x2f\xfd", 0x184D2A50
+FILE_BYTES = 64 << 20
 DICTIONARY_MAGIC, DICTIONARY, SAMPLE, SAMPLE_BYTES, LEVEL, SALTS = 0x184D2A5D, 32 << 10, 200, 32 << 10, 3, 64
 DATE = "2024-01-01T00:00:00Z"
 PAGE = "urn:x-page:"
@@ -56,42 +62,65 @@ def page_record(page_id, url: bytes | None, payload: bytes, response_id) -> byte
     return record("revisit", f"{PAGE}{page_id}", http, headers, "application/http; msgtype=response")
 
 
-def frame_end(data: memoryview, at: int) -> int:
-    """Where the frame that starts at `at` ends, from its block headers."""
+class Source:
+    """Bytes of a file, some ahead of what has been used."""
+
+    def __init__(self, stream, chunk: int = 256 << 10):
+        self.stream, self.chunk, self.held = stream, chunk, b""
+
+    def ahead(self, n: int) -> bytes:
+        """The next n bytes, or all that are left, without using them."""
+        while len(self.held) < n and (more := self.stream.read(max(self.chunk, n - len(self.held)))):
+            self.held += bytes(more)
+        return self.held[:n]
+
+    def take(self, n: int, what: str) -> bytes:
+        found = self.ahead(n)
+        if len(found) < n:
+            raise WarcError(f"{what} is cut short")
+        self.held = self.held[n:]
+        return found
+
+    def skip(self, n: int) -> None:
+        """Passes over n bytes, some at a time."""
+        while n:
+            n -= len(self.take(min(n, self.chunk), "a skippable frame"))
+
+
+def one_frame(source: Source, tool) -> bytes:
+    """The content of the frame that starts here; its size need not be stated."""
+    out, decoder = [], tool.decompressobj()
     try:
-        head = zstandard.get_frame_parameters(data[at : at + 18])
-        end = at + zstandard.frame_header_size(data[at : at + 18])
-        last = False
-        while not last:
-            block = int.from_bytes(data[end : end + 3], "little")
-            last, end = bool(block & 1), end + 3 + (1 if block >> 1 & 3 == 1 else block >> 3)
-            if end > len(data):
+        while not decoder.eof:
+            if not source.ahead(1):
                 raise WarcError("a frame is cut short")
+            held, source.held = source.held, b""
+            out.append(decoder.decompress(held))
     except zstandard.ZstdError as e:
-        raise WarcError(f"not a Zstandard frame: {e}") from e
-    return end + 4 * head.has_checksum
-
-
-def frames(data: memoryview):
-    """The dictionary of the leading skippable frame, then each decoded record."""
-    if len(data) < 8 or struct.unpack("<I", data[:4])[0] != DICTIONARY_MAGIC:
-        raise WarcError("no dictionary frame")
-    at = 8 + struct.unpack("<I", data[4:8])[0]
-    if at > len(data):
-        raise WarcError("the dictionary is cut short")
-    words = bytes(data[8:at])
-    if words[:4] == b"\x28\xb5\x2f\xfd":  # the dictionary itself may be compressed
-        words = zstandard.ZstdDecompressor().decompress(words)
+        raise WarcError(f"a frame does not decode: {e}") from e
+    source.held = decoder.unused_data + source.held
+    return b"".join(out)
+
+
+def frames(stream):
+    """Each decoded record of an archive, by the dictionary of its leading skippable frame if it has one."""
+    source, words = Source(stream), b""
+    if not source.ahead(1):
+        raise WarcError("an empty file")
+    magic, size = struct.unpack("<II", source.ahead(8).ljust(8, b"\0"))
+    if magic == DICTIONARY_MAGIC:
+        source.take(8, "the dictionary")
+        words = source.take(size, "the dictionary")
+        if words[:4] == FRAME:  # the dictionary itself may be compressed
+            words = one_frame(Source(io.BytesIO(words)), zstandard.ZstdDecompressor())
     tool = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words)) if words else zstandard.ZstdDecompressor()
-    while at < len(data):
-        end = frame_end(data, at)
-        if end > len(data):
-            raise WarcError("a frame is cut short")
-        try:
-            yield tool.decompress(data[at:end])
-        except zstandard.ZstdError as e:
-            raise WarcError(f"a frame does not decode: {e}") from e
-        at = end
+    while head := source.ahead(8):
+        if SKIPPABLE <= int.from_bytes(head[:4], "little") < SKIPPABLE + 16:
+            source.skip(int.from_bytes(source.take(8, "a skippable frame")[4:], "little"))
+        elif head[:4] != FRAME:
+            raise WarcError("not a Zstandard frame")
+        else:
+            yield one_frame(source, tool)
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -119,20 +148,31 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def parse_page(headers: dict[str, str], block: bytes) -> dict | None:
-    """The page of a response or revisit record, None for other records."""
+    """The page of a response or revisit record of HTTP, None for other records.
+
+    Digests and the length of the body are optional: they are checked where they are stated, but not against a
+    transfer coding or a record that says it is cut off. A record identifier that is no page's gives a null page_id.
+    """
     kind = headers["warc-type"]
-    if kind not in ("response", "revisit"):
+    if kind not in ("response", "revisit") or not block.startswith(b"HTTP/"):
         return None
     http, gap, payload = block.partition(b"\r\n\r\n")
-    stated = re.search(rb"(?im)^content-length:[ \t]*(\d+)\r?$", http)
-    if not gap or not stated:
+    if not gap and kind == "response":
         raise WarcError("no HTTP headers")
-    digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
-    size = int(stated[1])
-    if kind == "response" and (len(payload) != size or digest != digest_of(payload)):
-        raise WarcError("the payload is not as stated")
-    if kind == "revisit" and (payload or "warc-refers-to" not in headers):
-        raise WarcError("a revisit has a payload or refers to nothing")
+    stated = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$", http)
+    coded = re.search(rb"(?im)^transfer-encoding:", http) or "warc-truncated" in headers
+    digest = headers.get("warc-payload-digest", "")
+    if kind == "response":
+        if stated and not coded and len(payload) != int(stated[1]):
+            raise WarcError("the payload's length is not as stated")
+        own = digest_of(payload)
+        if digest.startswith("sha1:") and not coded and digest[5:] != own:
+            raise WarcError("the payload's digest is not as stated")
+        size, digest = len(payload), own
+    else:
+        if payload:
+            raise WarcError("a revisit has a payload")
+        size, digest = int(stated[1]) if stated else None, digest[5:] if digest.startswith("sha1:") else None
     number = lambda x: int(x) if re.fullmatch(r"-?\d+", x := x.strip("<>").removeprefix(PAGE)) else None
     return {
         "page_id": number(headers["warc-record-id"]),
@@ -140,7 +180,7 @@ def parse_page(headers: dict[str, str], block: bytes) -> dict | None:
         "payload_bytes": size,
         "payload_digest": digest,
         "record_type": kind,
-        "refers_to": number(headers["warc-refers-to"]) if kind == "revisit" else None,
+        "refers_to": number(headers.get("warc-refers-to", "")) if kind == "revisit" else None,
         "payload": payload if kind == "response" else None,
     }
 
@@ -176,8 +216,8 @@ def responses(pages: DataFrame, id_col: str, url_col: str, html_col: str, least:
     return rows.join(back.hint("shuffle_hash"), key).select("page_id", "url", "html", F.when(F.col("size") >= least, F.col("response_id")).otherwise(F.col("page_id")).alias("response_id"))
 
 
-def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
-    """Writes a file for each partition; the manifest: name, records, bytes.
+def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes one or more files for each partition; the manifest: name, records, bytes.
 
     Null html is an empty payload. Pages without identifier are responses of identifier `None`, read back as null;
     rows that repeat the largest identifier of a payload are all responses. An empty table writes no file.
@@ -185,56 +225,54 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     words = train_dictionary(pages, html_col)
 
     def work(batches):
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
-        name = f"pages-{TaskContext.get().partitionId():06d}.warc.zst"
         table = zstandard.ZstdCompressionDict(words) if words else None
         if table:
             table.precompute_compress(level=LEVEL)
         tool = zstandard.ZstdCompressor(level=LEVEL, dict_data=table, write_checksum=True, write_content_size=True)
-        out, place = target_file(folder, name)
-        n = size = 0
-
-        def put(data: bytes):
-            nonlocal size
-            out.write(data)
-            size += len(data)
-
-        with out:
-            put(struct.pack("<II", DICTIONARY_MAGIC, len(words)) + words)
-            put(tool.compress(record("warcinfo", f"urn:x-file:{name}", b"format: WARC File Format 1.1\r\n", {"WARC-Filename": name}, "application/warc-fields")))
-            for batch in pieces(_chain(first, batches), 8 << 20):
+
+        def records():
+            for batch in pieces(batches, 8 << 20):
                 for page_id, url, html, response_id in zip(batch.column(0).to_pylist(), byte_values(batch.column(1)), byte_values(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                    put(tool.compress(page_record(page_id, url, html, response_id)))
-                    n += 1
-        place()
-        yield pa.RecordBatch.from_pylist([{"name": name, "records": n, "bytes": size}])
+                    yield tool.compress(page_record(page_id, url, html, response_id))
+
+        rest, part, number = records(), TaskContext.get().partitionId(), 0
+        now = next(rest, None)
+        while now is not None:
+            name = f"pages-{part:06d}-{number:06d}.warc.zst"
+            head = struct.pack("<II", DICTIONARY_MAGIC, len(words)) + words
+            head += tool.compress(record("warcinfo", f"urn:x-file:{name}", b"format: WARC File Format 1.1\r\n", {"WARC-Filename": name}, "application/warc-fields"))
+            out, place = target_file(folder, name)
+            size, n = len(head), 0
+            with out:
+                out.write(head)
+                while now is not None and (n == 0 or size + len(now) <= file_bytes):
+                    out.write(now)
+                    size, n, now = size + len(now), n + 1, next(rest, None)
+            place()
+            number += 1
+            yield pa.RecordBatch.from_pylist([{"name": name, "records": n, "bytes": size}])
 
     rows = responses(pages, id_col, url_col, html_col, least)
     return materialise(rows.mapInArrow(work, "name string, records long, bytes long"), "warc-manifest")
 
 
-def _chain(first, rest):
-    yield first
-    yield from rest
-
-
 FIELDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
 
 def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """Every response and revisit of the archives in a folder; raises WarcError on a file that is not whole.
 
-    With payloads=False the payload column is null; records are decoded and checked all the same.
+    Each task streams its files from the folder. With payloads=False the payload column is null; records are decoded
+    and checked all the same.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path")
 
     def work(batches):
-        for batch in batches:
-            for content in batch.column(0):
-                rows, size = [], 0
-                for data in frames(memoryview(content.as_buffer())):
+        for path in chain.from_iterable(batch.column(0).to_pylist() for batch in batches):
+            fs, at = shared_files(path)
+            rows, size = [], 0
+            with fs.open_input_stream(at, compression=None) as stream:
+                for data in frames(stream):
                     page = parse_page(*parse_record(data))
                     if page:
                         if payloads:
@@ -245,8 +283,8 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFr
                     if size > 8 << 20 or len(rows) >= 10_000:
                         yield pa.RecordBatch.from_pylist(rows, FIELDS)
                         rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, FIELDS)
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, FIELDS)
 
     return files.mapInArrow(work, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
@@ -257,8 +295,6 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, folder, payloads=False).drop("url", "payload")
 
 
-
-
 SQL = r"""
 WITH b AS (
   SELECT page_id, coalesce(html, '') AS payload FROM pages
