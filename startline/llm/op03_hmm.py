@@ -9,7 +9,8 @@ counts, go to every task; the rest of a document's words meet their counts in a
 
 Training. Each round computes expected counts of starts, steps and emissions by scaled forward-backward over all
 training documents, sums them over partitions in a tree, and re-estimates on the driver (states x symbols numbers).
-The start is a clustering of a bounded sample of documents.
+The start is a clustering of a sample of some SAMPLE documents, of longer ones a slice of SLICE symbols at a drawn
+place; the draw depends on identifier and text, not on how rows lie in files.
 
 Scoring. The scaled forward recursion gives the exact likelihood of the symbol sequence of a whole text; the
 words' shares in their classes are added. Logarithms are to base 10.
@@ -32,6 +33,8 @@ from startline.llm.op08_language_id import remainder
 
 STATES, OWN, CLASSES, COMMON = 8, 4096, 1024, 100_000
 ROUNDS, SAMPLE, SEED, ADD = 4, 2000, 3, 0.1
+#: Symbols of a text that the start is drawn from.
+SLICE = 8192
 #: Symbols that run side by side; documents of like length share a run.
 RUN, HELD = 400_000, 2_000_000
 #: Pseudo-counts that draw a state's emissions to the whole corpus.
@@ -234,11 +237,12 @@ def tree_sum(parts: DataFrame, fan_in: int = 32) -> np.ndarray | None:
         total = sum((np.frombuffer(raw.as_buffer(), np.float64) for raw in table.column("data")), 0.0)
         return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()])], ["node", "data"])
 
-    level = parts
-    for _ in range(2):  # fan_in ** 2 partitions leave one row, more leave one for each such number
+    level, width = parts, parts.rdd.getNumPartitions()
+    while width > 1:
         level = level.withColumn("node", F.floor(F.col("node") / fan_in).cast("int")).groupBy("node").applyInArrow(merge, "node int, data binary")
-    rows = level.collect()
-    return sum((np.frombuffer(r["data"], np.float64) for r in rows), 0.0) if rows else None
+        width = -(-width // fan_in)
+    rows = level.collect()  # one row, or none
+    return np.frombuffer(rows[0]["data"], np.float64) if rows else None
 
 
 def baum_welch(encoded: DataFrame, model: Hmm, unigram: np.ndarray, rounds: int = ROUNDS, drawn: float = DRAWN) -> Hmm:
@@ -297,6 +301,16 @@ def first_model(sample: list[np.ndarray], symbols: int, unigram: np.ndarray, sta
     return estimate(np.bincount(own, minlength=states).astype(float), np.eye(states) * 95 + 1, emit, unigram, drawn=1000.0)
 
 
+def first_sample(train: DataFrame, n: int, sample: int = SAMPLE, most: int = SLICE) -> list[np.ndarray]:
+    """Symbols of about `sample` of n rows, drawn by identifier and symbols alone; of longer ones a slice of `most`."""
+    seed = F.xxhash64(F.lit(SEED), "doc_id", "symbols")
+    drawn = train.select("symbols", seed.alias("draw")).where(F.pmod("draw", F.lit(1 << 30)) < F.lit(sample / max(1, n) * (1 << 30)))
+    over = F.greatest(F.octet_length("symbols") - 2 * most, F.lit(0))
+    part = F.substring("symbols", 1 + 2 * F.pmod(F.xxhash64("draw"), F.floor(over / 2) + 1).cast("int"), F.lit(2 * most))
+    rows = drawn.select("draw", part.alias("symbols")).orderBy("draw", "symbols").limit(2 * sample).collect()
+    return [np.frombuffer(r["symbols"], "<u2") for r in rows]
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """For every row doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -311,9 +325,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     encoded = materialise(encode(rows, vocabulary), "symbols")
     train = encoded.where("NOT held_out")
     n = train.count()
-    draw = F.pmod(F.xxhash64(F.lit(SEED), "uid"), F.lit(1 << 30)) / float(1 << 30)
-    sample = train.where(draw < SAMPLE / max(1, n)).where(F.length("symbols") <= 1 << 17).select("uid", "symbols").limit(2 * SAMPLE).orderBy("uid").collect()
-    model = first_model([np.frombuffer(r["symbols"], "<u2") for r in sample], vocabulary.symbols, vocabulary.unigram, states)
+    model = first_model(first_sample(train, n), vocabulary.symbols, vocabulary.unigram, states)
     model = baum_welch(train, model, vocabulary.unigram, rounds)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
