@@ -57,6 +57,24 @@ def test_substring_dedup_of_random_texts(spark, monkeypatch):
         assert got == repeats(docs, 6)
 
 
+def test_substring_dedup_tells_regular_words_and_windows_apart(spark):
+    """Thue-Morse strings and their complements collide under polynomials modulo 2^64 of any odd base."""
+    word = "".join("ab"[n.bit_count() % 2] for n in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(d, " ".join([*(f"x{n}" for n in range(30)), w, *(f"y{n}" for n in range(19))])) for d, w in ((1, word), (2, other), (3, word))]
+    rows += [(4, " ".join(word[:50])), (5, " ".join(other[:50])), (6, " ".join(word[:60])), (7, " ".join(other[:60]))]
+    found = op1.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in found.collect()) == repeats(rows, 50)
+    assert {r["doc_id"]: r["n_removed"] for r in found.collect()}[2] == 0
+
+
+def test_substring_dedup_over_many_ranges(spark):
+    rnd = random.Random(5)
+    docs = [(d, " ".join(rnd.choice("abcd") for _ in range(rnd.randrange(60)))) for d in range(200)]
+    found = op1.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), window=7, range_bytes=500)
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in found.collect()) == repeats(docs, 7)
+
+
 def test_prefix_sum_hashes_are_rabin_karp():
     values = np.random.default_rng(1).integers(0, 1 << 63, 300).astype(np.uint64)
     base = 0x9E3779B97F4A7C15
@@ -116,6 +134,14 @@ def test_exact_dedup_spreads_a_hot_group(spark):
     assert got[2]["group_size"] == 2000 and got[2]["text_sha256"] == hashlib.sha256(b"a b").hexdigest()
 
 
+def test_exact_dedup_merges_sorted_runs(spark):
+    from startline.llm import op04_exact_dedup as op4
+
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    plan = op4.exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in plan and "HashAggregate" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
 def level(sizes, weights, cap=3):
     """Targets by plain resharing."""
     total, capped = sum(sizes), set()
