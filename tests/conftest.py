@@ -1,6 +1,8 @@
+import numbers
 import os
 import sys
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -46,9 +48,9 @@ def plain(value):
     """Values of either engine in one form."""
     if value is None or value is pd.NA or value != value:
         return "NULL"
-    if isinstance(value, bool):
+    if isinstance(value, (bool, np.bool_)):
         return str(value)
-    if isinstance(value, (int, float)):
+    if isinstance(value, numbers.Number):
         return f"{float(value):.6f}"
     return str(value).replace(" 00:00:00", "")
 
