@@ -112,10 +112,22 @@ def quote_plus(c: Column) -> Column:
 
 def maps_url(latitude: Column, longitude: Column, *places: Column) -> Column:
     """A map search for the coordinates if there are both, else for the first non-empty place, else null."""
-    place = F.coalesce(*[F.nullif(p, F.lit("")) for p in places])
+    return F.concat(F.lit("https://www.google.com/maps/search/?api=1&query="), maps_query(latitude, longitude, *places))
+
+
+def maps_embed(latitude: Column, longitude: Column, *places: Column) -> Column:
+    """The same place as a frame of a page."""
+    return F.concat(F.lit("https://www.google.com/maps?q="), maps_query(latitude, longitude, *places), F.lit("&output=embed"))
+
+
+def maps_query(latitude: Column, longitude: Column, *places: Column) -> Column:
     at = F.concat_ws(",", latitude.cast("string"), longitude.cast("string"))
-    query = F.when(latitude.isNotNull() & longitude.isNotNull(), at).otherwise(quote_plus(place))
-    return F.concat(F.lit("https://www.google.com/maps/search/?api=1&query="), query)
+    return F.when(latitude.isNotNull() & longitude.isNotNull(), at).otherwise(quote_plus(first_place(*places)))
+
+
+def first_place(*places: Column) -> Column:
+    """The first place that is not empty, or null."""
+    return F.coalesce(*[F.nullif(p, F.lit("")) for p in places])
 
 
 def sitemap_directive(robots: Column) -> Column:

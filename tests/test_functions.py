@@ -65,7 +65,7 @@ def test_escaping(spark):
     raw = "<a href=\"x\">Tom & 'Jerry'</a> ~*é/?"
     assert value(spark, text.html_escape(F.col("x")), x=raw) == html.escape(raw)
     assert value(spark, text.quote_plus(F.col("x")), x=raw) == urllib.parse.quote_plus(raw)
-    assert value(spark, markup.html_unescape(F.col("x")), x="it&#39;s &amp; so") == "it's & so"
+    assert value(spark, F.get(markup.html_unescape(F.array("x")), F.lit(0)), x="it&#39;s &amp; so") == "it's & so"
 
 
 @pytest.mark.parametrize(("body", "found"), [("User-agent: *\n SITEMAP: https://s/x.xml \nSitemap: no", "https://s/x.xml"), ("Sitemap:\nDisallow: /", None), ("nothing", None), ("Sitemap: a:b\r\n", "a:b")])
