@@ -24,7 +24,7 @@ def event_distance_tree(spark, d):
 
 
 def entries_by_sport_type(spark, d):
-    return report.totals(report.entries(tree(spark, d)))
+    return report.totals(report.entries_of(roles.events(spark, d), roles.organisers(spark, d), roles.distance_lines(spark, d)))
 
 
 def entries_by_organiser(spark, d):
@@ -36,7 +36,7 @@ def overall_counts(spark, d):
 
 
 def uncategorised_distances(spark, d):
-    found = report.entries(tree(spark, d, None)).where(F.col("sport") == report.UNCATEGORISED)
+    found = report.entries_of(roles.events(spark, d), roles.organisers(spark, d), roles.distance_lines(spark, d), None).where(F.col("sport") == report.UNCATEGORISED)
     return found.groupBy("id").agg(F.count(F.lit(1)).alias("entries"))
 
 
@@ -81,11 +81,19 @@ def csv_export_shape(spark, d):
 
 
 def csv_export_ordered(spark, d):
-    return report.ordered(tree(spark, d)).select("id", "organiser_name").limit(1000)
+    return report.ordered(tree(spark, d)).select("id", "organiser_name")
 
 
 def detail_blocks(spark, d):
-    t = tree(spark, d).withColumn("name", F.when(F.col("id") % 3 != 0, F.concat(F.lit("Race <"), F.col("id").cast("string"), F.lit("> & 'friends'")))).drop("url", "starts")
+    k, e = F.col("id"), roles.events(spark, d)
+    dates = e.where("id % 6 = 0").select(k.alias("event_id"), F.lit(0).alias("sort_order"), F.concat(F.lit("Day "), k.cast("string")).alias("date_text"), F.when(k % 4 == 0, F.lit("9 am")).alias("time_text"), F.lit(None).cast("string").alias("price_text"))
+    t = report.event_tree(e, roles.organisers(spark, d), roles.distances(spark, d), dates, status=None).drop("url", "starts")
+    t = t.withColumns({
+        "name": F.when(k % 3 != 0, F.concat(F.lit("Race <"), k.cast("string"), F.lit("> & 'friends'"))),
+        "sport": F.when(k % 2 == 0, F.lit("running")), "invalid_reason": F.lit(None).cast("string"), "lifecycle_text": F.when(k % 8 == 0, F.lit("ill")),
+        "lifecycle_status": F.when(k % 4 == 0, F.lit("cancelled")).otherwise(F.lit("scheduled")), "location": F.when(k % 5 != 0, F.concat(F.lit("Town & "), k.cast("string"))),
+        "latitude": F.when(k % 7 == 0, F.lit(51.5)), "longitude": F.lit(-1.25), "occurrence_weekdays": F.when(k % 9 == 0, F.array(F.lit("sat"), F.lit("sun"))),
+    })
     return t.select("id", report.event_html(t.columns).alias("html"))
 
 
@@ -112,11 +120,13 @@ def get_or_create_organiser(spark, d):
 
 
 def seed_sync(spark, d):
+    """Stored organisers are the first rows of their home pages, the seed holds two customers in three, repeats included."""
     c = table(spark, d, "customer").withColumn("homepage_url", F.concat(F.lit("https://o"), (F.col("c_custkey") % 500).cast("string"), F.lit(".example/")))
     params = lambda v: F.create_map(F.lit("sitemap_url"), v)
-    stored = c.where("c_custkey < 300").select("homepage_url", F.col("c_name").alias("name"), params(F.lit("old")).alias("handler_params"), F.lit("bot").alias("registrator"))
-    seed = c.where("c_custkey >= 200 AND c_custkey < 450").orderBy("c_custkey").coalesce(1).select("homepage_url", F.concat(F.lit("seed "), "c_name").alias("name"), params(F.col("c_mktsegment")).alias("handler_params"), F.lit("person").alias("registrator"))
-    return store.sync_seed(stored, seed).select("homepage_url", "name", F.col("handler_params")["sitemap_url"].alias("sitemap_url"), "registrator")
+    first = c.groupBy("homepage_url").agg(F.min(F.struct("c_custkey", "c_name")).alias("c")).where("c.c_custkey % 2 = 0")
+    stored = first.select("homepage_url", F.col("c.c_name").alias("name"), params(F.lit("old")).alias("handler_params"), F.lit("bot").alias("registrator"))
+    seed = c.where("c_custkey % 3 <> 0").select("homepage_url", F.concat(F.lit("seed "), "c_name").alias("name"), params(F.col("c_mktsegment")).alias("handler_params"), F.lit("person").alias("registrator"), F.col("c_custkey").alias("line"))
+    return store.sync_seed(stored, seed, "line").select("homepage_url", "name", F.col("handler_params")["sitemap_url"].alias("sitemap_url"), "registrator")
 
 
 def history_latest(spark, d):
@@ -191,15 +201,23 @@ SELECT sport, label, count(*) AS entries, count(DISTINCT label) AS labels FROM x
 SELECT id, organiser_id, c_name AS organiser_name, status, coalesce(line, '') AS distances, 'https://events.example/' || id || '/' AS url, true AS untitled
 FROM events_of JOIN customer ON organiser_id = c_custkey LEFT JOIN x ON event_id = id WHERE status = 'valid'""",
     ),
-    "csv_export_ordered": (csv_export_ordered, "SELECT o_orderkey AS id, c_name AS organiser_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P' ORDER BY c_name, o_orderkey LIMIT 1000"),
+    "csv_export_ordered": (csv_export_ordered, "SELECT o_orderkey AS id, c_name AS organiser_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P' ORDER BY c_name, o_orderkey"),
     "detail_blocks": (
         detail_blocks,
         f"""WITH {DISTANCES_SQL}, x AS (
-  SELECT event_id, string_agg('<tr><td>' || distance_text || '</td><td>' || coalesce(price_text, '&mdash;') || '</td><td>' || coalesce(label, '&mdash;') || '</td></tr>', '' ORDER BY sort_order) AS line FROM distances GROUP BY event_id)
+  SELECT event_id, string_agg('<tr><td>' || distance_text || '</td><td>' || coalesce(price_text, '&mdash;') || '</td><td>' || coalesce('<code>' || label || '</code>', '&mdash;') || '</td></tr>', '' ORDER BY sort_order) AS line FROM distances GROUP BY event_id
+), e AS (SELECT *, status = 'invalid' AS bad, id % 4 = 0 AS off, id % 7 = 0 AS exact, id % 5 <> 0 AS town FROM events_of JOIN customer ON organiser_id = c_custkey LEFT JOIN x ON event_id = id
+), m AS (SELECT *, CASE WHEN exact THEN '51.5,-1.25' WHEN town THEN 'Town+%26+' || id END AS q FROM e)
 SELECT id, '<details class=''event''><summary>' || CASE WHEN id % 3 <> 0 THEN 'Race &lt;' || id || '&gt; &amp; &#x27;friends&#x27;' ELSE '(untitled event #' || id || ')' END
-  || '</summary><table><tr><th>status</th><td>valid</td></tr></table>'
-  || CASE WHEN line IS NULL THEN '<p class=''empty''>No distances listed.</p>' ELSE '<table class=''distances''>' || line || '</table>' END || '</details>' AS html
-FROM events_of JOIN customer ON organiser_id = c_custkey LEFT JOIN x ON event_id = id WHERE status = 'valid'""",
+  || CASE WHEN id % 2 = 0 THEN '<span class=''badge''>running</span>' ELSE '' END || CASE WHEN bad THEN '<span class=''badge badge-invalid''>INVALID</span>' ELSE '' END
+  || CASE WHEN off THEN '<span class=''badge badge-cancelled''>CANCELLED</span>' ELSE '' END || '</summary><table class=''fields''>'
+  || CASE WHEN bad THEN '<tr><th>Invalid reason</th><td>&mdash;</td></tr>' ELSE '' END || CASE WHEN off THEN '<tr><th>Lifecycle detail</th><td>' || CASE WHEN id % 8 = 0 THEN 'ill' ELSE '&mdash;' END || '</td></tr>' ELSE '' END
+  || '<tr><th>Organiser ID</th><td>' || organiser_id || '</td></tr><tr><th>Sport</th><td>' || CASE WHEN id % 2 = 0 THEN 'running' ELSE '&mdash;' END || '</td></tr>'
+  || '<tr><th>Recurs on</th><td>' || CASE WHEN id % 9 = 0 THEN 'sat, sun' ELSE '&mdash;' END || '</td></tr><tr><th>Location</th><td>' || CASE WHEN town THEN 'Town &amp; ' || id ELSE '&mdash;' END || '</td></tr></table>'
+  || CASE WHEN line IS NULL THEN '<p class=''empty''>No distances listed.</p>' ELSE '<table class=''distances''><tr><th>Distance</th><th>Price</th><th>Race type</th></tr>' || line || '</table>' END
+  || CASE WHEN id % 6 <> 0 THEN '<p class=''empty''>No specific dates listed.</p>' ELSE '<table class=''distances''><tr><th>Date</th><th>Time</th><th>Price</th></tr><tr><td>Day ' || id || '</td><td>' || CASE WHEN off THEN '9 am' ELSE '&mdash;' END || '</td><td>&mdash;</td></tr></table>' END
+  || CASE WHEN q IS NULL THEN '<p class=''no-map''>No location available.</p>' ELSE '<p><a class=''maps-link'' href=''https://www.google.com/maps/search/?api=1&amp;query=' || q || chr(39) || '>Open ' || CASE WHEN exact THEN '' ELSE '&quot;Town &amp; ' || id || '&quot; ' END || 'in Google Maps</a></p><iframe class=''maps-embed'' src=''https://www.google.com/maps?q=' || q || '&amp;output=embed'' loading=''lazy''></iframe>' END
+  || '</details>' AS html FROM m""",
     ),
     "upsert_events": (
         upsert_events,
@@ -215,9 +233,11 @@ WHERE l_orderkey % 4 <> 0 OR l_quantity >= 25 GROUP BY l_orderkey""",
     "get_or_create_organiser": (get_or_create_organiser, "SELECT lower(c_mktsegment) AS source_type, count(*) AS n FROM customer GROUP BY ALL UNION ALL SELECT 'platform', 1"),
     "seed_sync": (
         seed_sync,
-        """WITH c AS (SELECT *, 'https://o' || (c_custkey % 500) || '.example/' AS homepage_url FROM customer WHERE c_custkey < 450)
-SELECT homepage_url, CASE WHEN c_custkey < 300 THEN c_name ELSE 'seed ' || c_name END AS name, CASE WHEN c_custkey >= 200 THEN c_mktsegment ELSE 'old' END AS sitemap_url,
-  CASE WHEN c_custkey >= 200 THEN 'person' ELSE 'bot' END AS registrator FROM c""",
+        """WITH c AS (SELECT *, 'https://o' || (c_custkey % 500) || '.example/' AS homepage_url FROM customer
+), o AS (SELECT homepage_url, min(c_custkey) AS k, arg_min(c_name, c_custkey) AS name FROM c GROUP BY homepage_url HAVING k % 2 = 0
+), s AS (SELECT homepage_url, 'seed ' || arg_min(c_name, c_custkey) AS name, arg_max(c_mktsegment, c_custkey) AS sitemap_url FROM c WHERE c_custkey % 3 <> 0 GROUP BY homepage_url)
+SELECT homepage_url, coalesce(o.name, s.name) AS name, coalesce(s.sitemap_url, 'old') AS sitemap_url, CASE WHEN s.homepage_url IS NULL THEN 'bot' ELSE 'person' END AS registrator
+FROM o FULL JOIN s USING (homepage_url)""",
     ),
     "history_latest": (history_latest, "SELECT conv_id, max(turn) AS turn, max_by(role, turn) AS role, min(turn) AS first_turn FROM conversations GROUP BY conv_id"),
     "mass_revert": (mass_revert, "SELECT conv_id, max(turn) AS turn, max_by(role, turn) AS role FROM conversations WHERE role <> 'assistant' GROUP BY conv_id"),

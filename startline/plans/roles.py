@@ -60,15 +60,16 @@ def events(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("organiser_id"), status.alias("status"), F.concat(F.lit("https://events.example/"), F.col("o_orderkey").cast("string"), F.lit("/")).alias("url"), F.col("o_orderdate").cast("date").alias("starts"))
 
 
-def distances(spark, sf_dir) -> DataFrame:
-    """event_id, sort_order, distance_text, price_text, label; line numbers repeat, so the order is over all columns."""
-    from pyspark.sql import Window
-
+def distance_lines(spark, sf_dir) -> DataFrame:
+    """event_id, sort_order, distance_text, price_text, label. Line numbers repeat, so sort_order is over all columns."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), "l_partkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.col("l_extendedprice").cast("decimal(18,2)").alias("p"))
-    order = Window.partitionBy("event_id").orderBy("l_linenumber", "l_partkey", "q", "p")
-    lines = lines.withColumn("sort_order", F.row_number().over(order) - 1)
     price = F.when(F.col("q") % 5 != 0, F.col("p").cast("string"))
-    return lines.join(types(spark, sf_dir).select("p_partkey", "label"), F.col("l_partkey") == F.col("p_partkey"), "left").select("event_id", "sort_order", F.concat(F.col("q").cast("string"), F.lit("k")).alias("distance_text"), price.alias("price_text"), "label")
+    lines = lines.join(types(spark, sf_dir).select(F.col("p_partkey").alias("l_partkey"), "label"), "l_partkey", "left")
+    return lines.select("event_id", F.struct("l_linenumber", "l_partkey", "q", "p").alias("sort_order"), F.concat(F.col("q").cast("string"), F.lit("k")).alias("distance_text"), price.alias("price_text"), "label")
+
+
+#: The tree's arrays sort by the whole order, so no line needs a number of its own.
+distances = distance_lines
 
 
 DISTANCES_SQL = (
