@@ -1,7 +1,7 @@
 """python -m startline COMMAND: the engine's jobs over tables in a folder.
 
-Tables are Parquet folders under --tables: events, distances, occurrences, race_types, organisers, runs; lookups are
-pages, probes, robots, answers, places.
+Tables are Parquet folders under --tables: events, distances, occurrences, race_types, organisers, runs, committed
+together; lookups are pages, probes, robots, answers, places, views (of listings) and sitemaps.
 """
 
 from __future__ import annotations
@@ -17,20 +17,24 @@ from startline.functions.text import sitemap_directive
 from startline.functions.urls import robots_url
 from startline.operators import decide, feed, report, store
 from startline.plans import crawl as plans
+from startline.plans import discovery
 from startline.sources import files, lookups
+from startline.streaming import queue
 
 ORGANISER = "id long, name string, listing_urls array<string>, homepage_url string, discovered_via string, handler string, handler_params map<string,string>, registrator string, source_type string, active boolean"
 SCHEMAS = {"events": plans.EVENT, "distances": plans.DISTANCE, "occurrences": plans.OCCURRENCE, "race_types": plans.RACE_TYPE, "organisers": ORGANISER, "runs": plans.RUN}
+LOOKUPS = {"pages": lookups.PAGES, "probes": lookups.PROBES, "robots": lookups.ROBOTS, "answers": lookups.ANSWERS, "places": lookups.PLACES, "views": lookups.VIEWS, "sitemaps": lookups.SITEMAPS}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    found = store.SnapshotTable(spark, f"{folder}/{name}").read()
+    found = store.SnapshotSet(spark, folder).read(name)
     return found if found is not None else spark.createDataFrame([], SCHEMAS[name])
 
 
-def save(spark: SparkSession, folder: str, tables: plans.Tables) -> None:
-    for name in ("events", "distances", "occurrences", "race_types"):
-        store.SnapshotTable(spark, f"{folder}/{name}").replace(getattr(tables, name))
+def save(spark: SparkSession, folder: str, tables: plans.Tables | None = None, **more: DataFrame) -> None:
+    """One commit of the event tables and others."""
+    own = {} if tables is None else {n: getattr(tables, n) for n in ("events", "distances", "occurrences", "race_types")}
+    store.SnapshotSet(spark, folder).replace(own | more)
 
 
 def tables_of(spark, folder) -> plans.Tables:
@@ -38,30 +42,33 @@ def tables_of(spark, folder) -> plans.Tables:
 
 
 def lookup(spark, folder, name, schema) -> DataFrame:
-    try:
-        return spark.read.parquet(f"{folder}/{name}")
-    except Exception:  # no such lookup: every call fails
-        return spark.createDataFrame([], schema)
+    """A lookup table; without one every call fails."""
+    path = f"{folder}/{name}"
+    return spark.read.parquet(path) if folder and files.exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def lookups_of(spark, folder) -> plans.Lookups:
+    return plans.Lookups(*(lookup(spark, folder, n, s) for n, s in LOOKUPS.items()))
 
 
 def import_feed(spark, a) -> dict:
     params = dict(p.partition("=")[::2] for p in a.param)
     rows = files.read_feed(spark, a.path)
-    summary = {"status": "unusable", "registered": 0}
+    summary, after = {"status": "unusable", "registered": 0}, None
     if rows is not None:
         events = feed.feed_events(rows, params.get("today", datetime.date.today().isoformat()), params.get("country", feed.DEFAULT_COUNTRY))
         summary = feed.import_summary(events, a.organiser)
         now = F.lit(datetime.datetime.now(datetime.UTC))
-        save(spark, a.tables, plans.register(tables_of(spark, a.tables), events, F.xxhash64(F.lit(a.organiser)), F.lit("bot"), now))
-    organisers = table(spark, a.tables, "organisers")
-    store.SnapshotTable(spark, f"{a.tables}/organisers").replace(store.umbrella_organiser(organisers, a.organiser, params.get("homepage", ""), "feed_import").withColumns({"id": F.coalesce("id", F.xxhash64("name"))}))
+        after = plans.register(tables_of(spark, a.tables), events, F.xxhash64(F.lit(a.organiser)), F.lit("bot"), now)
+    organisers = store.umbrella_organiser(table(spark, a.tables, "organisers"), a.organiser, params.get("homepage", ""), "feed_import")
+    save(spark, a.tables, after, organisers=organisers.withColumns({"id": F.coalesce("id", F.xxhash64("name"))}))
     return summary
 
 
 def seed(spark, a) -> dict:
     rows = files.read_seed(spark, a.path).withColumns({"id": F.xxhash64("name"), "source_type": F.lit("organiser"), "active": F.lit(True)})
     out = store.sync_seed(table(spark, a.tables, "organisers"), rows)
-    store.SnapshotTable(spark, f"{a.tables}/organisers").replace(out)
+    save(spark, a.tables, organisers=out)
     return {"organisers": table(spark, a.tables, "organisers").count()}
 
 
@@ -74,20 +81,88 @@ def discover_sitemaps(spark, a) -> dict:
     return dict(zip(("found", "total"), out.agg(F.count_if(F.length("sitemap_url") > 0), F.count(F.lit(1))).first(), strict=True))
 
 
+def stop_if_unreachable(found: plans.Lookups, asked: DataFrame) -> None:
+    """Ends a run before it stores anything if a page that it asked for says that nothing can be reached at all."""
+    if "error" in found.pages.columns and decide.aborted(asked.select("url").distinct().join(found.pages.select("url", "error"), "url")):
+        raise ConnectionError("pages cannot be fetched at all; nothing was stored")
+
+
+def discover(spark, a, organisers: DataFrame, found: plans.Lookups, before: plans.Tables, now) -> discovery.Found:
+    """New addresses of organisers; their listing pages' audit rows and discovered listings are settled."""
+    new = discovery.discover(organisers, discovery.Request(found, before.events, now, a.force_refresh))
+    return discovery.Found(*(store.settle(x) for x in (new.urls, new.runs, new.listings)))
+
+
+def remembered(organisers: DataFrame, listings: DataFrame) -> DataFrame:
+    """organisers with the listings that were discovered for them."""
+    own = listings.select(F.col("organiser_id").alias("id"), F.col("listing_urls").alias("_own"))
+    return organisers.join(own, "id", "left").withColumn("listing_urls", F.coalesce("_own", "listing_urls")).drop("_own").select(organisers.columns)
+
+
 def crawl(spark, a) -> dict:
-    organisers = decide.eligible(table(spark, a.tables, "organisers"), a.organiser_id)
+    """From organisers to stored events: sitemaps, listings or discovery, then the events that are new."""
+    every = table(spark, a.tables, "organisers")
+    organisers = decide.eligible(every, a.organiser_id)
     if a.limit:
         organisers = organisers.orderBy("id").limit(a.limit)
-    found = plans.Lookups(*(lookup(spark, a.lookups, n, s) for n, s in (("pages", lookups.PAGES), ("probes", lookups.PROBES), ("robots", lookups.ROBOTS), ("answers", lookups.ANSWERS), ("places", lookups.PLACES))))
-    before = tables_of(spark, a.tables)
-    listings = organisers.select(F.col("id").alias("organiser_id"), "homepage_url", "registrator", F.explode("listing_urls").alias("url"))
-    new, _ = plans.crawl_listings(listings.drop("registrator"), found, before.events, a.force_refresh)
-    requests = decide.planned(new.join(organisers.select(F.col("id").alias("organiser_id"), "registrator"), "organiser_id"), a.mode)
-    after, runs = plans.crawl(before, requests, found, F.lit(datetime.datetime.now(datetime.UTC)), decide.check_mode_of(a.force_refresh, a.check_mode))
+    found, before, now = lookups_of(spark, a.lookups), tables_of(spark, a.tables), F.lit(datetime.datetime.now(datetime.UTC))
+    organisers = store.settle(organisers)
+    new = discover(spark, a, organisers, found, before, now)
+    requests = decide.planned(new.urls.join(organisers.select(F.col("id").alias("organiser_id"), "registrator"), "organiser_id"), a.mode)
+    stop_if_unreachable(found, new.runs.select("url").unionByName(requests.select("url")))
+    listed = {f"listing {r['status']}": r["count"] for r in new.runs.groupBy("status").count().collect()}
+    after, runs = plans.crawl(before, requests, found, now, decide.check_mode_of(a.force_refresh, a.check_mode))
     summary = {r["status"]: r["count"] for r in runs.groupBy("status").count().collect()}
-    store.SnapshotTable(spark, f"{a.tables}/runs").replace(table(spark, a.tables, "runs").unionByName(runs))
-    save(spark, a.tables, after)
-    return summary
+    runs = table(spark, a.tables, "runs").unionByName(new.runs).unionByName(runs)
+    save(spark, a.tables, after, runs=runs, organisers=remembered(every, new.listings))
+    return summary | listed
+
+
+def listing_queue(spark, a) -> dict:
+    """Messages that name organisers: their new addresses as messages for the event queue, in a folder of JSON lines.
+
+    Reads what has arrived in a folder of message bodies since the last time, as a stream.
+    """
+    def work(batch: DataFrame, number: int) -> None:
+        asked = queue.listing_messages(batch).distinct()
+        organisers = decide.eligible(table(spark, a.tables, "organisers")).join(asked.withColumnRenamed("organiser_id", "id"), "id", "left_semi")
+        organisers = store.settle(organisers)
+        now = F.lit(datetime.datetime.now(datetime.UTC))
+        new = discover(spark, a, organisers, lookups_of(spark, a.lookups), tables_of(spark, a.tables), now)
+        listings = new.urls.groupBy("organiser_id").agg(F.collect_set("url").alias("urls"))
+        out = queue.publish(queue.fan_out(asked, listings), "events").select(queue.envelope(F.col("value")).alias("value"))
+        out.write.mode("overwrite").text(f"{a.output}/batch-{number:09d}")
+        save(spark, a.tables, runs=table(spark, a.tables, "runs").unionByName(new.runs), organisers=remembered(table(spark, a.tables, "organisers"), new.listings))
+
+    return drained(spark, a, work)
+
+
+def event_queue(spark, a) -> dict:
+    """Messages that name events: each is crawled and stored; what is stored already is only looked at again."""
+    def work(batch: DataFrame, number: int) -> None:
+        asked = store.settle(queue.event_messages(batch).distinct())
+        organisers = decide.eligible(table(spark, a.tables, "organisers")).select(F.col("id").alias("organiser_id"), "registrator")
+        requests = asked.join(organisers, "organiser_id").select("organiser_id", F.col("event_url").alias("url"), "registrator")
+        found, before = lookups_of(spark, a.lookups), tables_of(spark, a.tables)
+        stop_if_unreachable(found, requests)
+        after, runs = plans.crawl(before, requests, found, F.lit(datetime.datetime.now(datetime.UTC)), decide.check_mode_of(a.force_refresh, a.check_mode))
+        save(spark, a.tables, after, runs=table(spark, a.tables, "runs").unionByName(runs))
+
+    return drained(spark, a, work)
+
+
+def drained(spark, a, work) -> dict:
+    """Hands what has arrived to work, settled, a micro-batch at a time."""
+    read = []
+
+    def one(batch: DataFrame, number: int) -> None:
+        rows = store.settle(batch)
+        work(rows, number)
+        read.append(rows.count())
+
+    bodies = spark.readStream.option("wholetext", True).text(a.messages).withColumnRenamed("value", "body")
+    queue.upserts(bodies, one, a.checkpoint).awaitTermination()
+    return {"messages": sum(read)}
 
 
 def export(spark, a) -> dict:
@@ -119,6 +194,14 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--mode", choices=decide.RUN_MODES, default="normal")
     c.add_argument("--check-mode", choices=decide.CHECK_MODES, default="hash-check")
     c.add_argument("--force-refresh", action="store_true")
+    for name in ("listing-queue", "event-queue"):
+        c = commands.add_parser(name)
+        c.add_argument("messages")
+        c.add_argument("--checkpoint", required=True)
+        c.add_argument("--check-mode", choices=decide.CHECK_MODES, default="hash-check")
+        c.add_argument("--force-refresh", action="store_true")
+        if name == "listing-queue":
+            c.add_argument("--output", required=True)
     c = commands.add_parser("export")
     c.add_argument("--format", choices=("csv", "html", "html-by-type", "html-invalid"), default="csv")
     c.add_argument("--output", required=True)
@@ -126,7 +209,7 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-COMMANDS = {"import-feed": import_feed, "seed": seed, "discover-sitemaps": discover_sitemaps, "crawl": crawl, "export": export}
+COMMANDS = {"listing-queue": listing_queue, "event-queue": event_queue, "import-feed": import_feed, "seed": seed, "discover-sitemaps": discover_sitemaps, "crawl": crawl, "export": export}
 
 
 def main(arguments: list[str] | None = None) -> dict:

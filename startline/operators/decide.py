@@ -71,9 +71,9 @@ def check_mode_of(force_refresh: bool, check_mode: str) -> str:
     return "force" if force_refresh else check_mode
 
 
-def aborted(runs: DataFrame) -> bool:
-    """Whether a run must stop: an error of the connection itself, not of one page."""
-    return not runs.where(F.coalesce(F.col("error") == "ConnectionError", F.lit(False))).isEmpty()
+def aborted(asked: DataFrame) -> bool:
+    """Whether a run must stop, by the `error` of what it asked for: the connection itself, not one page, failed."""
+    return not asked.where(F.coalesce(F.col("error") == "ConnectionError", F.lit(False))).isEmpty()
 
 
 def pick_handler(organisers: DataFrame, handlers: list[str], default: str = "default") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -78,12 +79,13 @@ def umbrella_organiser(organisers: DataFrame, name: str, homepage_url: str, disc
     return changed.unionByName(row.join(organisers.select("name"), "name", "left_anti"), allowMissingColumns=True)
 
 
-def sync_seed(organisers: DataFrame, seed: DataFrame) -> DataFrame:
+def sync_seed(organisers: DataFrame, seed: DataFrame, line: str | None = None) -> DataFrame:
     """New seed rows by homepage_url; of stored organisers only handler_params and registrator follow the seed.
 
-    Of seed rows with one homepage the first makes the row and the last sets what is synced.
+    Of seed rows with one homepage the first makes the row and the last sets what is synced, in the order of the
+    column `line`, which is dropped, else as the rows lie in the seed's file.
     """
-    numbered_seed = seed.withColumn("_n", F.monotonically_increasing_id())
+    numbered_seed = seed.withColumn("_n", F.monotonically_increasing_id()) if line is None else seed.withColumnRenamed(line, "_n")
     first = Window.partitionBy("homepage_url").orderBy("_n")
     last = Window.partitionBy("homepage_url").orderBy(F.col("_n").desc())
     synced = {c: F.first_value(c).over(last) for c in ("handler_params", "registrator")}
@@ -126,17 +128,33 @@ def grow_schema(rows: DataFrame, wanted: T.StructType, defaults: dict[str, objec
     return rows, left_out
 
 
-def settle(rows: DataFrame) -> DataFrame:
-    """rows computed once into the checkpoint folder that the cluster shares; a temporary one only in local mode."""
-    sc = rows.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster shares; a temporary one only in local mode."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        root = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not root and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="startline-"))
+        root = root or tempfile.mkdtemp(prefix="startline-")
+        sc.setCheckpointDir(root)
+    return (root or sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
+
+
+def settle(rows: DataFrame) -> DataFrame:
+    """rows computed once into the shared folder."""
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()
 
 
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream has now, written to a new place in the shared folder by its own query; the driver holds none of it."""
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/startline-{name}-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start(f"{folder}/rows")
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 class SnapshotTable:
     """A table whose readers see whole snapshots: each is written beside the others, then a pointer file is replaced.
 
@@ -160,11 +178,41 @@ class SnapshotTable:
     def replace(self, rows: DataFrame) -> None:
         name = f"snapshot-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{name}")
-        draft, pointer = self._path(f"{self.path}/draft-{name}"), self._path(f"{self.path}/current.txt")
+        self.point(name)
+
+    def point(self, text: str) -> None:
+        """Replaces the pointer file in one step."""
+        draft, pointer = self._path(f"{self.path}/draft-{uuid.uuid4().hex}"), self._path(f"{self.path}/current.txt")
         out = self._fs.create(draft)
-        out.write(bytearray(name.encode()))
+        out.write(bytearray(text.encode()))
         out.close()
         fs = self.spark.sparkContext._jvm.org.apache.hadoop.fs
         modes = self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
         modes[0] = fs.Options.Rename.OVERWRITE
         fs.FileContext.getFileContext(self._fs.getUri(), self._fs.getConf()).rename(draft, pointer, modes)
+
+
+class SnapshotSet:
+    """Tables that change together: readers see all of one commit or all of the next.
+
+    Every table of a commit is written beside the others as a snapshot of its own; then one file, which names the
+    snapshot of each table, is replaced. A commit that fails on the way changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.pointer = spark, SnapshotTable(spark, path)
+
+    def _named(self) -> dict[str, str]:
+        now = self.pointer._current()
+        return {} if now is None else json.loads(now)
+
+    def read(self, name: str) -> DataFrame | None:
+        now = self._named().get(name)
+        return None if now is None else self.spark.read.parquet(f"{self.pointer.path}/{now}")
+
+    def replace(self, tables: dict[str, DataFrame]) -> None:
+        named = self._named()
+        for name, rows in tables.items():
+            named[name] = f"{name}/snapshot-{uuid.uuid4().hex}"
+            rows.write.parquet(f"{self.pointer.path}/{named[name]}")
+        self.pointer.point(json.dumps(named))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from startline.functions.text import blank_to_null, race_label
-from startline.operators import decide, extract, listing, robots, store
+from startline.operators import decide, extract, robots, store
 from startline.sources import lookups
 from startline.sources.files import registrator as or_bot
 
@@ -45,13 +45,20 @@ class Tables:
 
 @dataclass
 class Lookups:
-    """pages, probes, robots files, model answers (extract_event, rewrite_summary by url) and places."""
+    """Pages, probes, robots files, model answers (by task and key), places; views of listings and sitemap files."""
 
     pages: DataFrame
     probes: DataFrame
     robots: DataFrame
     answers: DataFrame
     places: DataFrame
+    views: DataFrame | None = None
+    sitemaps: DataFrame | None = None
+
+    def __post_init__(self):
+        spark = self.pages.sparkSession
+        self.views = spark.createDataFrame([], lookups.VIEWS) if self.views is None else self.views
+        self.sitemaps = spark.createDataFrame([], lookups.SITEMAPS) if self.sitemaps is None else self.sitemaps
 
 
 def register(tables: Tables, fields: DataFrame, organiser_id: Column, who: Column, now: Column) -> Tables:
@@ -120,16 +127,3 @@ def crawl(tables: Tables, requests: DataFrame, found: Lookups, now: Column, mode
     rows = extract.event_rows(fields.join(decided.select("url", F.col("registrator").alias("_who")), "url"), F.col("_who"))
     runs = decided.select(F.lit("event").alias("run_type"), "url", "organiser_id", F.col("run_status").alias("status"), "detail", now.alias("finished_at"))
     return apply(tables, decided.select("url", "organiser_id", "action", "page_status", "registrator"), rows, fields, now), runs
-
-
-def crawl_listings(listings: DataFrame, found: Lookups, events: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
-    """New event addresses (organiser_id, url) and audit counts of listing pages (organiser_id, url, homepage_url).
-
-    Candidates come from a page's links, the listing task's answer confirms them.
-    """
-    from startline.functions.urls import candidate_links
-
-    pages = lookups.fetch(listings, found.pages).withColumn("candidates", candidate_links(F.coalesce("links", F.array().cast("array<string>")), F.col("homepage_url")))
-    confirmed = extract.listing_answer(lookups.answered(pages, found.answers, "analyze_listing", "url"))
-    urls = confirmed.select("organiser_id", F.explode("event_urls").alias("url"))
-    return listing.new_urls(urls, events, force), confirmed.select("organiser_id", "url", F.size("candidates").alias("candidates"), F.size("event_urls").alias("confirmed"), "next_page")

@@ -126,7 +126,8 @@ def listing_run_summary(spark, d):
 
 
 def snapshots(spark, d, name):
-    e = table(spark, d, "events").where("user_id % 3 = 0").select((F.col("user_id") % 40).alias("listing"), (F.dayofmonth("ts") % 12).alias(name), (F.col("event_id") % 37).cast("string").alias("url"))
+    """Every user's events as a listing: what it showed on each day of the month."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("listing"), (F.dayofmonth("ts") - 1).alias(name), (F.col("event_id") % 37).cast("string").alias("url"))
     return e.groupBy("listing", name).agg(F.collect_set("url").alias("urls"))
 
 
@@ -136,7 +137,7 @@ def pagination_stop(spark, d):
 
 
 PAGINATION_SQL = """WITH s AS (
-  SELECT DISTINCT user_id % 40 AS listing, day(ts) % 12 + 1 AS page, CAST(event_id % 37 AS VARCHAR) AS url FROM events WHERE user_id % 3 = 0
+  SELECT DISTINCT user_id AS listing, day(ts) AS page, CAST(event_id % 37 AS VARCHAR) AS url FROM events
 ), f AS (SELECT listing, url, min(page) AS first FROM s GROUP BY ALL
 ), p AS (SELECT DISTINCT listing, page, row_number() OVER (PARTITION BY listing ORDER BY page) AS n FROM (SELECT DISTINCT listing, page FROM s)
 ), g AS (SELECT p.listing, p.page, p.page <> p.n OR (p.page > 1 AND NOT EXISTS (SELECT 1 FROM f WHERE f.listing = p.listing AND f.first = p.page)) AS gap FROM p
@@ -150,7 +151,7 @@ def append_stop(spark, d):
 
 
 APPEND_SQL = """WITH s AS (
-  SELECT DISTINCT user_id % 40 AS listing, day(ts) % 12 AS round, CAST(event_id % 37 AS VARCHAR) AS url FROM events WHERE user_id % 3 = 0
+  SELECT DISTINCT user_id AS listing, day(ts) - 1 AS round, CAST(event_id % 37 AS VARCHAR) AS url FROM events
 ), f AS (SELECT listing, url, min(round) AS first FROM s GROUP BY ALL
 ), g AS (SELECT DISTINCT s.listing, s.round, s.round > 0 AND NOT EXISTS (SELECT 1 FROM f WHERE f.listing = s.listing AND f.first = s.round) AS gap FROM s
 ), x AS (SELECT listing, min(CASE WHEN gap THEN round END) AS stop FROM g GROUP BY listing
@@ -222,17 +223,13 @@ def queue_dedupe(spark, d):
 
 
 def queue_stream(spark, d):
-    """A stream of the events file, repeats within a day's watermark dropped, drained into a table."""
-    import uuid
-
+    """A stream of the events file, repeats within a year's watermark dropped, drained into a shared folder."""
     from startline.streaming import queue
 
     # a file source takes folders or globs; the glob names one file and works in any store
     source = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"queue_{uuid.uuid4().hex}"
-    q = queue.once(source, "ts", ["user_id", "event_type"], "365 days").select("user_id", "event_type").writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    rows = queue.once(source, "ts", ["user_id", "event_type"], "365 days").select("user_id", "event_type")
+    return store.drained(rows, "queue")
 
 
 def windowed_counts(spark, d):
@@ -241,10 +238,7 @@ def windowed_counts(spark, d):
 
 
 def catalog_columns(spark, d):
-    names = ["region", "nation", "customer"]
-    for n in names:
-        table(spark, d, n).createOrReplaceTempView(n)
-    return files.columns_of(spark, names).select("table_name", "column_name", F.col("position").cast("int").alias("position"))
+    return files.columns_of({n: table(spark, d, n) for n in ("region", "nation", "customer")}).select("table_name", "column_name", F.col("position").cast("int").alias("position"))
 
 
 def registrator_scan(spark, d):
@@ -255,7 +249,7 @@ def registrator_scan(spark, d):
 
 def weekly_rule_expand(spark, d):
     """Every date of weekly events in the four weeks from their start; each event's weekday follows its id."""
-    e = roles.events(spark, d).where("id % 10 = 0")
+    e = roles.events(spark, d)
     first = F.expr("date_add(starts, cast(pmod(id - weekday(starts), 7) as int))")
     return e.withColumn("first", first).select("id", F.explode(F.expr("sequence(first, date_add(first, 27), interval 7 days)")).alias("day"))
 
@@ -316,8 +310,8 @@ SELECT event_id, CASE WHEN d > 0 THEN n * d + max(a - n * d) OVER (PARTITION BY
     ),
     "geocode_throttle": (
         geocode_throttle,
-        """WITH e AS (SELECT event_id, date_trunc('day', ts) AS s, CAST(floor(epoch(ts)) AS DOUBLE) AS a, CAST(row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY floor(epoch(ts)), event_id) - 1 AS DOUBLE) AS n FROM events)
-SELECT event_id, n + max(a - n) OVER (PARTITION BY s ORDER BY n ROWS UNBOUNDED PRECEDING) AS starts FROM e""",
+        """WITH e AS (SELECT event_id, CAST(floor(epoch(ts)) AS DOUBLE) AS a, CAST(row_number() OVER (ORDER BY floor(epoch(ts)), event_id) - 1 AS DOUBLE) AS n FROM events)
+SELECT event_id, n + max(a - n) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING) AS starts FROM e""",
     ),
     "crawl_decision": (crawl_decision("hash-check"), decision_sql("hash-check")),
     "crawl_decision_url_check": (crawl_decision("url-check"), decision_sql("url-check")),
@@ -357,7 +351,7 @@ SELECT page_id, page_status, coalesce(page_status IN (404, 410), false) AS dead
     "registrator_scan": (registrator_scan, "SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN c_mktsegment ELSE 'bot' END AS registrator FROM customer"),
     "weekly_rule_expand": (
         weekly_rule_expand,
-        """WITH e AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS starts FROM orders WHERE o_orderkey % 10 = 0),
+        """WITH e AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS starts FROM orders),
 f AS (SELECT id, starts + CAST(((id - (isodow(starts) - 1)) % 7 + 7) % 7 AS INTEGER) AS first FROM e)
 SELECT id, CAST(first + CAST(w * 7 AS INTEGER) AS DATE) AS day FROM f, range(4) r(w)""",
     ),

@@ -46,8 +46,8 @@ def feed_to_store(spark, d):
 
 def ld_pages(spark, d):
     """Pages built from orders, in every shape that structured data comes in."""
-    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("o_orderkey % 20 = 0")
-    k = F.floor(F.col("o_orderkey") / 20)
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    k = F.col("o_orderkey")
     address = F.to_json(F.struct(F.col("c_mktsegment").alias("streetAddress"), F.concat(F.lit("Town "), k.cast("string")).alias("addressLocality")))
     body = F.concat(
         F.lit('{"@context":"https://schema.org","@type":'), F.when(k % 3 == 0, F.lit('["Thing","SportsEvent"]')).when(k % 7 == 0, F.lit('"Person"')).otherwise(F.lit('"Event"')),
@@ -64,7 +64,7 @@ def jsonld_extract(spark, d):
     return ld_pages(spark, d).withColumn("event", markup.first_event(F.col("html"))).select("o_orderkey", *[c.alias(n) for n, c in found.items()])
 
 
-JSONLD_SQL = """WITH o AS (SELECT o_orderkey, o_orderkey // 20 AS k, c_name, c_mktsegment, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 20 = 0),
+JSONLD_SQL = """WITH o AS (SELECT o_orderkey, o_orderkey AS k, c_name, c_mktsegment, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders JOIN customer ON o_custkey = c_custkey),
 x AS (SELECT *, (k % 3 = 0 OR k % 7 <> 0) AND (k % 11 = 0 OR k % 13 = 0 OR k % 17 <> 0) AS ok FROM o)
 SELECT o_orderkey, CASE WHEN ok THEN c_name || ' & friends' END AS name, CASE WHEN ok THEN 'running' END AS sport, CAST(NULL AS VARCHAR) AS summary,
   CASE WHEN ok THEN day || CASE WHEN k % 4 = 0 THEN ' to 2030-01-01' ELSE '' END END AS date_text,
@@ -110,14 +110,13 @@ def occurrence_explode(spark, d):
 
 
 def date_parse(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 10 = 0")
-    k = F.col("o_orderkey") / 10
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
     day = F.when(k % 5 == 0, F.lit("2024-02-30")).when(k % 5 == 1, F.date_format("o_orderdate", "yyyyMMdd")).when(k % 5 == 2, F.lit("2024-8-18")).otherwise(F.concat(F.lit(" "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("\n")))
     time = F.when(k % 4 == 0, F.lit("9:5")).when(k % 4 == 1, F.lit("25:00")).when(k % 4 == 2, F.lit("18:30"))
     return o.select("o_orderkey", dates.iso_date(day).alias("day"), dates.clock(time).alias("clock"), dates.moment(day, time).alias("at"))
 
 
-DATE_SQL = """WITH o AS (SELECT o_orderkey, o_orderkey // 10 AS k, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 10 = 0),
+DATE_SQL = """WITH o AS (SELECT o_orderkey, o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders),
 x AS (SELECT o_orderkey, CASE WHEN k % 5 IN (1, 3, 4) THEN d END AS day, CASE k % 4 WHEN 0 THEN '09:05' WHEN 2 THEN '18:30' END AS clock FROM o)
 SELECT o_orderkey, day, clock, CAST(CAST(day AS VARCHAR) || ' ' || coalesce(clock, '00:00') || ':00' AS TIMESTAMP) AS at FROM x"""
 
@@ -218,10 +217,10 @@ def load_more_excerpt(spark, d):
     k = F.col("doc_id")
     pad = lambda n: F.repeat(F.lit("x"), n)
     html = F.when(k % 2 == 0, F.concat(pad(20_000), F.lit("LOAD MORE"), pad(F.lit(500) + (k % 3 * 900).cast("int")), F.lit("pagination"), pad(50_000))).otherwise(F.lit("<button>load more</button>"))
-    return table(spark, d, "documents").where("doc_id % 10 < 2").select("doc_id", F.length(text.excerpt(html)).cast("long").alias("size"), F.sha2(text.excerpt(html), 256).alias("sha"))
+    return table(spark, d, "documents").select("doc_id", F.length(text.excerpt(html)).cast("long").alias("size"), F.sha2(text.excerpt(html), 256).alias("sha"))
 
 
-EXCERPT_SQL = """WITH h AS (SELECT doc_id, doc_id % 2 = 0 AS long, repeat('x', 20000) || 'LOAD MORE' || repeat('x', CAST(500 + doc_id % 3 * 900 AS BIGINT)) || 'pagination' || repeat('x', 50000) AS html, 20009 + 500 + doc_id % 3 * 900 AS p FROM documents WHERE doc_id % 10 < 2),
+EXCERPT_SQL = """WITH h AS (SELECT doc_id, doc_id % 2 = 0 AS long, repeat('x', 20000) || 'LOAD MORE' || repeat('x', CAST(500 + doc_id % 3 * 900 AS BIGINT)) || 'pagination' || repeat('x', 50000) AS html, 20009 + 500 + doc_id % 3 * 900 AS p FROM documents),
 e AS (SELECT doc_id, CASE WHEN NOT long THEN '<button>load more</button>' WHEN p - 300 <= 21500 THEN html[1:4000] || chr(10) || '...' || chr(10) || html[19701:p + 1500]
   ELSE html[1:4000] || chr(10) || '...' || chr(10) || html[19701:21500] || chr(10) || '...' || chr(10) || html[p - 300 + 1:p + 1500] END AS e FROM h)
 SELECT doc_id, length(e) AS size, sha256(e) AS sha FROM e"""

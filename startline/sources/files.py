@@ -34,13 +34,21 @@ def handler_params(params: Column, sitemap_url: Column) -> Column:
     return F.when(F.size(with_sitemap) > 0, with_sitemap)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever store Spark reads; an error to look is an error."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def read_feed(spark: SparkSession, path: str) -> DataFrame | None:
-    """Rows of a bulk feed (tab-separated, with header); None if it cannot be read, which is not the same as empty."""
+    """Rows of a bulk feed (tab-separated, with header); None if there is none or its header is another's.
+
+    That is not the same as empty. Anything else that keeps a file from being read is raised.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in FEED_COLUMNS])
-    try:
-        header = spark.read.text(path).limit(1).collect()
-    except Exception:
+    if not exists(spark, path):
         return None
+    header = spark.read.text(path).limit(1).collect()
     if not header or not set(FEED_COLUMNS) & set(header[0][0].split("\t")):
         return None
     named = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"')
@@ -58,7 +66,7 @@ def decode_message(body: Column, schema: str) -> Column:
     return F.from_json(F.try_to_binary(data, F.lit("base64")).cast("string"), schema)
 
 
-def columns_of(spark: SparkSession, tables: list[str]) -> DataFrame:
-    """table_name, column_name, data_type, nullable, position of every column of the named tables or views."""
-    rows = [(t, f.name, f.dataType.simpleString(), f.nullable, n) for t in tables for n, f in enumerate(spark.table(t).schema.fields)]
-    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, nullable boolean, position int")
+def columns_of(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, column_name, data_type, nullable, position of every column of the tables by name; at least one table."""
+    rows = [(t, f.name, f.dataType.simpleString(), f.nullable, n) for t, df in tables.items() for n, f in enumerate(df.schema.fields)]
+    return next(iter(tables.values())).sparkSession.createDataFrame(rows, "table_name string, column_name string, data_type string, nullable boolean, position int")

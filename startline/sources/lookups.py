@@ -14,6 +14,9 @@ PROBES = "url string, head_status int, get_status int"
 ROBOTS = "site string, status int, body string"
 ANSWERS = "task string, key string, answer string"
 PLACES = "address string, rank int, latitude double, longitude double"
+#: A listing after its control for more was pressed a number of times, and sitemap files.
+VIEWS = "url string, press int, markdown string, links array<string>, html string"
+SITEMAPS = "url string, xml string"
 
 # The first status of a HEAD request that asks for a GET instead.
 NOT_ALLOWED = 405

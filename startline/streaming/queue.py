@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -20,6 +20,16 @@ def listing_messages(bodies: DataFrame) -> DataFrame:
     return bodies.select(decode_message(F.col("body"), LISTING).alias("m")).where("m.organiser_id IS NOT NULL").select("m.*")
 
 
+def event_messages(bodies: DataFrame) -> DataFrame:
+    """organiser_id and event_url of every message that has both."""
+    return bodies.select(decode_message(F.col("body"), EVENT).alias("m")).where("m.organiser_id IS NOT NULL AND m.event_url IS NOT NULL").select("m.*")
+
+
+def envelope(value: Column) -> Column:
+    """A message's JSON in the envelope that decode_message() opens."""
+    return F.concat(F.lit('{"message":{"data":"'), F.regexp_replace(F.base64(F.encode(value, "UTF-8")), r"\s", ""), F.lit('"}}'))
+
+
 def rejected(bodies: DataFrame) -> DataFrame:
     return bodies.where(F.get_json_object("body", "$.message.data").isNull())
 
@@ -52,13 +62,16 @@ class Pacing(StatefulProcessor):
         self.last = handle.getValueState("last", "at double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        """All chunks of a micro-batch are put in order together: 16 bytes a request of one site."""
         last = self.last.get()[0] if self.last.exists() else None
-        for part in rows:
-            out = []
-            for at, delay in zip(*(part.sort_values("arrival")[c] for c in ("arrival", "delay")), strict=True):
-                last = float(at) if last is None or not delay else max(float(at), last + min(float(delay), 30.0))
-                out.append((key[0], float(at), last))
-            yield pd.DataFrame(out, columns=["site", "arrival", "starts"])
+        parts = [part[["arrival", "delay"]].astype(float) for part in rows]
+        asked = pd.concat(parts).sort_values("arrival", kind="stable") if parts else pd.DataFrame({"arrival": [], "delay": []})
+        starts = []
+        for at, delay in zip(asked["arrival"].tolist(), asked["delay"].tolist(), strict=True):
+            last = at if last is None or not delay > 0 else max(at, last + min(delay, 30.0))
+            starts.append(last)
+        for k in range(0, len(starts), 10_000):
+            yield pd.DataFrame({"site": key[0], "arrival": asked["arrival"].to_numpy()[k : k + 10_000], "starts": starts[k : k + 10_000]})
         if last is not None:
             self.last.update((last,))
 
