@@ -25,16 +25,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from startline.llm.common import materialise, pieces, scratch, shuffle_width, target_file, worker_cache
+from startline.llm.common import give_back, materialise, pieces, scratch, shuffle_width, target_file, worker_cache
 
 BLOCK, PERCENTILE, END = 4096, 0.90, 0
 MAGIC, VERSION = b"PFOR", 2
 FOOTER = "<QQQI"
 BLOCK_HEADER = "<IBHI"
 #: Bytes of pieces and identifiers that a worker remembers, pieces encoded in one string, strings in one call.
-REMEMBERED, TOGETHER, CALL = 32 << 20, 200, 256
+REMEMBERED, TOGETHER, CALL = 12 << 20, 200, 256
 #: Bytes of text whose pieces are numbered together, and of a file before the next one is begun.
-SEGMENT, FILE_BYTES = 8 << 20, 32 << 20
+SEGMENT, FILE_BYTES = 4 << 20, 32 << 20
 #: Kinds of bytes that decide where a text may be cut; all others are 0.
 SPACE_BYTE, PUNCTUATION, ALPHANUMERIC = 1, 2, 3
 KIND = np.array([SPACE_BYTE if 9 <= b <= 13 or b == 32 else ALPHANUMERIC if chr(b).isalnum() and b < 128 else PUNCTUATION if 33 <= b < 127 else 0 for b in range(256)], np.uint8)
@@ -322,6 +322,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str
             place()
             yield pa.RecordBatch.from_pylist([{"name": name, "docs": n_docs, "ids": n_ids}])
             first, number = None if ended else next(rest, None), number + 1
+        give_back()  # the next stage's tasks run in the same worker
 
     manifest = rows.mapInArrow(work, "name string, docs long, ids long")
     return materialise(manifest, "token-manifest")
