@@ -105,6 +105,18 @@ def byte_values(column: pa.Array) -> list:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def coded_words(buffer: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+    """Where the words of a text begin and end, and the words themselves, each distinct one once.
+
+    The text ends with a space; space says which bytes separate words.
+    """
+    edge = np.diff(np.concatenate(([False], ~space)).astype(np.int8))
+    starts, ends = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+    offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(buffer[~space]))])
+    return starts, ends, words.dictionary_encode()
+
+
 def pieces(batches, most_bytes: int):
     """Cuts record batches so that each piece has about most_bytes at most; a longer row stands alone."""
     for batch in batches:

@@ -1,11 +1,15 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and word beginnings. The classifier is fitted on a bounded sample of labelled documents (about
-SAMPLE of each class): it keeps the terms that go with either label beyond chance, and holds the sample's vectors in
-an inverted index whose blocks of examples carry, for each term, their largest weight. Document frequencies are
-counted over all documents. A query visits blocks in the order of their upper bounds and stops once no block can
-hold a nearer example, so its neighbours are exact. Their votes, weighted by similarity and by how thinly each class
-was sampled, are calibrated by a logistic curve fitted on the sample itself, each example judged without itself.
+SAMPLE of each class). Its terms are all that go with either label beyond chance, however many: of all terms of the
+sample, those whose likelihood-ratio statistic reaches LEAST_G2. Vectors and their norms are over these terms; idf is
+over all documents.
+
+The sample's vectors are held in an inverted index: a term's postings lie by block of examples, and each such run
+carries its largest weight. A query adds these up to a bound for each block, visits blocks in the order of their
+bounds and stops once no block can hold a nearer example, so its neighbours are exact. Their votes, weighted by
+similarity and by how thinly each class was sampled, are calibrated by a logistic curve fitted on the sample itself,
+each example judged without itself.
 """
 
 from __future__ import annotations
@@ -14,18 +18,19 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from startline.llm.common import byte_values, materialise, pieces, worker_cache
-from startline.llm.op05_decontaminate import words_of
+from startline.llm.common import byte_values, coded_words, materialise, pieces, schema_of, shuffle_width
+from startline.llm.op05_decontaminate import FOLD, words_of
 from startline.llm.op08_language_id import bounded_sample, remainder
 
-SAMPLE, TERMS, NEIGHBOURS, BLOCK, SEED = 3000, 512, 15, 64, 7
+SAMPLE, NEIGHBOURS, BLOCK, SEED = 3000, 15, 64, 7
 BEGINNINGS = (4, 5, 6)
 #: Likelihood-ratio statistic that a term must reach: one chance in a hundred thousand.
 LEAST_G2 = 19.5
-REMEMBERED = 1_000_000
+SEPARATES = np.array([b == 32 for b in FOLD])
+FOLDED = np.frombuffer(FOLD, np.uint8)
 
 
 def terms_of(word: bytes) -> list[bytes]:
@@ -33,65 +38,78 @@ def terms_of(word: bytes) -> list[bytes]:
     return [word, *(word[:n] + b"*" for n in BEGINNINGS if len(word) >= n)]
 
 
-def g2(a: float, b: float, n_a: float, n_b: float) -> float:
+def g2(a: Column, b: Column, n_a: int, n_b: int) -> Column:
     """Log-likelihood ratio of a term in a of n_a and b of n_b documents."""
-    total, out = (a + b) / (n_a + n_b), 0.0
-    for x, n in ((a, n_a), (b, n_b)):
-        for seen, expected in ((x, n * total), (n - x, n * (1 - total))):
-            if seen > 0:
-                out += 2 * seen * math.log(seen / expected)
-    return out
+    share = (a + b) / F.lit(float(n_a + n_b))
+    part = lambda seen, n, p: F.when(seen > 0, seen * F.log(seen / (F.lit(float(n)) * p))).otherwise(F.lit(0.0))
+    return 2 * (part(a, n_a, share) + part(n_a - a, n_a, 1 - share) + part(b, n_b, share) + part(n_b - b, n_b, 1 - share))
 
 
-class TermIndex(dict):
-    """word -> numbers of its chosen terms, or None; filled on demand."""
+def vectors_of(texts: list[bytes], number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts together: how many terms each has, the terms' numbers and how often they occur."""
+    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    starts, _, coded = coded_words(FOLDED[raw], SEPARATES[raw])
+    found = [[number[t] for t in terms_of(w) if t in number] for w in coded.dictionary.to_pylist()]
+    sizes, flat = np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], np.int64)
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    use = np.nonzero(sizes[codes] > 0)[0] if len(codes) else np.zeros(0, np.int64)
+    text, codes = np.searchsorted(ends, starts[use], side="right"), codes[use]
+    terms = ranges((np.cumsum(sizes) - sizes)[codes], sizes[codes])
+    key, tf = np.unique(np.repeat(text, sizes[codes]) * max(1, len(number)) + flat[terms], return_counts=True)
+    return np.bincount(key // max(1, len(number)), minlength=len(texts)), key % max(1, len(number)), tf
 
-    def __init__(self, number: dict[bytes, int]):
-        super().__init__()
-        self.number = number
 
-    def __missing__(self, word: bytes):
-        if len(self) > REMEMBERED:
-            self.clear()
-        found = self[word] = tuple(self.number[t] for t in terms_of(word) if t in self.number) or None
-        return found
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges behind one another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples in blocks; nearest() is exact.
-
-    A block holds its postings as rows of term weights, one column for each example. Blocks are scored in the order
-    of their bounds, in growing groups, until the next bound is below the k-th cosine.
-    """
+    """Postings of unit vectors by term and block of examples, with each run's largest weight; nearest() is exact."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
-        self.n, self.block = len(vectors), block
-        self.blocks = np.zeros((max(1, -(-self.n // block)), terms, block), np.float32)
-        for doc, (idx, weight) in enumerate(vectors):
-            self.blocks[doc // block, idx, doc % block] = weight
-        self.most = np.ascontiguousarray(self.blocks.max(axis=2).T)
+        self.n, self.blocks = len(vectors), max(1, -(-len(vectors) // block))
+        doc = np.repeat(np.arange(self.n), [len(idx) for idx, _ in vectors])
+        term = np.concatenate([idx for idx, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
+        order = np.lexsort((doc, term))
+        self.doc, self.weight = doc[order], weight[order]
+        run = term[order] * self.blocks + self.doc // block
+        self.start = np.nonzero(np.concatenate(([True], run[1:] != run[:-1])))[0] if len(run) else np.zeros(0, np.int64)
+        self.length = np.diff(np.append(self.start, len(run)))
+        self.block = run[self.start] % self.blocks
+        self.most = np.maximum.reduceat(self.weight, self.start) if len(run) else np.zeros(0)
+        self.of_term = np.searchsorted(run[self.start] // self.blocks, np.arange(terms + 1))
 
     def nearest(self, idx: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest with a common term; equal cosines by position."""
-        weight = weight.astype(np.float32)
-        bound = weight @ self.most[idx]
-        order = np.argsort(-bound, kind="stable")
-        ids, sims, at, group = np.zeros(0, np.int64), np.zeros(0, np.float32), 0, 2
+        own = self.of_term[idx + 1] - self.of_term[idx]
+        runs, by = ranges(self.of_term[idx], own), np.repeat(weight, own)
+        bound = np.bincount(self.block[runs], by * self.most[runs], self.blocks)
+        order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound)]
+        place = np.empty(self.blocks, np.int64)
+        place[order] = np.arange(len(order))
+        turn = np.argsort(place[self.block[runs]], kind="stable")
+        runs, by = runs[turn], by[turn]
+        cuts = np.searchsorted(place[self.block[runs]], np.arange(len(order) + 1))
+        ids, sims, at, group = np.zeros(0, np.int64), np.zeros(0), 0, 2
         while at < len(order):
-            some = order[at : at + group]
-            least = sims[-1] - 1e-5 if len(sims) == k else 1e-9
-            some = some[bound[some] >= least]
-            if not len(some):
+            if len(sims) == k and bound[order[at]] < sims[-1] - 1e-9:
                 break
-            found = np.matmul(weight, self.blocks[some[:, None], idx])
-            row, column = np.nonzero(found > 1e-9)
-            here = some[row] * self.block + column
-            keep = here != without
-            ids, sims = np.concatenate((ids, here[keep])), np.concatenate((sims, found[row, column][keep]))
-            best = np.lexsort((ids, -np.round(sims, 5)))[:k]
+            to = min(at + group, len(order))
+            here = slice(cuts[at], cuts[to])
+            postings = ranges(self.start[runs[here]], self.length[runs[here]])
+            found = np.bincount(self.doc[postings], self.weight[postings] * np.repeat(by[here], self.length[runs[here]]))
+            if 0 <= without < len(found):
+                found[without] = 0.0
+            new = np.nonzero(found > 1e-12)[0]
+            ids, sims = np.concatenate((ids, new)), np.concatenate((sims, found[new]))
+            best = np.lexsort((ids, -np.round(sims, 9)))[:k]
             ids, sims = ids[best], sims[best]
-            at, group = at + group, group * 2
-        return ids, sims.astype(float)
+            at, group = to, group * 2
+        return ids, sims
 
 
 def unit(idx: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,8 +178,8 @@ def sample_of(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return bounded_sample(known, "toxic", "doc_id", sample, SEED)
 
 
-def choose_terms(sampled: DataFrame, n_terms: int) -> list[bytes]:
-    """The terms of the sample that go with a label, by likelihood ratio; from doc_id, text, toxic."""
+def choose_terms(sampled: DataFrame, least: float = LEAST_G2) -> list[bytes]:
+    """All terms of the sample that go with a label, by likelihood ratio; from text, toxic. The sample bounds them."""
 
     def work(batches):
         for batch in pieces(batches, 4 << 20):
@@ -176,43 +194,32 @@ def choose_terms(sampled: DataFrame, n_terms: int) -> list[bytes]:
     if len(n) < 2:
         return []
     counts = sampled.select("text", "toxic").mapInArrow(work, "term binary, toxic int").groupBy("term").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n"))
-    rate = F.col("a") / F.lit(float(n[1])), (F.col("n") - F.col("a")) / F.lit(float(n[0]))
-    apart = counts.where(F.col("n") >= 5).withColumn("apart", F.abs(F.sqrt(rate[0]) - F.sqrt(rate[1])))
-    top = apart.orderBy(F.desc("apart"), "term").limit(4 * n_terms).collect()
-    scored = sorted(((-g2(r["a"], r["n"] - r["a"], n[1], n[0]), bytes(r["term"])) for r in top))
-    return [t for s, t in scored if -s >= LEAST_G2][:n_terms]
+    apart = counts.where(g2(F.col("a"), F.col("n") - F.col("a"), n[1], n[0]) >= least)
+    return sorted(bytes(r["term"]) for r in apart.select("term").collect())
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, n_terms: int = TERMS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least_g2: float = LEAST_G2) -> DataFrame:
     """For every row doc_id, score (0 to 1), neighbours and cosines (the evidence).
 
     Labels come only from rows outside the held-out fifth; null labels and labels other than 0 and 1 teach nothing,
-    of repeated labels the larger holds. Null and empty texts, and texts without chosen terms, score the share of
+    of repeated labels the larger holds, and of rows that share a labelled identifier one teaches. Null and empty texts, and texts without chosen terms, score the share of
     toxic examples among such. Without examples of both classes every score is that share. Equal cosines are ranked
     by the index's order. An empty table gives an empty result. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chosen = materialise(sample_of(rows, labels, sample), "toxic-sample")
-    sampled = materialise(rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "toxic-texts")
-    terms = choose_terms(sampled, n_terms)
+    own = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sampled = materialise(own.select("text", "toxic"), "toxic-texts")
+    terms = choose_terms(sampled, least_g2)
     number = {t: n for n, t in enumerate(terms)}
 
     def vectors(batches):
-        for batch in pieces(batches, 16 << 20):
-            cache = worker_cache("op7")
-            if cache.get("terms", (None,))[0] != terms:
-                cache["terms"] = (terms, TermIndex(number))
-            find = cache["terms"][1].__getitem__
-            idx, tf = [], []
-            for text in byte_values(batch.column(1)):
-                hits = [x for x in map(find, words_of(text)) if x is not None]
-                own, count = np.unique(np.array([i for x in hits for i in x], np.int32), return_counts=True)
-                idx.append(own)
-                tf.append(count.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(idx, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.int32()))], ["doc_id", "idx", "tf"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    found = materialise(rows.mapInArrow(vectors, f"doc_id {kind}, idx array<int>, tf array<int>"), "toxic-vectors")
+        for batch in pieces(batches, 4 << 20):
+            sizes, idx, tf = vectors_of([t or b"" for t in byte_values(batch.column(1))], number)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (idx, tf))], ["doc_id", "idx", "tf"])
+
+    found = materialise(rows.mapInArrow(vectors, schema_of(rows, "doc_id", "idx array<int>, tf array<int>")), "toxic-vectors")
     total = found.count()
     idf = np.full(len(terms), math.log(1 + total) + 1)
 
@@ -225,7 +232,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     for r in found.select("idx").mapInArrow(count, "i int, df long").groupBy("i").agg(F.sum("df").alias("df")).collect():  # a row for each chosen term
         idf[r["i"]] = math.log((1 + total) / (1 + r["df"])) + 1
-    examples = [(r["doc_id"], r["toxic"], np.array(r["idx"], np.int64), np.array(r["tf"], float)) for r in found.join(F.broadcast(chosen), "doc_id").collect()]  # the sample
+    own = found.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("idx", "tf")).alias("v")).select("doc_id", "toxic", "v.*")
+    examples = [(r["doc_id"], r["toxic"], np.array(r["idx"], np.int64), np.array(r["tf"], float)) for r in own.collect()]  # the sample
     n = {c: max(1, sum(1 for e in examples if e[1] == c)) for c in (0, 1)}
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(remainder("doc_id", 5) != 0)
     whole = {r["toxic"]: r["n"] for r in known.groupBy(F.col("toxic").cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -246,7 +254,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 out.append(seen[key])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))], ["doc_id", "score", "neighbours", "cosines"])
 
-    return found.mapInArrow(judge, f"doc_id {kind}, score double, neighbours array<long>, cosines array<double>")
+    return found.repartition(shuffle_width(docs.sparkSession)).mapInArrow(judge, schema_of(rows, "doc_id", "score double, neighbours array<long>, cosines array<double>"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 from conftest import same
+from pyspark.sql import functions as F
 
 from startline.llm import op01_substring_dedup as op1
 from startline.llm import op03_hmm as op3
@@ -125,6 +126,61 @@ def test_language_model_counts_and_gain(spark, duck, data):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
+def test_scores_against_plain_baum_welch(spark):
+    """The whole operator against sums over states in plain Python: training, classes of unseen words, scores."""
+    rnd = random.Random(12)
+    docs = [(d, " ".join(rnd.choice(["red", "Blue", "green", "one", "two"][: 3 + 2 * (d % 2)]) for _ in range(rnd.randrange(9)))) for d in range(60)]
+    docs = [(d, t + " unseen" * (zlib.crc32(str(d).encode()) % 10 == 0)) for d, t in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in op3.score_documents(df, states=3, rounds=2).collect()}
+
+    tokens = {d: t.encode().lower().split() + [b""] for d, t in docs}
+    held = {d for d in tokens if zlib.crc32(str(d).encode()) % 10 == 0}
+    count: dict = {}
+    for d in set(tokens) - held:
+        for w in tokens[d]:
+            count[w] = count.get(w, 0) + 1
+    own = sorted(count, key=lambda w: (w != b"", -count[w], w))
+    symbol = {w: n for n, w in enumerate(own)}
+    unigram = np.array([count[w] + 0.1 for w in own] + [0.1] * op3.CLASSES)
+    unigram /= unigram.sum()
+    rows = df.withColumn("held_out", F.col("doc_id").isin(*held))
+    counts = op3.count_words(rows.where("NOT held_out"))
+    train = op3.encode(rows, op3.learn_vocabulary(counts)).where("NOT held_out")
+    n = len(tokens) - len(held)
+    model = op3.first_model(op3.first_sample(train, n), len(unigram), unigram, 3)
+    start, step, emit = model.start, model.step, model.emit
+    seqs = {d: [symbol.get(w, len(own) + zlib.crc32(w[-3:]) % op3.CLASSES) for w in tokens[d]] for d in tokens}
+
+    def ahead(s):
+        alpha = [start * emit[:, s[0]]]
+        for o in s[1:]:
+            alpha.append((alpha[-1] @ step) * emit[:, o])
+        return alpha
+
+    for _ in range(2):
+        sums = [np.zeros(3), np.zeros((3, 3)), np.zeros_like(emit)]
+        for s in (seqs[d] for d in tokens if d not in held):
+            alpha, beta = ahead(s), [np.ones(3)]
+            for o in reversed(s[1:]):
+                beta.insert(0, step @ (emit[:, o] * beta[0]))
+            whole = alpha[-1].sum()
+            for t, o in enumerate(s):
+                at = alpha[t] * beta[t] / whole
+                sums[2][:, o] += at
+                if t == 0:
+                    sums[0] += at
+                else:
+                    sums[1] += alpha[t - 1][:, None] * step * (emit[:, o] * beta[t])[None, :] / whole
+        start = (sums[0] + 0.1) / (sums[0].sum() + 0.3)
+        step = (sums[1] + 0.1) / (sums[1].sum(axis=1, keepdims=True) + 0.3)
+        emit = (sums[2] + op3.DRAWN * unigram) / (sums[2].sum(axis=1, keepdims=True) + op3.DRAWN)
+    for d, s in seqs.items():
+        assert math.isclose(got[d], math.log10(ahead(s)[-1].sum()), rel_tol=1e-9), d  # an unseen word is all of its class
+    again = {r["doc_id"]: r["score"] for r in op3.score_documents(df.repartition(5, "text"), states=3, rounds=2).collect()}
+    assert all(math.isclose(got[d], again[d], rel_tol=1e-9) for d in got)  # however the rows lie
+
+
 def test_exact_dedup_spreads_a_hot_group(spark):
     from startline.llm import op04_exact_dedup as op4
 
@@ -203,6 +259,61 @@ def test_block_max_search_is_exact():
         assert np.allclose(want[ids], sims, atol=1e-5)
 
 
+def test_toxicity_against_plain_cosines(spark, duck, data):
+    """The whole operator against terms, weights, all cosines and votes in plain Python."""
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r["doc_id"]: r for r in op7.toxicity(docs, labels, sample=60, least_g2=3.0).collect()}
+    chosen = {r["doc_id"]: r["toxic"] for r in op7.sample_of(docs, labels, 60).collect()}
+    plain_words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+    def terms(text):
+        words = [w.encode() for w in plain_words.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
+        return [t for w in words for t in [w] + [w[:n] + b"*" for n in (4, 5, 6) if len(w) >= n]]
+
+    own = {d: terms(t) for d, t, *_ in documents(duck)}
+    n = [sum(v == c for v in chosen.values()) for c in (0, 1)]
+    used = set()
+    for t in {t for d in chosen for t in own[d]}:
+        seen = [sum(t in own[d] for d, v in chosen.items() if v == c) for c in (0, 1)]
+        share = sum(seen) / sum(n)
+        ratio = sum(2 * x * math.log(x / (m * p)) for c in (0, 1) for x, m, p in ((seen[c], n[c], share), (n[c] - seen[c], n[c], 1 - share)) if x)
+        used |= {t} if ratio >= 3.0 else set()
+    assert len(used) > 20
+    idf = {t: math.log((1 + len(own)) / (1 + sum(t in x for x in own.values()))) + 1 for t in used}
+
+    def vector(d):
+        v = {t: (1 + math.log(own[d].count(t))) * idf[t] for t in set(own[d]) & used}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    vectors = {d: vector(d) for d in own}
+    with_terms = {d: c for d, c in chosen.items() if vectors[d]}
+    whole = [sum(1 for d, t in duck.sql("SELECT doc_id, toxic FROM labels").fetchall() if zlib.crc32(str(d).encode()) % 5 and t == c) for c in (0, 1)]
+    weight = [whole[c] / n[c] for c in (0, 1)]
+    mean = weight[1] * n[1] / sum(weight[c] * n[c] for c in (0, 1))
+
+    def vote(d, without=None):
+        cosines = sorted(((sum(x * vectors[e].get(t, 0) for t, x in vectors[d].items()), e) for e in with_terms if e != without), reverse=True)[:15]
+        cosines = [(x, e) for x, e in cosines if x > 1e-12]
+        votes = sum(x * weight[with_terms[e]] for x, e in cosines)
+        share = (sum(x * weight[1] for x, e in cosines if with_terms[e]) + 0.5 * mean) / (votes + 0.5)
+        return math.log(share / (1 - share)), cosines
+
+    examples = sorted(with_terms)
+    a, b = op7.logistic(np.array([vote(d, d)[0] for d in examples]), np.array([with_terms[d] for d in examples]), np.array([weight[with_terms[d]] for d in examples]))
+    compared = 0
+    for d in sorted(own):
+        x, cosines = vote(d)
+        if not cosines:
+            continue
+        assert np.allclose(sorted(got[d]["cosines"]), sorted(x for x, _ in cosines), atol=1e-9)
+        ends = [y for y, e in cosines if abs(y - cosines[-1][0]) < 1e-8]
+        if len(ends) == 1 or len(cosines) < 15:  # else which of equal ones votes is the index's choice
+            assert math.isclose(got[d]["score"], 1 / (1 + math.exp(-(a + b * x))), abs_tol=2e-3)
+            compared += 1
+    assert compared > 50
+
+
 def test_simhash_against_all_pairs(spark, duck, data):
     def bits(text):
         w = SPACES.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
