@@ -58,3 +58,22 @@ def test_pacing_logic():
     later = list(p.handleInputRows(("s",), iter([pd.DataFrame({"arrival": [2.0, 40.0], "delay": [5.0, 99.0]})]), None))
     assert first[0]["starts"].tolist() == [0.0, 5.0]
     assert later[0]["starts"].tolist() == [10.0, 40.0]
+
+
+def test_pacing_as_a_stream(spark, tmp_path):
+    """Two micro-batches of two sites: the state carries each site's last start over; agrees with the window."""
+    from startline.operators import robots
+
+    batches = [[("a", 0.0, 5.0), ("a", 1.0, 5.0), ("b", 3.0, 0.0), ("a", 0.5, 5.0)], [("a", 2.0, 5.0), ("a", 40.0, 5.0), ("b", 3.0, 0.0)]]
+    (tmp_path / "in").mkdir()
+    for n, rows in enumerate(batches):
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("site", "arrival", "delay"), r, strict=True))) for r in rows))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema("site string, arrival double, delay double").option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}/in")
+        got = sorted((r["site"], r["arrival"], r["starts"]) for r in store.drained(queue.paced(stream), "paced").collect())
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    rows = spark.createDataFrame([r for b in batches for r in b], "site string, arrival double, delay double")
+    assert got == sorted((r["site"], r["arrival"], r["starts"]) for r in robots.paced(rows).collect())
