@@ -1,14 +1,18 @@
 """Lookup tables in place of calls: pages, robots files, model answers, coordinates.
 
 Every lookup is a left join on the request, so a call that failed is a null, as it is for a live provider. A live
-provider is any function from requests to the same columns.
+provider is any function from requests to the same columns; retried() asks one again for what it left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from startline.operators import store
+
 PAGES = "url string, markdown string, links array<string>, html string, final_url string"
 PROBES = "url string, head_status int, get_status int"
 ROBOTS = "site string, status int, body string"
@@ -34,6 +38,24 @@ def fetch(requests: DataFrame, first: DataFrame, second: DataFrame | None = None
     return out.withColumns({f: found[f] for f in fields}).withColumn("fetched", found.isNotNull()).drop(*[f"_{n}" for n in range(len(order))])
 
 
+def retried(requests: DataFrame, provider: Callable[[DataFrame, float], DataFrame], key: str = "url", tries: int = 3, least: float = 2.0, most: float = 30.0) -> DataFrame:
+    """What a live provider answers, asked again for what it left out: rows of its columns, at most one for each key.
+
+    The provider is given the requests that are still open and how many seconds to wait before them: none at first,
+    then `least`, doubled each time up to `most`. What it answers is settled, so nothing is asked twice. A request
+    that no try answers is left out, as a lookup leaves it out. Null keys are not asked.
+    """
+    left, found, wait = requests.where(F.col(key).isNotNull()).dropDuplicates([key]), None, 0.0
+    for _ in range(tries):
+        new = store.settle(provider(left, wait).dropDuplicates([key]))
+        found = new if found is None else found.unionByName(new)
+        left = store.settle(left.join(new.select(key), key, "left_anti"))
+        if left.isEmpty():
+            break
+        wait = min(most, wait * 2 or least)
+    return found
+
+
 def liveness(requests: DataFrame, probes: DataFrame) -> DataFrame:
     """Requests with page_status: of HEAD, of GET where HEAD is not allowed; null if inconclusive."""
     status = F.when(F.col("head_status") == NOT_ALLOWED, F.col("get_status")).otherwise(F.col("head_status"))

@@ -208,3 +208,18 @@ def test_modes_and_registry(spark):
     r = decide.Registry()
     r.register("x", len)
     assert r.get("x") is len and r.get("y") is None and r.names() == ["x"]
+
+
+def test_a_provider_is_asked_again_for_what_it_left_out(spark):
+    asked = []
+
+    def provider(requests, wait):
+        urls = sorted(r["url"] for r in requests.select("url").collect())
+        asked.append((urls, wait))
+        return requests.where(F.length("url") <= len(asked)).select("url", F.lit("m").alias("markdown"))
+
+    requests = spark.createDataFrame([("a",), ("a",), ("bb",), ("never",), (None,)], "url string")
+    got = lookups.retried(requests, provider, tries=4, most=3.0)
+    assert sorted(r["url"] for r in got.collect()) == ["a", "bb"]
+    assert asked == [(["a", "bb", "never"], 0.0), (["bb", "never"], 2.0), (["never"], 3.0), (["never"], 3.0)]
+    assert lookups.retried(requests.where("url = 'a'"), lambda r, w: r.select("url")).count() == 1

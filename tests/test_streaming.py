@@ -1,5 +1,6 @@
 import base64
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -68,6 +69,7 @@ def test_pacing_as_a_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for n, rows in enumerate(batches):
         (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("site", "arrival", "delay"), r, strict=True))) for r in rows))
+        os.utime(tmp_path / "in" / f"{n}.json", (1000 + n, 1000 + n))  # files are read in the order of their times
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
