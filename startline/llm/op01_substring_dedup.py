@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from startline.llm.common import byte_values, pieces
+from startline.llm.common import byte_values, coded_words, give_back, pieces
 
 WINDOW = 50
 #: Windows settled together in a batch, and bytes of text hashed at a time.
@@ -78,11 +78,8 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, power:
     return (prefix[ends] - prefix[starts]) * down[starts]
 
 
-def word_values(buffer: np.ndarray, space: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-    """The two values of every word, from the bytes of a text and the words' lengths; each distinct word is hashed once."""
-    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-    words = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(buffer[~space]))])
-    coded = words.dictionary_encode()
+def word_values(coded: pa.DictionaryArray) -> list[np.ndarray]:
+    """The two values of every word; each distinct word is hashed once."""
     at, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
     digest = xxhash.xxh64_intdigest
     return [np.fromiter((digest(w, seed) for w in distinct), np.uint64, len(distinct))[at] for seed in SEEDS]
@@ -91,14 +88,8 @@ def word_values(buffer: np.ndarray, space: np.ndarray, lengths: np.ndarray) -> l
 def window_hashes(texts: list[bytes], window: int, power: list[Powers]) -> tuple[np.ndarray, ...]:
     """Of all windows of the texts: two hashes, text number and first word; and the words of each text."""
     buffer = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    space = IS_SPACE[buffer]
-    word = np.empty(len(buffer) + 1, np.int8)
-    word[0] = 0
-    word[1:] = ~space
-    edge = np.diff(word)
-    starts = np.nonzero(edge == 1)[0]
-    ends = np.nonzero(edge == -1)[0]
-    values = word_values(buffer, space, ends - starts)
+    starts, _, coded = coded_words(buffer, IS_SPACE[buffer])
+    values = word_values(coded)
     first = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
     at = np.searchsorted(starts, first)
     n_words = np.diff(at)
@@ -146,13 +137,11 @@ def repeated_windows(rows: DataFrame, window: int, ranges: int) -> DataFrame:
         """Settles a batch; yields what is left by range, and the repeats found as a reply of range -1."""
         tool = zstandard.ZstdCompressor(level=1)
         ids, marks = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        one, two = (np.concatenate([h[i] for h in held]) for i in (2, 3))
-        base = np.cumsum([0] + [len(h[0]) for h in held[:-1]])
-        doc = np.concatenate([h[4] + b for h, b in zip(held, base, strict=True)])
-        pos = np.concatenate([h[5] for h in held])
-        rank = np.unique(ids, return_inverse=True)[1]
-        key = (one & np.uint64(0xFFFFFFFF)) | (two << np.uint64(32))
-        part = ((one >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        base = np.cumsum([0] + [len(h[0]) for h in held[:-1]]).tolist()
+        doc = np.concatenate([h[4] + np.int32(b) for h, b in zip(held, base, strict=True)])
+        key, part, pos = (np.concatenate([h[i] for h in held]) for i in (2, 3, 5))
+        held.clear()
+        rank = np.unique(ids, return_inverse=True)[1].astype(np.int32)
         order = np.lexsort((doc, rank[doc])) if np.any(np.diff(rank) < 0) else np.arange(len(doc))
         order = order[np.argsort(key[order], kind="stable")]
         repeat = marked(key[order], rank[doc[order]], extra=part[order])
@@ -164,7 +153,7 @@ def repeated_windows(rows: DataFrame, window: int, ranges: int) -> DataFrame:
         doc, pos, key, part = (x[~again] for x in (doc, pos, key, part))
         order = np.argsort(part, kind="stable")
         doc, pos, key = doc[order], pos[order], key[order]
-        cuts = np.searchsorted(part[order], np.arange(ranges + 1, dtype=np.uint64))
+        cuts = np.searchsorted(part[order], np.arange(ranges + 1, dtype=np.uint32))
         for p in np.nonzero(np.diff(cuts))[0].tolist():
             d, x, k = (y[cuts[p] : cuts[p + 1]] for y in (doc, pos, key))
             head = np.nonzero(np.concatenate(([True], d[1:] != d[:-1])))[0]
@@ -187,13 +176,17 @@ def repeated_windows(rows: DataFrame, window: int, ranges: int) -> DataFrame:
         for batch in pieces(batches, BATCH_BYTES):
             texts = [t or b"" for t in byte_values(batch.column(2))]
             one, two, doc, pos, _ = window_hashes(texts, window, power)
-            held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), one, two, doc, pos))
+            # the key takes the low half of either hash, the range the high half of the first
+            key = (one & np.uint64(0xFFFFFFFF)) | (two << np.uint64(32))
+            part = (((one >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.uint32)
+            held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), key, part, doc, pos))
             n += len(one)
             if n >= BATCH_WINDOWS:
                 yield from send()
                 held, n = [], 0
         if n:
             yield from send()
+        give_back()
 
     def match(batches):
         """Each task holds whole ranges, one after the other; repeats go to the bucket of their document."""
@@ -204,11 +197,11 @@ def repeated_windows(rows: DataFrame, window: int, ranges: int) -> DataFrame:
                 return
             ids = np.concatenate([h[0] for h in held])
             marks = np.concatenate([h[1] for h in held])
-            base = np.cumsum([0] + [len(h[0]) for h in held[:-1]])
-            doc = np.concatenate([h[2] + b for h, b in zip(held, base, strict=True)])
-            pos = np.concatenate([h[3] for h in held])
-            key = np.concatenate([h[4] for h in held])
-            rank = np.unique(ids, return_inverse=True)[1]
+            base = np.cumsum([0] + [len(h[0]) for h in held[:-1]]).tolist()
+            doc = np.concatenate([h[2] + np.int32(b) for h, b in zip(held, base, strict=True)])
+            pos, key = (np.concatenate([h[i] for h in held]) for i in (3, 4))
+            held.clear()
+            rank = np.unique(ids, return_inverse=True)[1].astype(np.int32)
             order = np.argsort(key, kind="stable")
             repeat = marked(key[order], rank[doc[order]])
             again = np.zeros(len(doc), bool)
@@ -228,13 +221,14 @@ def repeated_windows(rows: DataFrame, window: int, ranges: int) -> DataFrame:
                     yield from finish()
                     held, at = [], part
                 ids, marks, n = np.cumsum(unpack(packed[0], np.int64)), unpack(packed[1], np.int32), unpack(packed[2], np.int32)
-                doc = np.repeat(np.arange(len(ids)), n)
-                step = unpack(packed[3], np.int32).astype(np.int64)
-                total = np.cumsum(step)
+                doc = np.repeat(np.arange(len(ids), dtype=np.int32), n)
+                step = unpack(packed[3], np.int32)
+                total = np.cumsum(step, dtype=np.int64)
                 head = np.cumsum(n) - n
-                pos = total - np.repeat(total[head] - step[head], n)
+                pos = (total - np.repeat(total[head] - step[head], n)).astype(np.int32)
                 held.append((ids, marks, doc, pos, np.frombuffer(packed[4], np.uint64)))
         yield from finish()
+        give_back()
 
     def merge(batches):
         """Each task holds whole buckets: the runs of a document as one row."""
