@@ -21,10 +21,11 @@ WEIGHTS = (1, 2, 3)
 TABLE = 1 << 16
 
 
-def fit_budget(lengths: list[int], counts: list[int], budget: int, table: int = TABLE) -> list[int]:
+def fit_budget(lengths: list[int], counts: list[int], budget: int, table: int = TABLE, extra: int = 0) -> list[int]:
     """How many documents of each length to take so that their sizes sum as near under budget as can be found.
 
-    The proportional share comes first, then longest-first down to `table`, then the exact best subset sum.
+    The proportional share comes first, then longest-first down to `table`, then the exact best subset sum. Only if
+    that does not meet the budget may documents be taken again, up to `extra` times each.
     """
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if total <= budget:
@@ -41,8 +42,10 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, table: int =
             left -= add * lengths[i]
     # bounded knapsack: bit b of a state says that a sum of b can be reached; counts are split in powers of two
     mask, reach, steps = (1 << (left + 1)) - 1, 1, []
-    for i in order:
-        spare, size = min(counts[i] - taken[i], left // lengths[i]), 1
+    for i, may in [(i, counts[i] - taken[i]) for i in order] + [(i, counts[i] * extra) for i in order]:
+        if reach >> left & 1:
+            break
+        spare, size = min(may, left // lengths[i]), 1
         while spare > 0:
             many = min(size, spare)
             spare, size = spare - many, size * 2
@@ -50,8 +53,6 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, table: int =
             if new != reach:
                 steps.append((i, many, reach))
                 reach = new
-        if reach >> left & 1:
-            break
     at = reach.bit_length() - 1
     for i, many, before in reversed(steps):
         if not before >> at & 1:
@@ -106,8 +107,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pdf = pdf.sort_values("size")
         whole, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
         copies = min(int(target // whole), cap)
-        more = fit_budget(pdf["size"].tolist(), pdf["n"].tolist(), round(target - copies * whole)) if copies < cap else [0] * len(pdf)
-        return pd.DataFrame({"name": pdf["name"], "size": pdf["size"], "copies": copies, "more": more})
+        more = pd.Series(0, index=pdf.index)
+        if copies < cap:
+            more += fit_budget(pdf["size"].tolist(), pdf["n"].tolist(), round(target - copies * whole), extra=cap - copies - 1)
+        return pd.DataFrame({"name": pdf["name"], "size": pdf["size"], "copies": copies + more // pdf["n"], "more": more % pdf["n"]})
 
     lengths = by_length.join(targets, "name").select("name", "size", "n", "source_size", "target")
     plans = lengths.where("size > 0").groupBy("name").applyInPandas(plan, "name string, size long, copies long, more long")

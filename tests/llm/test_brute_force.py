@@ -237,7 +237,11 @@ def test_fit_budget_is_the_best_sum_when_small():
         taken = op6.fit_budget(lengths, counts, budget)
         assert all(0 <= t <= c for t, c in zip(taken, counts, strict=True))
         assert sum(n * t for n, t in zip(lengths, taken, strict=True)) <= budget
-    assert op6.fit_budget([7, 5, 3], [1, 1, 1], 8) == [0, 1, 1]
+        again = op6.fit_budget(lengths, counts, budget, extra=2)
+        assert all(0 <= t <= 3 * c for t, c in zip(again, counts, strict=True))
+        assert sum(n * t for n, t in zip(lengths, taken, strict=True)) <= sum(n * t for n, t in zip(lengths, again, strict=True)) <= budget
+    assert op6.fit_budget([10, 7], [1, 1], 14) == [1, 0] and op6.fit_budget([10, 7], [1, 1], 14, extra=2) == [0, 2]
+    assert op6.fit_budget([7, 5, 3], [1, 1, 1], 8) == op6.fit_budget([7, 5, 3], [1, 1, 1], 8, extra=2) == [0, 1, 1]
     assert sum(n * t for n, t in zip([10**5, 99_991, 3], op6.fit_budget([10**5, 99_991, 3], [900, 900, 50], 10**8), strict=True)) > 10**8 - 10**5
 
 
