@@ -107,10 +107,12 @@ def crawl(spark, a) -> dict:
         organisers = organisers.orderBy("id").limit(a.limit)
     found, before, now = lookups_of(spark, a.lookups), tables_of(spark, a.tables), F.lit(datetime.datetime.now(datetime.UTC))
     organisers = store.settle(organisers)
+    named = decide.pick_handler(organisers, decide.handlers.names())
+    unknown = named.where("NOT handler_known AND length(handler) > 0").count()  # the default handler takes these
     new = discover(spark, a, organisers, found, before, now)
     requests = decide.planned(new.urls.join(organisers.select(F.col("id").alias("organiser_id"), "registrator"), "organiser_id"), a.mode)
     stop_if_unreachable(found, new.runs.select("url").unionByName(requests.select("url")))
-    listed = {f"listing {r['status']}": r["count"] for r in new.runs.groupBy("status").count().collect()}
+    listed = {f"listing {r['status']}": r["count"] for r in new.runs.groupBy("status").count().collect()} | ({"unknown handlers": unknown} if unknown else {})
     after, runs = plans.crawl(before, requests, found, now, decide.check_mode_of(a.force_refresh, a.check_mode))
     summary = {r["status"]: r["count"] for r in runs.groupBy("status").count().collect()}
     runs = table(spark, a.tables, "runs").unionByName(new.runs).unionByName(runs)

@@ -67,16 +67,16 @@ def test_crawl_recrawl_and_change(spark):
 
 def test_commands(spark, tmp_path):
     t, k = f"file://{tmp_path}/tables", f"file://{tmp_path}/lookups"
-    (tmp_path / "seed.csv").write_text('name,listing_urls,homepage_url,discovered_via,sitemap_url,handler,handler_params,registrator\nOrg,"[""https://s.example/list""]",https://s.example/,x,,,,\n')
+    (tmp_path / "seed.csv").write_text('name,listing_urls,homepage_url,discovered_via,sitemap_url,handler,handler_params,registrator\nOrg,"[""https://s.example/list""]",https://s.example/,x,,strange,,\n')
     assert cli.main(["--tables", t, "seed", f"file://{tmp_path}/seed.csv"]) == {"organisers": 1}
     found = world(spark)
     pages = found.pages.unionByName(spark.createDataFrame([("https://s.example/list", "m", ["https://s.example/a", "https://s.example/gone", "https://off.test/"], "", "")], lookups.PAGES))
     answers = found.answers.unionByName(spark.createDataFrame([("analyze_listing", "https://s.example/list", '{"event_indices":[0,1]}')], lookups.ANSWERS))
     for name, df in (("pages", pages), ("probes", found.probes), ("robots", found.robots), ("answers", answers), ("places", found.places)):
         df.write.parquet(f"{k}/{name}")
-    assert cli.main(["--tables", t, "--lookups", k, "crawl", "--mode", "dry-run"]) == {"listing success": 1}
-    assert cli.main(["--tables", t, "--lookups", k, "crawl"]) == {"success": 2, "listing success": 1}
-    assert cli.main(["--tables", t, "--lookups", k, "crawl"]) == {"listing success": 1}  # nothing new
+    assert cli.main(["--tables", t, "--lookups", k, "crawl", "--mode", "dry-run"]) == {"listing success": 1, "unknown handlers": 1}
+    assert cli.main(["--tables", t, "--lookups", k, "crawl"]) == {"success": 2, "listing success": 1, "unknown handlers": 1}
+    assert cli.main(["--tables", t, "--lookups", k, "crawl"]) == {"listing success": 1, "unknown handlers": 1}  # nothing new
     head = "\t".join(files.FEED_COLUMNS)
     (tmp_path / "feed.tsv").write_text(f"{head}\nPark\t51\t-1\tUnited Kingdom\t\t\t\t\thttps://f/x\n")
     assert cli.main(["--tables", t, "import-feed", f"file://{tmp_path}/feed.tsv", "--param", "today=2024-01-01"]) == {"status": "ok", "registered": 1, "organiser": "Feed organiser"}
