@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -143,12 +144,17 @@ def key_values(pairs: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def keyword_places(low: Column, word: str) -> Column:
     """Array of the positions (from 0) of a word that cannot overlap itself."""
     # what is split off before each hit, added up
     sizes = F.transform(F.split(low, "\\Q" + word + "\\E", -1), lambda p: F.length(p))
-    before = F.slice(sizes, 1, F.size(sizes) - 1)
-    return F.transform(before, lambda _, i: F.aggregate(F.slice(before, 1, i + 1), F.lit(0), lambda s, x: s + x) + i * len(word))
+    places = lambda all: let(F.slice(all, 1, F.size(all) - 1), lambda before: F.transform(before, lambda _, i: F.aggregate(F.slice(before, 1, i + 1), F.lit(0), lambda s, x: s + x) + i * len(word)))
+    return let(sizes, places)
 
 
 def excerpt(html: Column) -> Column:
@@ -156,9 +162,12 @@ def excerpt(html: Column) -> Column:
 
     Overlapping windows are merged. Positions are characters.
     """
-    low = F.lower(html)
+    return let(html, _excerpt)
+
+
+def _excerpt(html: Column) -> Column:
     span = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
-    found = F.flatten(F.array(*[keyword_places(low, word) for word in MORE_KEYWORDS]))
+    found = let(F.lower(html), lambda low: F.flatten(F.array(*[keyword_places(low, word) for word in MORE_KEYWORDS])))
     windows = F.array_sort(
         F.concat(F.array(span(F.lit(0), F.lit(EXCERPT_HEAD))), F.transform(found, lambda p: span(F.greatest(p - EXCERPT_BEFORE, F.lit(0)), F.least(p + EXCERPT_AFTER, F.length(html)))))
     )

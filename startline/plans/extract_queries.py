@@ -217,7 +217,8 @@ def load_more_excerpt(spark, d):
     k = F.col("doc_id")
     pad = lambda n: F.repeat(F.lit("x"), n)
     html = F.when(k % 2 == 0, F.concat(pad(20_000), F.lit("LOAD MORE"), pad(F.lit(500) + (k % 3 * 900).cast("int")), F.lit("pagination"), pad(50_000))).otherwise(F.lit("<button>load more</button>"))
-    return table(spark, d, "documents").select("doc_id", F.length(text.excerpt(html)).cast("long").alias("size"), F.sha2(text.excerpt(html), 256).alias("sha"))
+    cut = text.let(text.excerpt(html), lambda e: F.struct(F.length(e).cast("long").alias("size"), F.sha2(e, 256).alias("sha")))
+    return table(spark, d, "documents").select("doc_id", cut.alias("e")).select("doc_id", "e.*")
 
 
 EXCERPT_SQL = """WITH h AS (SELECT doc_id, doc_id % 2 = 0 AS long, repeat('x', 20000) || 'LOAD MORE' || repeat('x', CAST(500 + doc_id % 3 * 900 AS BIGINT)) || 'pagination' || repeat('x', 50000) AS html, 20009 + 500 + doc_id % 3 * 900 AS p FROM documents),
