@@ -12,6 +12,8 @@ from startline.llm import op07_toxicity as op7
 from startline.llm import op08_language_id as op8
 from startline.llm import op09_token_ids as op9
 from startline.llm import op10_simhash as op10
+from startline.llm import op12_merkle as op12
+from startline.llm import op13_filter_audit as op13
 
 
 def queries() -> dict:
@@ -28,6 +30,8 @@ def queries() -> dict:
         "op8_language_id": op8.op8_language_id,
         "op9_token_ids": op9.op9_token_ids,
         "op10_simhash": op10.op10_simhash,
+        "op12_merkle": op12.op12_merkle,
+        "op13_filter_audit": op13.op13_filter_audit,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -35,5 +39,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op1_substring_dedup": op1.SQL, "op2_warc": op2.SQL, "op4_exact_dedup": op4.SQL, "op5_decontaminate": op5.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op1_substring_dedup": op1.SQL, "op2_warc": op2.SQL, "op4_exact_dedup": op4.SQL, "op5_decontaminate": op5.SQL, "op12_merkle": op12.SQL, "op13_filter_audit": op13.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in found.items() if v}
