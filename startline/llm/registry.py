@@ -12,6 +12,7 @@ from startline.llm import op07_toxicity as op7
 from startline.llm import op08_language_id as op8
 from startline.llm import op09_token_ids as op9
 from startline.llm import op10_simhash as op10
+from startline.llm import op11_ngram_join as op11
 from startline.llm import op12_merkle as op12
 from startline.llm import op13_filter_audit as op13
 
@@ -30,6 +31,7 @@ def queries() -> dict:
         "op8_language_id": op8.op8_language_id,
         "op9_token_ids": op9.op9_token_ids,
         "op10_simhash": op10.op10_simhash,
+        "op11_ngram_join": op11.op11_ngram_join,
         "op12_merkle": op12.op12_merkle,
         "op13_filter_audit": op13.op13_filter_audit,
         "pipeline": corpus_pipeline.run,
