@@ -9,13 +9,14 @@ from __future__ import annotations
 import argparse
 import datetime
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from startline.functions.text import sitemap_directive
 from startline.functions.urls import robots_url
-from startline.operators import decide, feed, report, store
+from startline.operators import commits, decide, feed, report, store
 from startline.plans import crawl as plans
 from startline.plans import discovery
 from startline.sources import files, lookups
@@ -26,19 +27,41 @@ SCHEMAS = {"events": plans.EVENT, "distances": plans.DISTANCE, "occurrences": pl
 LOOKUPS = {"pages": lookups.PAGES, "probes": lookups.PROBES, "robots": lookups.ROBOTS, "answers": lookups.ANSWERS, "places": lookups.PLACES, "views": lookups.VIEWS, "sitemaps": lookups.SITEMAPS}
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    found = store.SnapshotSet(spark, folder).read(name)
+#: The tables that are dealt in buckets, by their column; a crawl rewrites the buckets of the addresses that it asks for.
+KEYS = {"events": "url", "distances": "url", "occurrences": "url"}
+
+
+def log_of(spark: SparkSession, folder: str) -> commits.TableLog:
+    return commits.TableLog(spark, folder, KEYS)
+
+
+def own(spark: SparkSession, now: commits.Snapshot, name: str, buckets: list[int] | None = None) -> DataFrame:
+    """A table of a version, or some buckets of it; an empty one before it is first written."""
+    found = now.read(name, buckets)
     return found if found is not None else spark.createDataFrame([], SCHEMAS[name])
 
 
-def save(spark: SparkSession, folder: str, tables: plans.Tables | None = None, **more: DataFrame) -> None:
-    """One commit of the event tables and others."""
-    own = {} if tables is None else {n: getattr(tables, n) for n in ("events", "distances", "occurrences", "race_types")}
-    store.SnapshotSet(spark, folder).replace(own | more)
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return own(spark, log_of(spark, folder).snapshot(), name)
+
+
+def save(spark: SparkSession, folder: str, **tables: DataFrame) -> None:
+    """Whole tables, in one commit."""
+    log_of(spark, folder).replace(tables)
+
 
+def tables_of(spark, now: commits.Snapshot) -> plans.Tables:
+    return plans.Tables(*(own(spark, now, n) for n in ("events", "distances", "occurrences", "race_types")))
 
-def tables_of(spark, folder) -> plans.Tables:
-    return plans.Tables(*(table(spark, folder, n) for n in ("events", "distances", "occurrences", "race_types")))
+
+def merged(spark, now: commits.Snapshot, urls: DataFrame, plan: Callable[[plans.Tables], tuple[plans.Tables, DataFrame | None]]) -> dict[str, commits.Change]:
+    """The changes that a plan makes to the buckets of some addresses, whose rows are all that it is given."""
+    touched = {n: now.buckets_of(n, urls, "url") for n in KEYS}
+    before = plans.Tables(*(own(spark, now, n, touched.get(n)) for n in ("events", "distances", "occurrences", "race_types")))
+    after, runs = plan(before)
+    changes = {n: commits.Merge(getattr(after, n), touched[n]) for n in KEYS}
+    changes["race_types"] = commits.Append(after.race_types.join(before.race_types.select("label"), "label", "left_anti").select(*before.race_types.columns))
+    return changes | ({} if runs is None else {"runs": commits.Append(runs)})
 
 
 def lookup(spark, folder, name, schema) -> DataFrame:
@@ -54,21 +77,26 @@ def lookups_of(spark, folder) -> plans.Lookups:
 def import_feed(spark, a) -> dict:
     params = dict(p.partition("=")[::2] for p in a.param)
     rows = files.read_feed(spark, a.path)
-    summary, after = {"status": "unusable", "registered": 0}, None
+    summary = {"status": "unusable", "registered": 0}
     if rows is not None:
         events = feed.feed_events(rows, params.get("today", datetime.date.today().isoformat()), params.get("country", feed.DEFAULT_COUNTRY))
         summary = feed.import_summary(events, a.organiser)
-        now = F.lit(datetime.datetime.now(datetime.UTC))
-        after = plans.register(tables_of(spark, a.tables), events, F.xxhash64(F.lit(a.organiser)), F.lit("bot"), now)
-    organisers = store.umbrella_organiser(table(spark, a.tables, "organisers"), a.organiser, params.get("homepage", ""), "feed_import")
-    save(spark, a.tables, after, organisers=organisers.withColumns({"id": F.coalesce("id", F.xxhash64("name"))}))
+    now = F.lit(datetime.datetime.now(datetime.UTC))
+
+    def work(base: commits.Snapshot) -> dict[str, commits.Change]:
+        organisers = store.umbrella_organiser(own(spark, base, "organisers"), a.organiser, params.get("homepage", ""), "feed_import")
+        changes = {"organisers": organisers.withColumns({"id": F.coalesce("id", F.xxhash64("name"))})}
+        if rows is not None:
+            changes |= merged(spark, base, events, lambda before: (plans.register(before, events, F.xxhash64(F.lit(a.organiser)), F.lit("bot"), now), None))
+        return changes
+
+    log_of(spark, a.tables).commit(work)
     return summary
 
 
 def seed(spark, a) -> dict:
     rows = files.read_seed(spark, a.path).withColumns({"id": F.xxhash64("name"), "source_type": F.lit("organiser"), "active": F.lit(True)})
-    out = store.sync_seed(table(spark, a.tables, "organisers"), rows)
-    save(spark, a.tables, organisers=out)
+    log_of(spark, a.tables).commit(lambda base: {"organisers": store.sync_seed(own(spark, base, "organisers"), rows)})
     return {"organisers": table(spark, a.tables, "organisers").count()}
 
 
@@ -101,65 +129,71 @@ def remembered(organisers: DataFrame, listings: DataFrame) -> DataFrame:
 
 def crawl(spark, a) -> dict:
     """From organisers to stored events: sitemaps, listings or discovery, then the events that are new."""
-    every = table(spark, a.tables, "organisers")
-    organisers = decide.eligible(every, a.organiser_id)
-    if a.limit:
-        organisers = organisers.orderBy("id").limit(a.limit)
-    found, before, now = lookups_of(spark, a.lookups), tables_of(spark, a.tables), F.lit(datetime.datetime.now(datetime.UTC))
-    organisers = store.settle(organisers)
-    named = decide.pick_handler(organisers, decide.handlers.names())
-    unknown = named.where("NOT handler_known AND length(handler) > 0").count()  # the default handler takes these
-    new = discover(spark, a, organisers, found, before, now)
-    requests = decide.planned(new.urls.join(organisers.select(F.col("id").alias("organiser_id"), "registrator"), "organiser_id"), a.mode)
-    stop_if_unreachable(found, new.runs.select("url").unionByName(requests.select("url")))
-    listed = {f"listing {r['status']}": r["count"] for r in new.runs.groupBy("status").count().collect()} | ({"unknown handlers": unknown} if unknown else {})
-    after, runs = plans.crawl(before, requests, found, now, decide.check_mode_of(a.force_refresh, a.check_mode))
-    summary = {r["status"]: r["count"] for r in runs.groupBy("status").count().collect()}
-    runs = table(spark, a.tables, "runs").unionByName(new.runs).unionByName(runs)
-    save(spark, a.tables, after, runs=runs, organisers=remembered(every, new.listings))
-    return summary | listed
+    found, now, summary = lookups_of(spark, a.lookups), F.lit(datetime.datetime.now(datetime.UTC)), {}
+
+    def work(base: commits.Snapshot) -> dict[str, commits.Change]:
+        every = own(spark, base, "organisers")
+        organisers = decide.eligible(every, a.organiser_id)
+        if a.limit:
+            organisers = organisers.orderBy("id").limit(a.limit)
+        organisers = store.settle(organisers)
+        named = decide.pick_handler(organisers, decide.handlers.names())
+        unknown = named.where("NOT handler_known AND length(handler) > 0").count()  # the default handler takes these
+        new = discover(spark, a, organisers, found, tables_of(spark, base), now)
+        requests = store.settle(decide.planned(new.urls.join(organisers.select(F.col("id").alias("organiser_id"), "registrator"), "organiser_id"), a.mode))
+        stop_if_unreachable(found, new.runs.select("url").unionByName(requests.select("url")))
+        changes = merged(spark, base, requests, lambda before: plans.crawl(before, requests, found, now, decide.check_mode_of(a.force_refresh, a.check_mode)))
+        runs = store.settle(changes["runs"].rows)
+        summary.clear()
+        summary.update({r["status"]: r["count"] for r in runs.groupBy("status").count().collect()})
+        summary.update({f"listing {r['status']}": r["count"] for r in new.runs.groupBy("status").count().collect()})
+        summary.update({"unknown handlers": unknown} if unknown else {})
+        return changes | {"runs": commits.Append(new.runs.unionByName(runs)), "organisers": remembered(every, new.listings)}
+
+    log_of(spark, a.tables).commit(work)
+    return summary
 
 
 def listing_queue(spark, a) -> dict:
     """Messages that name organisers: their new addresses as messages for the event queue, in a folder of JSON lines.
 
-    Reads what has arrived in a folder of message bodies since the last time, as a stream.
+    Reads what has arrived in a folder of message bodies since the last time, as a stream. A batch that is handed on
+    again writes its folder of messages again and is in the audit once.
     """
-    def work(batch: DataFrame, number: int) -> None:
+    def work(batch: DataFrame, number: int, base: commits.Snapshot) -> dict[str, commits.Change]:
         asked = queue.listing_messages(batch).distinct()
-        organisers = decide.eligible(table(spark, a.tables, "organisers")).join(asked.withColumnRenamed("organiser_id", "id"), "id", "left_semi")
-        organisers = store.settle(organisers)
+        every = own(spark, base, "organisers")
+        organisers = store.settle(decide.eligible(every).join(asked.withColumnRenamed("organiser_id", "id"), "id", "left_semi"))
         now = F.lit(datetime.datetime.now(datetime.UTC))
-        new = discover(spark, a, organisers, lookups_of(spark, a.lookups), tables_of(spark, a.tables), now)
+        new = discover(spark, a, organisers, lookups_of(spark, a.lookups), tables_of(spark, base), now)
         listings = new.urls.groupBy("organiser_id").agg(F.collect_set("url").alias("urls"))
         out = queue.publish(queue.fan_out(asked, listings), "events").select(queue.envelope(F.col("value")).alias("value"))
         out.write.mode("overwrite").text(f"{a.output}/batch-{number:09d}")
-        save(spark, a.tables, runs=table(spark, a.tables, "runs").unionByName(new.runs), organisers=remembered(table(spark, a.tables, "organisers"), new.listings))
+        return {"runs": commits.Append(new.runs), "organisers": remembered(every, new.listings)}
 
     return drained(spark, a, work)
 
 
 def event_queue(spark, a) -> dict:
-    """Messages that name events: each is crawled and stored; what is stored already is only looked at again."""
-    def work(batch: DataFrame, number: int) -> None:
-        asked = store.settle(queue.event_messages(batch).distinct())
-        organisers = decide.eligible(table(spark, a.tables, "organisers")).select(F.col("id").alias("organiser_id"), "registrator")
-        requests = asked.join(organisers, "organiser_id").select("organiser_id", F.col("event_url").alias("url"), "registrator")
-        found, before = lookups_of(spark, a.lookups), tables_of(spark, a.tables)
+    """Messages that name events: each is crawled and stored once; what is stored already is only looked at again."""
+    def work(batch: DataFrame, number: int, base: commits.Snapshot) -> dict[str, commits.Change]:
+        asked = queue.event_messages(batch).distinct()
+        organisers = decide.eligible(own(spark, base, "organisers")).select(F.col("id").alias("organiser_id"), "registrator")
+        requests = store.settle(asked.join(organisers, "organiser_id").select("organiser_id", F.col("event_url").alias("url"), "registrator"))
+        found, now = lookups_of(spark, a.lookups), F.lit(datetime.datetime.now(datetime.UTC))
         stop_if_unreachable(found, requests)
-        after, runs = plans.crawl(before, requests, found, F.lit(datetime.datetime.now(datetime.UTC)), decide.check_mode_of(a.force_refresh, a.check_mode))
-        save(spark, a.tables, after, runs=table(spark, a.tables, "runs").unionByName(runs))
+        return merged(spark, base, requests, lambda before: plans.crawl(before, requests, found, now, decide.check_mode_of(a.force_refresh, a.check_mode)))
 
     return drained(spark, a, work)
 
 
-def drained(spark, a, work) -> dict:
-    """Hands what has arrived to work, settled, a micro-batch at a time."""
+def drained(spark, a, work: Callable[[DataFrame, int, commits.Snapshot], dict[str, commits.Change]]) -> dict:
+    """Hands what has arrived to work, settled, a micro-batch at a time; each batch is one commit, made once."""
     read = []
 
     def one(batch: DataFrame, number: int) -> None:
         rows = store.settle(batch)
-        work(rows, number)
+        log_of(spark, a.tables).commit(lambda base: work(rows, number, base), commits.stream_id(spark, a.checkpoint), number)
         read.append(rows.count())
 
     bodies = spark.readStream.option("wholetext", True).text(a.messages).withColumnRenamed("value", "body")
@@ -168,9 +202,10 @@ def drained(spark, a, work) -> dict:
 
 
 def export(spark, a) -> dict:
-    now = tables_of(spark, a.tables)
+    base = log_of(spark, a.tables).snapshot()
+    now = tables_of(spark, base)
     ids = lambda df: df.withColumn("event_id", F.xxhash64("url"))
-    tree = report.event_tree(now.events.withColumn("id", F.xxhash64("url")), table(spark, a.tables, "organisers"), ids(now.distances), ids(now.occurrences), "invalid" if a.format == "html-invalid" else "valid", a.organiser_id)
+    tree = report.event_tree(now.events.withColumn("id", F.xxhash64("url")), own(spark, base, "organisers"), ids(now.distances), ids(now.occurrences), "invalid" if a.format == "html-invalid" else "valid", a.organiser_id)
     if a.format == "csv":
         return {"rows": report.write_csv(report.ordered(report.csv_rows(tree).withColumnRenamed("id", "id")), a.output)}
     return {"events": report.event_type_report(tree, a.output) if a.format == "html-by-type" else report.organiser_report(tree, a.output)}

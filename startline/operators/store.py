@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import tempfile
 import uuid
 
@@ -190,29 +189,3 @@ class SnapshotTable:
         modes = self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
         modes[0] = fs.Options.Rename.OVERWRITE
         fs.FileContext.getFileContext(self._fs.getUri(), self._fs.getConf()).rename(draft, pointer, modes)
-
-
-class SnapshotSet:
-    """Tables that change together: readers see all of one commit or all of the next.
-
-    Every table of a commit is written beside the others as a snapshot of its own; then one file, which names the
-    snapshot of each table, is replaced. A commit that fails on the way changes nothing.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.pointer = spark, SnapshotTable(spark, path)
-
-    def _named(self) -> dict[str, str]:
-        now = self.pointer._current()
-        return {} if now is None else json.loads(now)
-
-    def read(self, name: str) -> DataFrame | None:
-        now = self._named().get(name)
-        return None if now is None else self.spark.read.parquet(f"{self.pointer.path}/{now}")
-
-    def replace(self, tables: dict[str, DataFrame]) -> None:
-        named = self._named()
-        for name, rows in tables.items():
-            named[name] = f"{name}/snapshot-{uuid.uuid4().hex}"
-            rows.write.parquet(f"{self.pointer.path}/{named[name]}")
-        self.pointer.point(json.dumps(named))
