@@ -1,15 +1,16 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings. The classifier is fitted on a bounded sample of labelled documents (about
-SAMPLE of each class). Its terms are all that go with either label beyond chance, however many: of all terms of the
-sample, those whose likelihood-ratio statistic reaches LEAST_G2. Vectors and their norms are over these terms; idf is
-over all documents.
-
-The sample's vectors are held in an inverted index: a term's postings lie by block of examples, and each such run
-carries its largest weight. A query adds these up to a bound for each block, visits blocks in the order of their
-bounds and stops once no block can hold a nearer example, so its neighbours are exact. Their votes, weighted by
-similarity and by how thinly each class was sampled, are calibrated by a logistic curve fitted on the sample itself,
-each example judged without itself.
+The classifier is fitted on a bounded sample of labelled documents, about SAMPLE of each class. Its terms are all words
+of these, and those word beginnings that go with a label. A term's weight is (1 + log tf) times its idf, over all
+documents, times its evidence: how far the likelihood ratio of the term and the labels, counted over the sample, lies
+from chance. Evidence is a smooth factor and never 0, so every text that shares a word with an example has neighbours;
+words that go with neither label just count little.
+
+About EXAMPLES documents of each class are neighbours to be found. Their vectors are held in an inverted index: a
+term's postings lie by block of examples, and each such run carries its largest weight. A query adds these up to a
+bound for each block, visits blocks in the order of their bounds and stops once no block can hold a nearer example, so
+its neighbours are exact. Their votes, weighted by similarity and by how thinly each class was sampled, are calibrated
+by a logistic curve fitted on the examples, each judged without itself.
 """
 
 from __future__ import annotations
@@ -18,17 +19,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from startline.llm.common import byte_values, coded_words, materialise, pieces, schema_of, shuffle_width
+from startline.llm.common import byte_values, coded_words, materialise, pieces, schema_of
 from startline.llm.op05_decontaminate import FOLD, words_of
 from startline.llm.op08_language_id import bounded_sample, remainder
 
-SAMPLE, NEIGHBOURS, BLOCK, SEED = 3000, 15, 64, 7
+SAMPLE, EXAMPLES, NEIGHBOURS, BLOCK, SEED = 3000, 1000, 15, 128, 7
 BEGINNINGS = (4, 5, 6)
-#: Likelihood-ratio statistic that a term must reach: one chance in a hundred thousand.
-LEAST_G2 = 19.5
+#: Likelihood-ratio statistic of a beginning that is a term; of a term that has half its weight; the least evidence.
+BEGINNING_G2, HALF_G2, LEAST_EVIDENCE = 10.0, 8.0, 0.001
 SEPARATES = np.array([b == 32 for b in FOLD])
 FOLDED = np.frombuffer(FOLD, np.uint8)
 
@@ -45,6 +47,11 @@ def g2(a: Column, b: Column, n_a: int, n_b: int) -> Column:
     return 2 * (part(a, n_a, share) + part(n_a - a, n_a, 1 - share) + part(b, n_b, share) + part(n_b - b, n_b, 1 - share))
 
 
+def evidence(ratio: np.ndarray) -> np.ndarray:
+    """The factor, LEAST_EVIDENCE to 1, that a term's likelihood-ratio statistic gives it."""
+    return np.maximum(LEAST_EVIDENCE, ratio**2 / (ratio**2 + HALF_G2**2))
+
+
 def vectors_of(texts: list[bytes], number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts together: how many terms each has, the terms' numbers and how often they occur."""
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
@@ -112,22 +119,23 @@ class BlockMaxIndex:
         return ids, sims
 
 
-def unit(idx: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    weight = (1 + np.log(tf)) * idf[idx]
+def unit(idx: np.ndarray, tf: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    weight = (1 + np.log(tf)) * by[idx]
     norm = math.sqrt(float((weight * weight).sum()))
     return idx, weight / norm if norm else weight
 
 
 class Model:
-    """Chosen terms, their idf, the index, labels, class weights, the prior of texts without terms, the curve."""
+    """Terms, idf times evidence of each, the index, labels, class weights, the prior of texts without terms, the curve."""
 
-    def __init__(self, number, idf, examples, weights):
-        self.number, self.idf, self.weights = number, idf, weights
-        with_terms = sorted((e for e in examples if len(e[2])), key=lambda e: (e[2].tolist(), e[0]))  # alike side by side
+    def __init__(self, number, by, examples, weights):
+        self.number, self.by, self.weights = number, by, weights
+        own = [(e, unit(e[2], e[3], by)) for e in examples if len(e[2])]
+        own.sort(key=lambda v: (v[1][0][np.argsort(-v[1][1], kind="stable")[:3]].tolist(), v[0][0]))  # of one strongest term side by side
+        with_terms, vectors = [e for e, _ in own], [v for _, v in own]
         self.ids = np.array([e[0] for e in with_terms], np.int64)
         self.labels = np.array([e[1] for e in with_terms], np.int64)
-        vectors = [unit(e[2], e[3], idf) for e in with_terms]
-        self.index = BlockMaxIndex(vectors, max(1, len(idf)))
+        self.index = BlockMaxIndex(vectors, max(1, len(by)))
         rest = [weights[e[1]] * e[1] for e in examples if not len(e[2])]
         whole = sum(weights[e[1]] for e in examples if not len(e[2]))
         every = sum(weights[e[1]] for e in examples)
@@ -147,7 +155,7 @@ class Model:
     def score(self, idx, tf) -> tuple[float, np.ndarray, np.ndarray]:
         if not len(idx) or not len(self.labels):
             return self.prior, np.zeros(0, np.int64), np.zeros(0)
-        ids, sims = self.index.nearest(*unit(idx, tf, self.idf))
+        ids, sims = self.index.nearest(*unit(idx, tf, self.by))
         if not len(ids):
             return self.prior, ids, sims
         x = self.curve[0] + self.curve[1] * self.vote(ids, sims)
@@ -178,8 +186,8 @@ def sample_of(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return bounded_sample(known, "toxic", "doc_id", sample, SEED)
 
 
-def choose_terms(sampled: DataFrame, least: float = LEAST_G2) -> list[bytes]:
-    """All terms of the sample that go with a label, by likelihood ratio; from text, toxic. The sample bounds them."""
+def terms_with_evidence(sampled: DataFrame) -> list[tuple[bytes, float]]:
+    """The sample's words and telling beginnings with their likelihood ratios, in order; from text, toxic."""
 
     def work(batches):
         for batch in pieces(batches, 4 << 20):
@@ -194,67 +202,73 @@ def choose_terms(sampled: DataFrame, least: float = LEAST_G2) -> list[bytes]:
     if len(n) < 2:
         return []
     counts = sampled.select("text", "toxic").mapInArrow(work, "term binary, toxic int").groupBy("term").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n"))
-    apart = counts.where(g2(F.col("a"), F.col("n") - F.col("a"), n[1], n[0]) >= least)
-    return sorted(bytes(r["term"]) for r in apart.select("term").collect())
+    ratios = counts.select("term", g2(F.col("a"), F.col("n") - F.col("a"), n[1], n[0]).alias("ratio"))
+    star = F.endswith("term", F.lit("*").cast("binary"))
+    return sorted((bytes(r["term"]), r["ratio"]) for r in ratios.where(~star | (F.col("ratio") >= BEGINNING_G2)).collect())
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least_g2: float = LEAST_G2) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, examples: int = EXAMPLES) -> DataFrame:
     """For every row doc_id, score (0 to 1), neighbours and cosines (the evidence).
 
-    Labels come only from rows outside the held-out fifth; null labels and labels other than 0 and 1 teach nothing,
-    of repeated labels the larger holds, and of rows that share a labelled identifier one teaches. Null and empty texts, and texts without chosen terms, score the share of
-    toxic examples among such. Without examples of both classes every score is that share. Equal cosines are ranked
-    by the index's order. An empty table gives an empty result. Other columns are not read.
+    Labels come only from rows outside the held-out fifth; null labels and labels other than 0 and 1 teach nothing, of
+    repeated labels the larger holds, and of rows that share a labelled identifier one teaches. Null and empty texts,
+    and texts that share no word with the sample, score the share of toxic examples among such. Without examples of
+    both classes every score is that share. Equal cosines are ranked by the index's order. An empty table gives an
+    empty result. Other columns are not read. The sample bounds the terms: they are its distinct words, and its texts
+    are held in tasks only.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chosen = materialise(sample_of(rows, labels, sample), "toxic-sample")
     own = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    sampled = materialise(own.select("text", "toxic"), "toxic-texts")
-    terms = choose_terms(sampled, least_g2)
-    number = {t: n for n, t in enumerate(terms)}
+    sampled = materialise(own, "toxic-texts")
+    found = terms_with_evidence(sampled)
+    number = {t: n for n, (t, _) in enumerate(found)}
 
-    def vectors(batches):
+    def count(batches):
+        df, total = np.zeros(len(number) + 1, np.int64), 0
         for batch in pieces(batches, 4 << 20):
-            sizes, idx, tf = vectors_of([t or b"" for t in byte_values(batch.column(1))], number)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (idx, tf))], ["doc_id", "idx", "tf"])
+            df += np.bincount(vectors_of([t or b"" for t in byte_values(batch.column(0))], number)[1], minlength=len(df))
+            total += batch.num_rows
+        own = np.nonzero(df)[0]
+        yield pa.RecordBatch.from_arrays([pa.array([*own.tolist(), -1], pa.int32()), pa.array([*df[own].tolist(), total], pa.int64())], ["i", "df"])
 
-    found = materialise(rows.mapInArrow(vectors, schema_of(rows, "doc_id", "idx array<int>, tf array<int>")), "toxic-vectors")
-    total = found.count()
-    idf = np.full(len(terms), math.log(1 + total) + 1)
+    df = {r["i"]: r["df"] for r in rows.select("text").mapInArrow(count, "i int, df long").groupBy("i").agg(F.sum("df").alias("df")).collect()}  # a row for each term
+    total = df.get(-1, 0)
+    idf = np.array([math.log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(number))])
+    by = idf * evidence(np.array([r for _, r in found]))
 
-    def count(batches):
-        df = np.zeros(len(terms), np.int64)
-        for batch in batches:
-            df += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=len(terms))
-        own = np.nonzero(df)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(df[own])], ["i", "df"])
+    def vectors(batches):
+        for batch in pieces(batches, 4 << 20):
+            sizes, idx, tf = vectors_of([t or b"" for t in byte_values(batch.column(2))], number)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (idx, tf))], ["doc_id", "toxic", "idx", "tf"])
 
-    for r in found.select("idx").mapInArrow(count, "i int, df long").groupBy("i").agg(F.sum("df").alias("df")).collect():  # a row for each chosen term
-        idf[r["i"]] = math.log((1 + total) / (1 + r["df"])) + 1
-    own = found.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("idx", "tf")).alias("v")).select("doc_id", "toxic", "v.*")
-    examples = [(r["doc_id"], r["toxic"], np.array(r["idx"], np.int64), np.array(r["tf"], float)) for r in own.collect()]  # the sample
-    n = {c: max(1, sum(1 for e in examples if e[1] == c)) for c in (0, 1)}
+    few = sampled.join(F.broadcast(sample_of(rows, labels, examples)), ["doc_id", "toxic"]).select("doc_id", "toxic", "text")
+    few = few.mapInArrow(vectors, schema_of(rows, "doc_id", "toxic int, idx array<int>, tf array<int>"))
+    known_examples = [(r["doc_id"], r["toxic"], np.array(r["idx"], np.int64), np.array(r["tf"], float)) for r in few.collect()]  # the examples
+    n = {c: max(1, sum(1 for e in known_examples if e[1] == c)) for c in (0, 1)}
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(remainder("doc_id", 5) != 0)
     whole = {r["toxic"]: r["n"] for r in known.groupBy(F.col("toxic").cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    model = Model(number, idf, examples, {c: whole.get(c, 0) / n[c] for c in (0, 1)})
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    model = Model(number, by, known_examples, {c: whole.get(c, 0) / n[c] for c in (0, 1)})
 
     def judge(batches):
-        model, seen = sent.value, {}
-        for batch in batches:
-            out = []
-            for idx, tf in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                key = (tuple(idx), tuple(tf))
+        seen = {}
+        for batch in pieces(batches, 4 << 20):
+            sizes, idx, tf = vectors_of([t or b"" for t in byte_values(batch.column(1))], model.number)
+            out, at = [], 0
+            for size in sizes.tolist():
+                i, f = idx[at : at + size], tf[at : at + size]
+                at += size
+                key = xxhash.xxh3_128_digest(i.tobytes() + f.tobytes())  # copies are judged once
                 if key not in seen:
-                    if len(seen) > 50_000:
+                    if len(seen) > 20_000:
                         seen.clear()
-                    score, ids, sims = model.score(np.array(idx, np.int64), np.array(tf, float))
+                    score, ids, sims = model.score(i, f.astype(float))
                     seen[key] = (score, model.ids[ids].tolist() if len(ids) else [], sims.tolist())
                 out.append(seen[key])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))], ["doc_id", "score", "neighbours", "cosines"])
 
-    return found.repartition(shuffle_width(docs.sparkSession)).mapInArrow(judge, schema_of(rows, "doc_id", "score double, neighbours array<long>, cosines array<double>"))
+    return rows.mapInArrow(judge, schema_of(rows, "doc_id", "score double, neighbours array<long>, cosines array<double>"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

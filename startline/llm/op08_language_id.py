@@ -1,10 +1,13 @@
 """Language ID by compression: the language whose dictionary compresses a text smallest.
 
-Each learned language has a raw-content zstandard dictionary: its commonest words, counted over a bounded sample of
-labelled documents (about SAMPLE for each of the LABELS commonest languages), the commonest last, where matches are cheapest. A text is
-folded to lower-case letters, cut into pieces of PIECE bytes so that its own history does not hide the dictionary,
-and every piece is compressed with each dictionary. The smallest total wins; the margin is the share by which it
-beats the next, and a text is rejected if the margin is under MARGIN or it has no letters.
+Each language that any training row is labelled with has a raw-content zstandard dictionary: its commonest words,
+counted over a bounded sample of labelled documents (about SAMPLE for each), the commonest last, where matches are
+cheapest. A text is folded to lower-case letters, cut into pieces of PIECE bytes so that its own history does not hide
+the dictionary, and every piece is compressed with each dictionary. The smallest total wins; the margin is the share by
+which it beats the next, and a text is rejected if the margin is under MARGIN or it has no letters.
+
+A label costs the driver and each worker its dictionary of at most 32 kB and the compressor's table of it, and one
+compression of each text; there is no limit to their number but that.
 """
 
 from __future__ import annotations
@@ -21,8 +24,6 @@ from pyspark.sql import types as T
 from startline.llm.common import byte_values, pieces, worker_cache
 
 SAMPLE, DICTIONARY, LEVEL, PIECE, MARGIN, SEED = 1500, 32 << 10, 6, 2048, 0.003, 8
-#: Labels that are learned at most, the commonest; a column of junk cannot fill the driver.
-LABELS = 256
 UNKNOWN = "und"
 NAMES = ("lang_pred", "lang_score", "lang_rejected")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -33,11 +34,11 @@ def fold(text: bytes | None) -> bytes:
     return NOT_LETTERS.sub(" ", (text or b"").decode("utf-8", "replace").lower()).strip().encode()
 
 
-def bounded_sample(rows: DataFrame, label: str, id_col: str, per_label: int, seed: int, labels: int = LABELS) -> DataFrame:
-    """About per_label rows of each of the `labels` commonest labels, chosen by a hash of the identifier; all of a label that has fewer."""
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), label).limit(labels)
+def bounded_sample(rows: DataFrame, label: str, id_col: str, per_label: int, seed: int) -> DataFrame:
+    """About per_label rows of each label, chosen by a hash of the identifier; all of a label that has fewer."""
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     draw = F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1 << 30)) / float(1 << 30)
-    return rows.join(F.broadcast(counts), label).where(draw < F.lit(float(per_label)) / F.col("_n")).drop("_n")
+    return rows.join(counts, label).where(draw < F.lit(float(per_label)) / F.col("_n")).drop("_n")
 
 
 def learn_dictionaries(train: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> dict[str, bytes]:

@@ -266,8 +266,8 @@ def test_block_max_search_is_exact():
 def test_toxicity_against_plain_cosines(spark, duck, data):
     """The whole operator against terms, weights, all cosines and votes in plain Python."""
     docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
-    got = {r["doc_id"]: r for r in op7.toxicity(docs, labels, sample=60, least_g2=3.0).collect()}
-    chosen = {r["doc_id"]: r["toxic"] for r in op7.sample_of(docs, labels, 60).collect()}
+    got = {r["doc_id"]: r for r in op7.toxicity(docs, labels).collect()}
+    chosen = {r["doc_id"]: r["toxic"] for r in op7.sample_of(docs, labels, op7.EXAMPLES).collect()}
     plain_words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
     def terms(text):
@@ -276,17 +276,17 @@ def test_toxicity_against_plain_cosines(spark, duck, data):
 
     own = {d: terms(t) for d, t, *_ in documents(duck)}
     n = [sum(v == c for v in chosen.values()) for c in (0, 1)]
-    used = set()
+    by = {}
     for t in {t for d in chosen for t in own[d]}:
         seen = [sum(t in own[d] for d, v in chosen.items() if v == c) for c in (0, 1)]
         share = sum(seen) / sum(n)
         ratio = sum(2 * x * math.log(x / (m * p)) for c in (0, 1) for x, m, p in ((seen[c], n[c], share), (n[c] - seen[c], n[c], 1 - share)) if x)
-        used |= {t} if ratio >= 3.0 else set()
-    assert len(used) > 20
-    idf = {t: math.log((1 + len(own)) / (1 + sum(t in x for x in own.values()))) + 1 for t in used}
+        if not t.endswith(b"*") or ratio >= 10:
+            by[t] = max(0.001, ratio**2 / (ratio**2 + 64)) * (math.log((1 + len(own)) / (1 + sum(t in x for x in own.values()))) + 1)
+    assert len(by) > 1000
 
     def vector(d):
-        v = {t: (1 + math.log(own[d].count(t))) * idf[t] for t in set(own[d]) & used}
+        v = {t: (1 + math.log(own[d].count(t))) * by[t] for t in set(own[d]) & by.keys()}
         size = math.sqrt(sum(x * x for x in v.values()))
         return {t: x / size for t, x in v.items()}
 
@@ -315,7 +315,8 @@ def test_toxicity_against_plain_cosines(spark, duck, data):
         if len(ends) == 1 or len(cosines) < 15:  # else which of equal ones votes is the index's choice
             assert math.isclose(got[d]["score"], 1 / (1 + math.exp(-(a + b * x))), abs_tol=2e-3)
             compared += 1
-    assert compared > 50
+    assert compared > 150
+    assert all(got[d]["neighbours"] for d in own if vectors[d]) and len({r["score"] for r in got.values()}) > 100
 
 
 def test_simhash_against_all_pairs(spark, duck, data):
