@@ -79,7 +79,8 @@ def fold_dots(url: Column) -> Column:
     """Without . and .. segments in the path."""
     root, tail = site_root(url), F.regexp_extract(url, r"([?#].*)$", 1)
     path = F.regexp_replace(F.replace(url, root, F.lit("")), r"[?#].*$", "")
-    parts = F.slice(F.split(path, "/"), 2, 10_000)
+    every = F.split(path, "/")
+    parts = F.slice(every, F.lit(2), F.size(every))
     ends = F.element_at(parts, -1)
     empty = F.array().cast("array<string>")
     step = lambda done, s: (

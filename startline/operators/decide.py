@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from startline.functions.coerce import GONE
@@ -63,7 +63,7 @@ def planned(found: DataFrame, mode: str = "normal", by: str = "organiser_id", or
     if mode == "dry-run":
         return found.limit(0)
     if mode == "sanity-check":
-        return found.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where("_n = 1").drop("_n")
+        return found.groupBy(by).agg(F.min_by(F.struct(*found.columns), F.struct(order)).alias("_first")).select("_first.*")
     return found
 
 

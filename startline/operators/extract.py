@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from startline.functions import coerce
 from startline.functions.dates import clock, iso_date, moment
-from startline.functions.markup import first_event, structured_fields
+from startline.functions.markup import first_event, with_structured_fields
 from startline.functions.text import blank_to_null, place_candidates
 from startline.operators.decide import content_hash
 
@@ -23,8 +23,7 @@ ALWAYS = ("distances", "is_valid_event", "invalid_reason", "occurrence", "occurr
 
 def known_fields(pages: DataFrame, **more) -> DataFrame:
     """pages with `known`: name, sport, summary, date_text and location of their structured data."""
-    found = structured_fields(F.col("_event"), **more)
-    return pages.withColumn("_event", first_event(F.col("html"))).withColumn("known", F.struct(*[found[k].alias(k) for k in KNOWN])).drop("_event")
+    return with_structured_fields(pages.withColumn("_event", first_event(F.col("html"))), "_event", "known", **more).drop("_event")
 
 
 def asked_fields(known: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from startline.functions import coerce, markup, urls
+from startline.operators import store
 
 MOST_PAGES = 50
 WAIT_MS = 4000
@@ -91,18 +92,21 @@ def append(snapshots: DataFrame, key: str = "listing") -> DataFrame:
     return last.join(snapshots, (last[key] == snapshots[key]) & (last["rounds"] == snapshots["round"])).select(last[key], "urls", "rounds")
 
 
-def follow(spark, links: DataFrame, start: DataFrame, most: int = MOST_PAGES) -> DataFrame:
-    """start_url, url, step: pages reached by following next links, until none, a visited one or the cap."""
-    links.createOrReplaceTempView("_next_links")
-    start.createOrReplaceTempView("_first_pages")
-    return spark.sql(f"""
-        WITH RECURSIVE walk (start_url, url, step, seen) AS (
-          SELECT url, url, 1, array(url) FROM _first_pages
-          UNION ALL
-          SELECT w.start_url, n.next_url, w.step + 1, array_append(w.seen, n.next_url)
-          FROM walk w JOIN _next_links n ON n.url = w.url
-          WHERE w.step < {most} AND n.next_url IS NOT NULL AND NOT array_contains(w.seen, n.next_url)
-        ) SELECT start_url, url, step FROM walk""")
+def follow(links: DataFrame, start: DataFrame, most: int = MOST_PAGES) -> DataFrame:
+    """start_url, url, step: pages reached by following next links, until none, a visited one or the cap.
+
+    All walks go a step at a time, and each step is settled: any number of walks, and one join for each of at most
+    `most` steps.
+    """
+    onward = links.where(F.col("next_url").isNotNull()).select("url", "next_url")
+    walks = [start.select(F.col("url").alias("start_url"), "url", F.lit(1).alias("step"), F.array("url").alias("seen"))]
+    for step in range(2, most + 1):
+        reached = walks[-1].join(onward, "url").where(~F.array_contains("seen", F.col("next_url")))
+        now = store.settle(reached.select("start_url", F.col("next_url").alias("url"), F.lit(step).alias("step"), F.array_append("seen", F.col("next_url")).alias("seen")))
+        if now.isEmpty():
+            break
+        walks.append(now)
+    return reduce(DataFrame.unionByName, walks).select("start_url", "url", "step")
 
 
 def actions(kind: str, presses: int, selector: str | None = None):
@@ -114,7 +118,7 @@ def actions(kind: str, presses: int, selector: str | None = None):
 
 def script(acts):
     """Column: browser script of an actions column; unknown kinds do nothing."""
-    quoted = lambda s: F.substring(F.to_json(F.struct(s.alias("s"))), 6, 1 << 20)
+    quoted = lambda s: F.to_json(F.struct(s.alias("s"))).substr(F.lit(6), F.length(s) * 6 + 3)
     line = lambda a: (
         F.when(a["type"] == "click", F.concat(F.lit("{ const el = document.querySelector("), F.regexp_replace(quoted(a["selector"]), r"\}$", ""), F.lit("); if (el) el.click(); }")))
         .when(a["type"] == "scroll", F.lit("window.scrollTo(0, document.body.scrollHeight);"))

@@ -60,32 +60,30 @@ def allowed(urls: DataFrame, site_rules: DataFrame, registrator: Column | None =
     return urls.join(verdict, "url", "left").withColumn("allowed", free | F.coalesce("verdict", F.lit(True))).drop("verdict")
 
 
-def paced(requests: DataFrame, site: str = "site", arrival: str = "arrival", delay: str = "delay", order: tuple[str, ...] = ()) -> DataFrame:
+def paced(requests: DataFrame, site: str = "site", arrival: str = "arrival", delay: str = "delay", order: tuple[str, ...] = (), seconds: float = 3600.0) -> DataFrame:
     """requests with `starts`: when each may go if a site's requests keep their delay apart.
 
-    arrival is in seconds; ties go by the order columns. With constant delay d, request n starts at
-    n d + max over earlier k of (arrival_k - k d). Delays over the cap count as the cap; none or zero do not wait.
+    arrival is in seconds; ties go by the order columns. With a site's delay d, request n starts at
+    n d + max over earlier k of (arrival_k - k d). Delays over the cap count as the cap; none or zero do not wait. A
+    request without an arrival has no start and holds up no other.
+
+    A site is paced in two passes, so that none is one task: each of its ranges of time alone, then a range's count
+    and its max(arrival - k d) go to the ranges after it, which wait for whatever those leave undone.
     """
-    w = Window.partitionBy(site).orderBy(arrival, *order)
     gap = F.least(F.coalesce(F.col(delay), F.lit(0.0)), F.lit(DELAY_CAP))
-    out = requests.withColumn("_n", (F.row_number().over(w) - 1).cast("double")).withColumn("_d", gap)
-    free = F.max(F.col(arrival) - F.col("_n") * F.col("_d")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("starts", F.when(F.col("_d") > 0, F.col("_n") * F.col("_d") + free).otherwise(F.col(arrival).cast("double"))).drop("_n", "_d")
+    own = requests.withColumns({"_range": F.floor(F.col(arrival) / seconds), "_d": gap})
+    w = Window.partitionBy(site, "_range").orderBy(arrival, *order)
+    own = own.withColumn("_n", (F.row_number().over(w) - 1).cast("double"))
+    own = own.withColumn("_free", F.max(F.col(arrival) - F.col("_n") * F.col("_d")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ranges = own.where("_range IS NOT NULL").groupBy(F.col(site).alias("_site"), F.col("_range").alias("_at")).agg(F.count(F.lit(1)).alias("_rows"), F.max("_free").alias("_most"), F.max("_d").alias("_gap"))
+    earlier = Window.partitionBy("_site").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).cast("double"))
+    ranges = ranges.withColumn("_held", F.max(F.col("_most") - F.col("_before") * F.col("_gap")).over(earlier)).select("_site", "_at", "_before", "_held")
+    out = own.join(ranges, F.col(site).eqNullSafe(F.col("_site")) & (F.col("_range") == F.col("_at")), "left")
+    starts = F.greatest(F.col("_n") * F.col("_d") + F.col("_free"), (F.col("_before") + F.col("_n")) * F.col("_d") + F.col("_held"))
+    return out.withColumn("starts", F.when(F.col("_d") > 0, starts).otherwise(F.col(arrival).cast("double"))).select(*requests.columns, "starts")
 
 
 def paced_together(requests: DataFrame, delay: float, arrival: str = "arrival", order: tuple[str, ...] = (), seconds: float = 3600.0) -> DataFrame:
-    """requests with `starts`: paced as one site, in two passes, so that no task holds all rows.
-
-    Each range of time is paced alone; its count and its max(arrival - k d) go to the ranges after it, which wait
-    for whatever those leave undone. The only window over everything has a row for each range. A request without an
-    arrival has no start and holds up no other.
-    """
-    own = paced(requests.withColumns({"_range": F.floor(F.col(arrival) / seconds), "_gap": F.lit(delay)}), "_range", arrival, "_gap", order)
-    number = (F.row_number().over(Window.partitionBy("_range").orderBy(arrival, *order)) - 1).cast("double")
-    own = own.withColumn("_n", number)
-    ranges = own.where("_range IS NOT NULL").groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"), F.max(F.col("starts") - F.col("_n") * F.lit(delay)).alias("_free"))
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).cast("double"))
-    ranges = ranges.withColumn("_held", F.max(F.col("_free") - F.col("_before") * F.lit(delay)).over(earlier)).select("_range", "_before", "_held")
-    out = own.join(ranges, "_range", "left")
-    return out.withColumn("starts", F.greatest("starts", (F.col("_before") + F.col("_n")) * F.lit(delay) + F.col("_held"))).drop("_range", "_gap", "_n", "_before", "_held")
+    """requests with `starts`: paced as one site."""
+    return paced(requests.withColumns({"_one": F.lit(0), "_delay": F.lit(delay)}), "_one", arrival, "_delay", order, seconds).drop("_one", "_delay")

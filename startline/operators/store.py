@@ -93,9 +93,9 @@ def sync_seed(organisers: DataFrame, seed: DataFrame, line: str | None = None) -
 
 
 def latest(history: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key, with first_seen, the earliest."""
-    w = Window.partitionBy(key).orderBy(F.col(order).desc())
-    return history.withColumns({"_n": F.row_number().over(w), "first_seen": F.min(order).over(Window.partitionBy(key))}).where("_n = 1").drop("_n")
+    """The last row of each key, with first_seen, the earliest. Rows are aggregated where they lie; no key is a task."""
+    best = history.groupBy(key).agg(F.max_by(F.struct(*history.columns), F.struct(order)).alias("_last"), F.min(order).alias("first_seen"))
+    return best.select("_last.*", "first_seen")
 
 
 def carried_forward(history: DataFrame, key: str, order: str, *columns: str) -> DataFrame:

@@ -164,7 +164,7 @@ def recursive_pagination(spark, d):
     links = n.select(F.col("n_name").alias("url"), F.col("n_nationkey").alias("k")).alias("a")
     following = n.select(F.col("n_name").alias("next_url"), F.col("n_nationkey").alias("k2")).alias("b")
     chain = links.join(following, (F.col("k") * 2 + 1) % 25 == F.col("k2")).select("url", "next_url")
-    return listing.follow(spark, chain, n.select(F.col("n_name").alias("url")))
+    return listing.follow(chain, n.select(F.col("n_name").alias("url")))
 
 
 RECURSIVE_SQL = """WITH RECURSIVE links AS (SELECT a.n_name AS url, b.n_name AS next_url FROM nation a JOIN nation b ON (a.n_nationkey * 2 + 1) % 25 = b.n_nationkey

@@ -60,8 +60,7 @@ def ld_pages(spark, d):
 
 
 def jsonld_extract(spark, d):
-    found = markup.structured_fields(F.col("event"))
-    return ld_pages(spark, d).withColumn("event", markup.first_event(F.col("html"))).select("o_orderkey", *[c.alias(n) for n, c in found.items()])
+    return markup.with_structured_fields(ld_pages(spark, d).withColumn("event", markup.first_event(F.col("html"))), "event", "found").select("o_orderkey", "found.*")
 
 
 JSONLD_SQL = """WITH o AS (SELECT o_orderkey, o_orderkey AS k, c_name, c_mktsegment, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders JOIN customer ON o_custkey = c_custkey),

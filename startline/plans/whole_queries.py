@@ -65,16 +65,18 @@ def csv_all_columns(spark, d):
     dates = roles.events(spark, d).where("id % 3 = 0").select(k.alias("event_id"), F.explode(F.array(F.lit(1), F.lit(0))).alias("sort_order"))
     n = F.col("sort_order").cast("string")
     dates = dates.select("event_id", "sort_order", F.concat(F.lit("Day "), n).alias("date_text"), F.when(F.col("event_id") % 2 == 0, F.lit("9 am")).alias("time_text"), F.when(F.col("sort_order") == 1, F.lit("£5")).alias("price_text"))
-    tree = report.event_tree(e, roles.organisers(spark, d), roles.distances(spark, d).limit(0), dates)
+    tree = report.event_tree(e, roles.organisers(spark, d), roles.distances(spark, d), dates)
     return report.csv_rows(tree)
 
 
 CSV_WORDS = {c: f"'{c} ' || o_orderkey" for c in "name sport invalid_reason date_text occurrence occurrence_time location start_location finish_location age_restriction_text registration_status registration_text lifecycle_status lifecycle_text summary summary_alt summary_short".split()}
 CSV_VALUES = CSV_WORDS | {c: "'2024-01-01'" for c in "occurrence_starts_on occurrence_ends_on registration_opens_at registration_closes_at first_seen_at last_seen_at last_crawled_at".split()} | {
     "id": "o_orderkey", "organiser_id": "o_custkey", "organiser_name": "c_name", "status": "'valid'", "occurrence_weekdays": "CASE WHEN o_orderkey % 2 = 0 THEN 'sat, sun' END", "latitude": "CAST(1.5 AS DOUBLE)", "longitude": "CAST(-2.5 AS DOUBLE)",
-    "distances": "''", "occurrences": "CASE WHEN o_orderkey % 3 <> 0 THEN '' WHEN o_orderkey % 2 = 0 THEN 'Day 0 9 am; Day 1 9 am: £5' ELSE 'Day 0; Day 1: £5' END", "url": "'https://events.example/' || o_orderkey || '/'",
+    "distances": "coalesce(line, '')", "occurrences": "CASE WHEN o_orderkey % 3 <> 0 THEN '' WHEN o_orderkey % 2 = 0 THEN 'Day 0 9 am; Day 1 9 am: £5' ELSE 'Day 0; Day 1: £5' END", "url": "'https://events.example/' || o_orderkey || '/'",
 }
-CSV_SQL = "SELECT " + ", ".join(f"{CSV_VALUES[c]} AS {c}" for c in report.CSV_COLUMNS) + " FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P'"
+CSV_LINES = """x AS (
+  SELECT event_id, string_agg(distance_text || coalesce(' [' || label || ']', '') || coalesce(': ' || price_text, ''), '; ' ORDER BY sort_order) AS line FROM distances GROUP BY event_id)"""
+CSV_SQL = f"WITH {roles.DISTANCES_SQL}, {CSV_LINES} SELECT " + ", ".join(f"{CSV_VALUES[c]} AS {c}" for c in report.CSV_COLUMNS) + " FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN x ON event_id = o_orderkey WHERE o_orderstatus <> 'P'"
 
 
 def organiser_filter(spark, d):

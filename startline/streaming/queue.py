@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from startline.operators.robots import DELAY_CAP
 from startline.sources.files import decode_message
 
 LISTING = "organiser_id long"
@@ -56,29 +59,70 @@ def upserts(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoi
 
 
 class Pacing(StatefulProcessor):
-    """Start times of one site's requests, `delay` seconds apart at least; the last start is the state."""
+    """Requests of one site wait in its state and leave when they are due, their delay apart at least.
+
+    Requests are put in order once the watermark has passed their arrival, so it does not matter how micro-batches cut
+    them; a timer is set for the next that is due. The last start outlives an empty queue.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at double, id long, delay double")
         self.last = handle.getValueState("last", "at double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        """All chunks of a micro-batch are put in order together: 16 bytes a request of one site."""
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [r for part in rows for r in zip(part["at"].astype(float), part["id"].astype(int), part["delay"].astype(float), strict=True)]
+        return self._leave(key, [*self._queue(), *new], timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return self._leave(key, self._queue(), timerValues)
+
+    def _queue(self) -> list[tuple]:
+        return [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+
+    def _leave(self, key, queue: list[tuple], timer_values) -> Iterator[pd.DataFrame]:
+        now = timer_values.getCurrentWatermarkInMs() / 1000
         last = self.last.get()[0] if self.last.exists() else None
-        parts = [part[["arrival", "delay"]].astype(float) for part in rows]
-        asked = pd.concat(parts).sort_values("arrival", kind="stable") if parts else pd.DataFrame({"arrival": [], "delay": []})
-        starts = []
-        for at, delay in zip(asked["arrival"].tolist(), asked["delay"].tolist(), strict=True):
-            last = at if last is None or not delay > 0 else max(at, last + min(delay, 30.0))
-            starts.append(last)
-        for k in range(0, len(starts), 10_000):
-            yield pd.DataFrame({"site": key[0], "arrival": asked["arrival"].to_numpy()[k : k + 10_000], "starts": starts[k : k + 10_000]})
+        queue.sort()
+        gone = []
+        for at, id_, delay in queue:
+            due = at if last is None or not delay > 0 else max(at, last + min(delay, DELAY_CAP))
+            if due > now:  # those after it are due later
+                self.handle.registerTimer(int(due * 1000) + 1)
+                break
+            gone.append((id_, due))
+            last = due if delay > 0 else last
+        left = queue[len(gone) :]
+        if gone or left:
+            self.waiting.put(left) if left else self.waiting.clear()
         if last is not None:
             self.last.update((last,))
+        for k in range(0, len(gone), 10_000):
+            part = gone[k : k + 10_000]
+            yield pd.DataFrame({"site": key[0], "id": [g[0] for g in part], "starts": [g[1] for g in part]})
 
     def close(self) -> None:
         pass
 
 
-def paced(requests: DataFrame) -> DataFrame:
-    """site, arrival, starts of a stream of site, arrival and delay."""
-    return requests.groupBy("site").transformWithStateInPandas(Pacing(), "site string, arrival double, starts double", "Append", "None")
+def paced(requests: DataFrame, late: str = "1 hour") -> DataFrame:
+    """site, id, starts of a stream of site, id, arrival (timestamp) and delay; rows later than `late` are dropped.
+
+    Needs the RocksDB state store, see with_state().
+    """
+    seconds = F.unix_micros("arrival").cast("double") / 1_000_000
+    rows = requests.withWatermark("arrival", late).withColumn("at", seconds)
+    schema = T.StructType([requests.schema["site"], *T.StructType.fromDDL("id long, starts double").fields])
+    return rows.groupBy("site").transformWithStateInPandas(Pacing(), schema, "Append", "EventTime")
+
+
+@contextmanager
+def with_state(spark: SparkSession) -> Iterator[None]:
+    """Within it, streams keep their state in RocksDB, which state with timers needs."""
+    name, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -169,10 +169,8 @@ def test_lists(spark):
 
 
 def test_structured_data(spark):
-    fields = markup.structured_fields(F.col("v"))
-
     def read(page):
-        row = spark.createDataFrame([(page,)], "x string").withColumn("v", markup.first_event(F.col("x"))).select(*[c.alias(k) for k, c in fields.items()]).first()
+        row = markup.with_structured_fields(spark.createDataFrame([(page,)], "x string").withColumn("v", markup.first_event(F.col("x"))), "v", "found").select("found.*").first()
         return {k: v for k, v in row.asDict().items() if v is not None}
 
     block = '<script type="application/ld+json">%s</script>'

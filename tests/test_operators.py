@@ -223,3 +223,36 @@ def test_a_provider_is_asked_again_for_what_it_left_out(spark):
     assert sorted(r["url"] for r in got.collect()) == ["a", "bb"]
     assert asked == [(["a", "bb", "never"], 0.0), (["bb", "never"], 2.0), (["never"], 3.0), (["never"], 3.0)]
     assert lookups.retried(requests.where("url = 'a'"), lambda r, w: r.select("url")).count() == 1
+
+
+@pytest.mark.parametrize("seconds", [7.0, 3600.0])
+def test_pacing_in_ranges_of_time(spark, seconds):
+    """Sites of any load, ranges that leave a queue, null sites, delays and arrivals; against one queue for each site."""
+    rnd = random.Random(3)
+    asked = [(k, rnd.choice(["a", "b", None]), None if k % 50 == 0 else float(rnd.randrange(60)), {"a": 2.0, "b": 99.0, None: None}) for k in range(300)]
+    asked = [(k, s, a, d[s]) for k, s, a, d in asked]
+    want, last = {}, {}
+    for k, s, a, d in sorted(asked, key=lambda r: (r[2] is None, r[2], r[0])):
+        gap = min(d or 0.0, 30.0)
+        if a is None:
+            want[k] = None
+        elif gap > 0:
+            last[s] = want[k] = max(a, last.get(s, -1e9) + gap)
+        else:
+            want[k] = a
+    df = spark.createDataFrame(asked, "k int, site string, arrival double, delay double").repartition(3)
+    assert {r["k"]: r["starts"] for r in robots.paced(df, order=("k",), seconds=seconds).collect()} == want
+
+
+def test_following_more_walks_than_a_recursion_may_have_rows(spark):
+    links = spark.createDataFrame([("p0", "p1"), ("p1", "p2"), ("p2", "p0"), ("x", None)], "url string, next_url string")
+    starts = spark.range(1_100_000).select(F.when(F.col("id") < 3, F.concat(F.lit("p"), F.col("id").cast("string"))).otherwise(F.concat(F.lit("q"), F.col("id").cast("string"))).alias("url"))
+    got = listing.follow(links, starts)
+    assert got.count() == 1_100_000 + 6
+    assert sorted(map(tuple, got.where("start_url = 'p1'").collect())) == [("p1", "p0", 3), ("p1", "p1", 1), ("p1", "p2", 2)]
+    assert listing.follow(links, starts.where("url = 'p0'"), most=2).count() == 2
+
+
+def test_latest_of_ties_and_nulls(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("b", None, "z"), (None, 2, "n")], "key string, at int, v string")
+    assert sorted((r["v"], r["first_seen"]) for r in store.latest(rows, "key", "at").collect()) == [("n", 2), ("y", 1), ("z", None)]

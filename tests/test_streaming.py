@@ -38,44 +38,51 @@ def test_repeated_delivery_is_upserted_once(spark, tmp_path):
     assert sorted(r["url"] for r in table.read().collect()) == ["a", "b", "c"]
 
 
-def test_pacing_logic():
-    import pandas as pd
-
-    class State:
-        value = None
-
-        def exists(self):
-            return self.value is not None
-
-        def get(self):
-            return self.value
-
-        def update(self, v):
-            self.value = v
-
-    p = queue.Pacing()
-    p.last = State()
-    first = list(p.handleInputRows(("s",), iter([pd.DataFrame({"arrival": [0.0, 1.0], "delay": [5.0, 5.0]})]), None))
-    later = list(p.handleInputRows(("s",), iter([pd.DataFrame({"arrival": [2.0, 40.0], "delay": [5.0, 99.0]})]), None))
-    assert first[0]["starts"].tolist() == [0.0, 5.0]
-    assert later[0]["starts"].tolist() == [10.0, 40.0]
-
-
 def test_pacing_as_a_stream(spark, tmp_path):
-    """Two micro-batches of two sites: the state carries each site's last start over; agrees with the window."""
+    """Three micro-batches of two sites, out of order within the watermark; requests leave in the batch that passes them."""
     from startline.operators import robots
 
-    batches = [[("a", 0.0, 5.0), ("a", 1.0, 5.0), ("b", 3.0, 0.0), ("a", 0.5, 5.0)], [("a", 2.0, 5.0), ("a", 40.0, 5.0), ("b", 3.0, 0.0)]]
+    batches = [[("a", 1, 0, 5.0), ("a", 2, 3, 5.0), ("b", 3, 3, 0.0), ("a", 4, 2, 5.0)], [("a", 5, 1, 5.0), ("a", 6, 40, 5.0), ("b", 7, 3, 0.0)], [("a", 8, 41, 5.0), ("~", 9, 5000, 1.0)]]
     (tmp_path / "in").mkdir()
     for n, rows in enumerate(batches):
-        (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("site", "arrival", "delay"), r, strict=True))) for r in rows))
+        lines = [json.dumps({"site": s, "id": i, "arrival": f"2024-01-01T{at // 3600:02d}:{at // 60 % 60:02d}:{at % 60:02d}Z", "delay": d}) for s, i, at, d in rows]
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(lines))
         os.utime(tmp_path / "in" / f"{n}.json", (1000 + n, 1000 + n))  # files are read in the order of their times
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        stream = spark.readStream.schema("site string, arrival double, delay double").option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}/in")
-        got = sorted((r["site"], r["arrival"], r["starts"]) for r in store.drained(queue.paced(stream), "paced").collect())
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    rows = spark.createDataFrame([r for b in batches for r in b], "site string, arrival double, delay double")
-    assert got == sorted((r["site"], r["arrival"], r["starts"]) for r in robots.paced(rows).collect())
+    schema = "site string, id long, arrival timestamp, delay double"
+    with queue.with_state(spark):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}/in")
+        got = store.drained(queue.paced(stream, "10 seconds"), "paced").collect()
+    rows = spark.read.schema(schema).json(f"file://{tmp_path}/in").withColumn("at", F.unix_seconds("arrival").cast("double"))
+    want = robots.paced(rows, arrival="at", order=("id",)).where("site <> '~'").collect()
+    assert sorted((r["site"], r["id"], r["starts"]) for r in got) == sorted((r["site"], r["id"], r["starts"]) for r in want)
+
+
+def test_provider_answers_like_a_lookup(spark, tmp_path):
+    """Failures, tries and a site's waits, as a batch and as a stream that goes on where it ended."""
+    from startline.sources import providers
+
+    def stub(request, n):
+        if request["id"] % 5 > n:
+            raise ConnectionError("not yet")
+        return {"markdown": f"page {request['id']}"} if request["id"] % 7 else None
+
+    made = providers.source("stub", stub, "markdown string", tries=3, scale=0.0)
+    asked = spark.range(40).select(F.col("id"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("key"), (F.col("id") % 4).cast("string").alias("site"), F.lit(2.0).alias("delay"))
+    asked = asked.unionByName(asked.limit(1).withColumn("key", F.lit(None).cast("string")))
+    want = sorted((f"u{n}", f"page {n}", n % 5 + 1) for n in range(40) if n % 5 < 3 and n % 7)
+    assert sorted(map(tuple, providers.answers(asked, made).collect())) == want
+    for n in range(2):
+        providers.requested(asked.where(F.col("id") % 2 == n), f"file://{tmp_path}/in/batch-{n}")
+        stream = spark.readStream.format("stub").option("requests", f"file://{tmp_path}/in").load()
+        stream.writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/log").trigger(availableNow=True).start(f"file://{tmp_path}/out").awaitTermination()
+        got = sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/out").collect()))
+        assert got == [w for w in want if n or int(w[0][1:]) % 2 == 0]
+
+
+def test_waits_of_a_provider():
+    from startline.sources import providers
+
+    waits = []
+    assert providers.call(lambda request, n: {"x": n} if n == 2 else None, {}, 4, waits.append) == ({"x": 2}, 3)
+    assert providers.call(lambda request, n: None, {}, 6, waits.append) == (None, 6)
+    assert waits == [2.0, 4.0, 2.0, 4.0, 8.0, 16.0, 30.0]
