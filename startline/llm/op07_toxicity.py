@@ -126,10 +126,10 @@ def unit(idx: np.ndarray, tf: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Model:
-    """Terms, idf times evidence of each, the index, labels, class weights, the prior of texts without terms, the curve."""
+    """idf times evidence of each term, the index, labels, class weights, the prior of texts without terms, the curve."""
 
-    def __init__(self, number, by, examples, weights):
-        self.number, self.by, self.weights = number, by, weights
+    def __init__(self, by, examples, weights):
+        self.by, self.weights = by, weights
         own = [(e, unit(e[2], e[3], by)) for e in examples if len(e[2])]
         own.sort(key=lambda v: (v[1][0][np.argsort(-v[1][1], kind="stable")[:3]].tolist(), v[0][0]))  # of one strongest term side by side
         with_terms, vectors = [e for e, _ in own], [v for _, v in own]
@@ -186,8 +186,8 @@ def sample_of(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return bounded_sample(known, "toxic", "doc_id", sample, SEED)
 
 
-def terms_with_evidence(sampled: DataFrame) -> list[tuple[bytes, float]]:
-    """The sample's words and telling beginnings with their likelihood ratios, in order; from text, toxic."""
+def terms_with_evidence(sampled: DataFrame) -> tuple[dict[bytes, int], np.ndarray]:
+    """The sample's words and telling beginnings, numbered in order, and their likelihood ratios; from text, toxic."""
 
     def work(batches):
         for batch in pieces(batches, 4 << 20):
@@ -200,11 +200,12 @@ def terms_with_evidence(sampled: DataFrame) -> list[tuple[bytes, float]]:
 
     n = {r["toxic"]: r["n"] for r in sampled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
-        return []
+        return {}, np.zeros(0)
     counts = sampled.select("text", "toxic").mapInArrow(work, "term binary, toxic int").groupBy("term").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n"))
     ratios = counts.select("term", g2(F.col("a"), F.col("n") - F.col("a"), n[1], n[0]).alias("ratio"))
     star = F.endswith("term", F.lit("*").cast("binary"))
-    return sorted((bytes(r["term"]), r["ratio"]) for r in ratios.where(~star | (F.col("ratio") >= BEGINNING_G2)).collect())
+    found = ratios.where(~star | (F.col("ratio") >= BEGINNING_G2)).toArrow().sort_by("term")
+    return {t: n for n, t in enumerate(found.column("term").to_pylist())}, found.column("ratio").to_numpy()
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, examples: int = EXAMPLES) -> DataFrame:
@@ -221,10 +222,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     chosen = materialise(sample_of(rows, labels, sample), "toxic-sample")
     own = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     sampled = materialise(own, "toxic-texts")
-    found = terms_with_evidence(sampled)
-    number = {t: n for n, (t, _) in enumerate(found)}
+    number, ratios = terms_with_evidence(sampled)
+    terms, sent = len(number), docs.sparkSession.sparkContext.broadcast(number)
+    del number
 
     def count(batches):
+        number = sent.value
         df, total = np.zeros(len(number) + 1, np.int64), 0
         for batch in pieces(batches, 4 << 20):
             df += np.bincount(vectors_of([t or b"" for t in byte_values(batch.column(0))], number)[1], minlength=len(df))
@@ -232,29 +235,31 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         own = np.nonzero(df)[0]
         yield pa.RecordBatch.from_arrays([pa.array([*own.tolist(), -1], pa.int32()), pa.array([*df[own].tolist(), total], pa.int64())], ["i", "df"])
 
-    df = {r["i"]: r["df"] for r in rows.select("text").mapInArrow(count, "i int, df long").groupBy("i").agg(F.sum("df").alias("df")).collect()}  # a row for each term
-    total = df.get(-1, 0)
-    idf = np.array([math.log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(number))])
-    by = idf * evidence(np.array([r for _, r in found]))
+    counted = rows.select("text").mapInArrow(count, "i int, df long").groupBy("i").agg(F.sum("df").alias("df")).toArrow()  # a row for each term
+    df = np.zeros(terms + 1)  # the last, at -1, is the number of all texts
+    df[counted.column("i").to_numpy()] = counted.column("df").to_numpy()
+    by = (np.log((1 + df[-1]) / (1 + df[:terms])) + 1) * evidence(ratios)
 
     def vectors(batches):
         for batch in pieces(batches, 4 << 20):
-            sizes, idx, tf = vectors_of([t or b"" for t in byte_values(batch.column(2))], number)
+            sizes, idx, tf = vectors_of([t or b"" for t in byte_values(batch.column(2))], sent.value)
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (idx, tf))], ["doc_id", "toxic", "idx", "tf"])
 
     few = sampled.join(F.broadcast(sample_of(rows, labels, examples)), ["doc_id", "toxic"]).select("doc_id", "toxic", "text")
     few = few.mapInArrow(vectors, schema_of(rows, "doc_id", "toxic int, idx array<int>, tf array<int>"))
-    known_examples = [(r["doc_id"], r["toxic"], np.array(r["idx"], np.int64), np.array(r["tf"], float)) for r in few.collect()]  # the examples
+    few = few.toArrow().combine_chunks()  # the examples
+    arrays = [[x.values.to_numpy() for x in few.column(c)] for c in ("idx", "tf")]
+    known_examples = [(d, t, i.astype(np.int64), f.astype(float)) for d, t, i, f in zip(few.column("doc_id").to_pylist(), few.column("toxic").to_pylist(), *arrays, strict=True)]
     n = {c: max(1, sum(1 for e in known_examples if e[1] == c)) for c in (0, 1)}
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(remainder("doc_id", 5) != 0)
     whole = {r["toxic"]: r["n"] for r in known.groupBy(F.col("toxic").cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    model = Model(number, by, known_examples, {c: whole.get(c, 0) / n[c] for c in (0, 1)})
+    model = Model(by, known_examples, {c: whole.get(c, 0) / n[c] for c in (0, 1)})
 
     def judge(batches):
         seen = {}
         for batch in pieces(batches, 4 << 20):
-            sizes, idx, tf = vectors_of([t or b"" for t in byte_values(batch.column(1))], model.number)
+            sizes, idx, tf = vectors_of([t or b"" for t in byte_values(batch.column(1))], sent.value)
             out, at = [], 0
             for size in sizes.tolist():
                 i, f = idx[at : at + size], tf[at : at + size]
