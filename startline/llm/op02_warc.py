@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from startline.llm.common import byte_values, materialise, pieces, salt_of, scratch, shared_files, target_file
+from startline.llm.common import byte_values, pieces, salt_of, scratch, shared_files, target_file
 
 FRAME, SKIPPABLE = b"\x28\xb5\x2f\xfd", 0x184D2A50
 FILE_BYTES = 64 << 20
@@ -219,7 +219,9 @@ def responses(pages: DataFrame, id_col: str, url_col: str, html_col: str, least:
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes one or more files for each partition; the manifest: name, records, bytes.
 
-    Null html is an empty payload. Pages without identifier are responses of identifier `None`, read back as null;
+    A file's name holds the task's attempt, and the manifest in the folder, which Spark commits, names the files of
+    the attempts that ended well. What a lost or repeated attempt, or an earlier write, has left is in no manifest and
+    is not read. Null html is an empty payload. Pages without identifier are responses of identifier `None`, read back as null;
     rows that repeat the largest identifier of a payload are all responses. An empty table writes no file.
     """
     words = train_dictionary(pages, html_col)
@@ -235,10 +237,10 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
                 for page_id, url, html, response_id in zip(batch.column(0).to_pylist(), byte_values(batch.column(1)), byte_values(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                     yield tool.compress(page_record(page_id, url, html, response_id))
 
-        rest, part, number = records(), TaskContext.get().partitionId(), 0
+        rest, part, attempt, number = records(), TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0
         now = next(rest, None)
         while now is not None:
-            name = f"pages-{part:06d}-{number:06d}.warc.zst"
+            name = f"pages-{part:06d}-{attempt}-{number:06d}.warc.zst"
             head = struct.pack("<II", DICTIONARY_MAGIC, len(words)) + words
             head += tool.compress(record("warcinfo", f"urn:x-file:{name}", b"format: WARC File Format 1.1\r\n", {"WARC-Filename": name}, "application/warc-fields"))
             out, place = target_file(folder, name)
@@ -253,19 +255,28 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
             yield pa.RecordBatch.from_pylist([{"name": name, "records": n, "bytes": size}])
 
     rows = responses(pages, id_col, url_col, html_col, least)
-    return materialise(rows.mapInArrow(work, "name string, records long, bytes long"), "warc-manifest")
+    rows.mapInArrow(work, MANIFEST).write.mode("overwrite").parquet(f"{folder}/{MANIFEST_FOLDER}")
+    return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/{MANIFEST_FOLDER}")
 
 
+MANIFEST, MANIFEST_FOLDER = "name string, records long, bytes long", "_manifest"
 FIELDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
 
 def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """Every response and revisit of the archives in a folder; raises WarcError on a file that is not whole.
 
+    With a manifest in the folder, its files are read, and one that is missing is an error; else all archives are.
+
     Each task streams its files from the folder. With payloads=False the payload column is null; records are decoded
     and checked all the same.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path")
+    manifest = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{MANIFEST_FOLDER}/_SUCCESS")
+    if manifest.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(manifest):
+        named = spark.read.schema(MANIFEST).parquet(f"{folder}/{MANIFEST_FOLDER}").select("name")
+        found = files.select("path", F.substring_index("path", "/", -1).alias("name"))
+        files = named.join(found, "name", "left").select(F.coalesce("path", F.raise_error(F.concat(F.lit("WarcError: missing "), "name"))).alias("path"))
 
     def work(batches):
         for path in chain.from_iterable(batch.column(0).to_pylist() for batch in batches):

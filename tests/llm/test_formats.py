@@ -163,6 +163,16 @@ def test_archives_roll(spark, tmp_path):
     files = op2.write_warc(pages, f"file://{tmp_path}/w", file_bytes=2000).collect()
     assert len(files) > 4 and sum(r["records"] for r in files) == 60
     assert sorted(r["page_id"] for r in op2.read_warc(spark, f"file://{tmp_path}/w").collect()) == list(range(60))
+    left = next((tmp_path / "w").glob("*.warc.zst"))  # as a lost attempt leaves one, whole or cut short
+    (tmp_path / "w" / "pages-000000-999-000000.warc.zst").write_bytes(left.read_bytes())
+    (tmp_path / "w" / "pages-000001-998-000000.warc.zst").write_bytes(left.read_bytes()[:-9])
+    assert op2.read_warc(spark, f"file://{tmp_path}/w").count() == 60
+    assert op2.write_warc(pages.limit(7), f"file://{tmp_path}/w").agg({"records": "sum"}).first()[0] == 7
+    assert op2.read_warc(spark, f"file://{tmp_path}/w").count() == 7
+    for name in (r["name"] for r in spark.read.parquet(f"file://{tmp_path}/w/_manifest").collect()):
+        (tmp_path / "w" / name).unlink()
+    with pytest.raises(Exception, match="missing"):
+        op2.read_warc(spark, f"file://{tmp_path}/w").collect()
 
 
 def test_spans_point_into_the_original():
