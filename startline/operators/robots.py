@@ -46,17 +46,44 @@ def rules(robots: DataFrame, agent: str) -> DataFrame:
     return paths.unionByName(shut).join(delay, "site", "full").select("site", "allow", "pattern", "delay")
 
 
+def indexed(site_rules: DataFrame) -> DataFrame:
+    """Distinct rules with the literal that they are looked up by: side (head or tail), key, and whether it is all of them.
+
+    A path that a pattern matches begins with what stands before the pattern's first star, and if the pattern ends
+    with a dollar, ends with what stands behind its last star; the longer of the two is the key.
+    """
+    pattern, closed = F.col("pattern"), F.endswith("pattern", F.lit("$"))
+    body = F.regexp_replace(pattern, r"\$$", "")
+    starred = F.contains(body, F.lit("*"))
+    head, tail = F.substring_index(body, "*", 1), F.substring_index(body, "*", -1)
+    by_tail = closed & starred & (F.length(tail) > F.length(head))
+    rules_once = site_rules.where("pattern IS NOT NULL").select("site", "allow", "pattern").distinct()
+    return rules_once.withColumns({"side": F.when(by_tail, F.lit("tail")).otherwise(F.lit("head")), "key": F.when(by_tail, tail).otherwise(head), "plain": ~starred & ~closed})
+
+
+def met(asked: DataFrame, rules_by_key: DataFrame) -> DataFrame:
+    """asked (site, path) with the rules whose key the path begins or ends with.
+
+    A path is looked up under as many keys as its site has lengths of keys, whatever the number of its patterns.
+    """
+    lengths = rules_by_key.groupBy("site").agg(F.collect_set(F.struct("side", F.length("key").alias("n"))).alias("lengths"))
+    keys = asked.join(lengths, "site").withColumn("at", F.explode("lengths")).where(F.col("at.n") <= F.length("path"))
+    key = F.when(F.col("at.side") == "head", F.left("path", F.col("at.n"))).otherwise(F.right("path", F.col("at.n")))
+    return keys.select(*asked.columns, F.col("at.side").alias("side"), key.alias("key")).join(rules_by_key, ["site", "side", "key"])
+
+
 def allowed(urls: DataFrame, site_rules: DataFrame, registrator: Column | None = None, respect: bool = True) -> DataFrame:
     """urls (column url) with `allowed`: the longest matching pattern decides, allow wins ties, no match allows.
 
-    A registrator other than blank and `bot` has the site's own permission. The join is on the site; patterns are
-    held against path and query. All rows of an address share its answer.
+    A registrator other than blank and `bot` has the site's own permission. Paths meet patterns by the literals that
+    these begin or end with; only patterns with a star or a dollar are then held against path and query. All rows of
+    an address share its answer.
     """
     own = F.coalesce(registrator, F.lit("bot")) if registrator is not None else F.lit("bot")
     free = F.lit(not respect) | ~own.isin("", "bot")
     asked = urls.select("url").distinct().select("url", site_root(F.col("url")).alias("site"), path_and_query(F.col("url")).alias("path"))
-    met = asked.join(site_rules.where("pattern IS NOT NULL"), "site").where(F.rlike("path", pattern_regex(F.col("pattern"))))
-    verdict = met.groupBy("url").agg(F.max_by("allow", F.struct(F.length("pattern"), F.col("allow"))).alias("verdict"))
+    hit = met(asked, indexed(site_rules)).where(F.col("plain") | F.rlike("path", pattern_regex(F.col("pattern"))))
+    verdict = hit.groupBy("url").agg(F.max_by("allow", F.struct(F.length("pattern"), F.col("allow"))).alias("verdict"))
     return urls.join(verdict, "url", "left").withColumn("allowed", free | F.coalesce("verdict", F.lit(True))).drop("verdict")
 
 

@@ -211,6 +211,11 @@ def main_content_text(spark, d):
     return table(spark, d, "pages").select("page_id", markup.page_text("html").alias("markdown"))
 
 
+def dense_content(spark, d):
+    """Main content of pages by text density; tests hold a plain version beside it."""
+    return table(spark, d, "pages").select("page_id", markup.page_content("html").alias("markdown"))
+
+
 def load_more_excerpt(spark, d):
     """Excerpts of documents grown past the limit, with keywords at known places."""
     k = F.col("doc_id")
@@ -323,6 +328,7 @@ x AS (SELECT page_id, has, CASE WHEN kind = 'paginate' AND NOT has THEN 'none' E
     ),
     "robots_sitemap": (robots_sitemap, "SELECT count(*) FILTER (page_id % 3 <> 0) AS found, count(*) AS total, min('https://s/' || page_id) FILTER (page_id % 3 <> 0) AS first FROM pages"),
     "main_content_text": (main_content_text, None),
+    "dense_content": (dense_content, None),
     "load_more_excerpt": (load_more_excerpt, EXCERPT_SQL),
     "click_selectors": (click_selectors, "SELECT page_id, CASE page_id % 3 WHEN 0 THEN '#m button.b.c' WHEN 1 THEN '#go' ELSE 'i.x' END AS selector, CASE page_id % 3 WHEN 0 THEN 2 ELSE 0 END AS n FROM pages"),
     "price_repair": (price_repair, "SELECT p_partkey, sha256('Race' || chr(10) || 'Select Distance 5K  10K  Half Marathon' || chr(10) || '5K' || chr(10) || '£28' || chr(10) || '10K' || chr(10) || '£' || (p_partkey % 40) || chr(10) || 'Half Marathon' || chr(10) || '£36') AS sha FROM part"),
