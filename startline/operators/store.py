@@ -98,18 +98,6 @@ def latest(history: DataFrame, key: str, order: str) -> DataFrame:
     return best.select("_last.*", "first_seen")
 
 
-def carried_forward(history: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
-    """history with <column>_known: the last value so far that is not null."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return history.withColumns({f"{c}_known": F.last(c, ignorenulls=True).over(w) for c in columns})
-
-
-def changed(history: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """history with `changed`: whether the value differs from the one before; the first row of a key has changed."""
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(order))
-    return history.withColumn("changed", ~F.coalesce(before.eqNullSafe(F.col(value)) & F.lag(F.lit(1)).over(Window.partitionBy(key).orderBy(order)).isNotNull(), F.lit(False)))
-
-
 def grow_schema(rows: DataFrame, wanted: T.StructType, defaults: dict[str, object] | None = None) -> tuple[DataFrame, list[str]]:
     """rows with the wanted columns they lack, and the names of those left out.
 

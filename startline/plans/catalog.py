@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from startline.plans import crawl_queries, extract_queries, live_queries, report_queries, store_queries, whole_queries
+from startline.plans import crawl_queries, extract_queries, live_queries, people_queries, report_queries, store_queries, whole_queries
 
-MODULES = (report_queries, crawl_queries, extract_queries, whole_queries, store_queries, live_queries)
+MODULES = (report_queries, crawl_queries, extract_queries, whole_queries, store_queries, live_queries, people_queries)
 
 
 def queries() -> dict[str, Callable]:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from startline.functions import urls
-from startline.operators import store
+from startline.operators import runs, store
 from startline.plans.crawl_queries import QUERIES as CRAWL
 from startline.plans.roles import table
 from startline.sources import providers
@@ -46,7 +46,54 @@ def pacing_stream(spark, d):
     return got.where("site >= 0").select(F.col("id").alias("event_id"), "starts")
 
 
+def crawls(spark, d):
+    """Organisers' crawls and events that follow them, on one clock."""
+    e = table(spark, d, "events").select("event_id", F.col("user_id").alias("site"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return e.where("event_id % 5 = 0"), e.where("event_id % 5 <> 0")
+
+
+def last_crawl(spark, d):
+    """Each event with the last crawl of its site that is not after it."""
+    asked, events = crawls(spark, d)
+    return runs.as_of_join(events, asked, "site", "at", tie="event_id").select("event_id", F.col("found.event_id").alias("crawl_id"))
+
+
+def open_seasons(spark, d):
+    """Dates of orders within the seasons of their customer, each pair once."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("organiser_id"), F.unix_date(F.col("o_orderdate").cast("date")).alias("day"))
+    seasons = o.where("o_orderkey % 4 = 0").select("organiser_id", F.col("o_orderkey").alias("season"), F.col("day").alias("opens"), (F.col("day") + F.col("o_orderkey") % 200).alias("closes"))
+    return runs.within(o, seasons, "day", "opens", "closes", 90.0, ["organiser_id"]).select("o_orderkey", "season")
+
+
+def event_sessions(spark, d):
+    """Sessions of users from a stream in several micro-batches; a beat after all rows closes the last ones."""
+    e = table(spark, d, "events").select(F.col("user_id"), F.col("ts").cast("timestamp").alias("at"))
+    folder, (last,) = f"{store.shared_folder(spark)}/startline-sessions-{uuid.uuid4().hex}", e.agg(F.max("at")).first()
+    e.repartition(6).write.parquet(folder)
+    beat = e.limit(1).select(F.lit(-1).cast(e.schema["user_id"].dataType).alias("user_id"), (F.lit(last) + F.expr("INTERVAL 4000 DAYS")).alias("at"))
+    beat.write.mode("append").parquet(folder)
+    beat.withColumn("at", F.col("at") + F.expr("INTERVAL 4000 DAYS")).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    return store.drained(queue.sessions(stream, "user_id", "at", "6 hours", "3000 days"), "sessions").where("user_id >= 0")
+
+
 QUERIES = {
+    "last_crawl": (
+        last_crawl,
+        """WITH e AS (SELECT event_id, user_id, ts FROM events)
+SELECT a.event_id, (SELECT arg_max(b.event_id, (b.ts, b.event_id)) FROM e b WHERE b.user_id = a.user_id AND b.event_id % 5 = 0 AND b.ts <= a.ts) AS crawl_id FROM e a WHERE a.event_id % 5 <> 0""",
+    ),
+    "open_seasons": (
+        open_seasons,
+        """WITH o AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS day FROM orders)
+SELECT a.o_orderkey, s.o_orderkey AS season FROM o a JOIN o s USING (o_custkey) WHERE s.o_orderkey % 4 = 0 AND a.day >= s.day AND a.day < s.day + CAST(s.o_orderkey % 200 AS INTEGER)""",
+    ),
+    "event_sessions": (
+        event_sessions,
+        """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOURS THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)
+), s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts) AS starts, max(ts) + INTERVAL 6 HOURS AS ends, count(*) AS n FROM s GROUP BY user_id, k""",
+    ),
     "provider_read": (
         provider_read,
         "SELECT page_id, CASE WHEN page_id % 5 < 3 THEN length(html) END AS size, CASE WHEN page_id % 5 < 3 THEN md5(html) END AS digest, CASE WHEN page_id % 5 < 3 THEN CAST(page_id % 5 + 1 AS INTEGER) END AS tries FROM pages",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from startline.functions import text
-from startline.operators import decide, report, store
+from startline.operators import decide, report, runs, store
 from startline.plans import roles
 from startline.plans.roles import DISTANCES_SQL, PARTS_SQL, table
 
@@ -141,12 +141,12 @@ def mass_revert(spark, d):
 
 def coords_last_non_null(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "ts", F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("latitude")).withColumn("at", F.struct("ts", "event_id"))
-    return store.carried_forward(e, "user_id", "at", "latitude").select("event_id", "latitude_known")
+    return runs.carried_forward(e, "user_id", "at", "latitude").select("event_id", "latitude_known")
 
 
 def hash_change_detection(spark, d):
     h = table(spark, d, "documents").select("doc_id", "source", decide.content_hash(F.col("text")).alias("content_hash"))
-    return store.changed(h, "source", "doc_id", "content_hash").select("doc_id", "changed")
+    return runs.changed(h, "source", "doc_id", "content_hash").select("doc_id", "changed")
 
 
 def content_hash(spark, d):

@@ -126,3 +126,9 @@ def with_state(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(name, before)
+
+
+def sessions(rows: DataFrame, by: str, time: str, gap: str, late: str) -> DataFrame:
+    """by, starts, ends, n: runs of a key's rows less than `gap` apart, sent on once the watermark has passed their end."""
+    found = rows.withWatermark(time, late).groupBy(by, F.session_window(time, gap).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    return found.select(by, F.col("s.start").alias("starts"), F.col("s.end").alias("ends"), "n")
