@@ -207,7 +207,7 @@ def export(spark, a) -> dict:
     ids = lambda df: df.withColumn("event_id", F.xxhash64("url"))
     tree = report.event_tree(now.events.withColumn("id", F.xxhash64("url")), own(spark, base, "organisers"), ids(now.distances), ids(now.occurrences), "invalid" if a.format == "html-invalid" else "valid", a.organiser_id)
     if a.format == "csv":
-        return {"rows": report.write_csv(report.ordered(report.csv_rows(tree).withColumnRenamed("id", "id")), a.output)}
+        return {"rows": report.write_csv(report.ordered(report.csv_rows(tree), a.collation), a.output)}
     return {"events": report.event_type_report(tree, a.output) if a.format == "html-by-type" else report.organiser_report(tree, a.output)}
 
 
@@ -240,6 +240,7 @@ def parser() -> argparse.ArgumentParser:
         if name == "listing-queue":
             c.add_argument("--output", required=True)
     c = commands.add_parser("export")
+    c.add_argument("--collation", help="of the CSV's order by organiser, such as de or UNICODE")
     c.add_argument("--format", choices=("csv", "html", "html-by-type", "html-invalid"), default="csv")
     c.add_argument("--output", required=True)
     c.add_argument("--organiser-id", type=int)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from startline.functions import text
@@ -84,6 +85,27 @@ def csv_export_ordered(spark, d):
     return report.ordered(tree(spark, d)).select("id", "organiser_name")
 
 
+def accented(spark, d):
+    """Customers with names of many spellings."""
+    k = F.col("c_custkey")
+    word = F.get(F.array(*[F.lit(w) for w in ("Éclair", "eclair", "Eclair", "ECLAIR", "Zebra", "zèbre", "ébène", "Ebene", "apex", "Öl", "ol", "Straße", "strasse")]), (k % 13).cast("int"))
+    return table(spark, d, "customer").select(k.alias("id"), F.col("c_nationkey").alias("nation"), F.concat(word, F.lit(" "), (k % 3).cast("string")).alias("organiser_name"))
+
+
+def collated_order(spark, d):
+    """The place of every organiser in its nation by the order of a collation, not of bytes."""
+    w = Window.partitionBy("nation").orderBy(report.collated("organiser_name", "de"), "id")
+    return report.ordered(accented(spark, d), "de").withColumn("place", F.row_number().over(w))
+
+
+def collated_spellings(spark, d):
+    return report.spellings(accented(spark, d), "organiser_name")
+
+
+ACCENTED = """WITH a AS (SELECT c_custkey AS id, c_nationkey AS nation, (['Éclair', 'eclair', 'Eclair', 'ECLAIR', 'Zebra', 'zèbre', 'ébène', 'Ebene', 'apex', 'Öl', 'ol', 'Straße', 'strasse'])[c_custkey % 13 + 1] || ' ' || (c_custkey % 3) AS organiser_name FROM customer)
+"""
+
+
 def detail_blocks(spark, d):
     k, e = F.col("id"), roles.events(spark, d)
     dates = e.where("id % 6 = 0").select(k.alias("event_id"), F.lit(0).alias("sort_order"), F.concat(F.lit("Day "), k.cast("string")).alias("date_text"), F.when(k % 4 == 0, F.lit("9 am")).alias("time_text"), F.lit(None).cast("string").alias("price_text"))
@@ -168,6 +190,8 @@ def additive_schema(spark, d):
 
 CANON_SQL = f"WITH {PARTS_SQL} "
 QUERIES = {
+    "collated_order": (collated_order, ACCENTED + "SELECT *, CAST(row_number() OVER (PARTITION BY nation ORDER BY organiser_name COLLATE de, id) AS INTEGER) AS place FROM a"),
+    "collated_spellings": (collated_spellings, ACCENTED + ", g AS (SELECT organiser_name AS x, replace(lower(strip_accents(organiser_name)), 'ß', 'ss') AS k, count(*) AS n FROM a GROUP BY ALL) SELECT min(x) AS spelling, count(*) AS n, CAST(sum(n) AS BIGINT) AS rows FROM g GROUP BY k"),
     "event_organiser_join": (event_organiser_join, "SELECT o_orderkey AS id, o_custkey AS organiser_id, c_name AS organiser_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P'"),
     "event_distance_tree": (
         event_distance_tree,

@@ -7,7 +7,7 @@ import uuid
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from startline.operators import commits, store
+from startline.operators import commits, sketches, store
 from startline.plans.roles import table
 from startline.streaming import queue
 
@@ -91,7 +91,23 @@ def writers_meet(spark, d):
     return log.read("suppliers").withColumn("writers", F.lit(writers))
 
 
+def merged_sketches(spark, d):
+    """Distinct users and the median value of each kind of event, from daily sketches of three runs; how near they are."""
+    e = table(spark, d, "events").select("event_type", "user_id", "value", F.to_date(F.col("ts").cast("timestamp")).alias("day"))
+    log = new_log(spark, "sketches")
+    for n in range(3):
+        daily = sketches.sketched(e.where(F.pmod(F.unix_date("day"), F.lit(3)) == n), ["event_type", "day"], F.col("user_id"), F.col("value"))
+        log.commit(lambda base, daily=daily: {"daily": commits.Append(daily)}, "sketches", n)
+    found = sketches.estimates(sketches.merged(log.read("daily"), ["event_type"]), {"median": 0.5})
+    exact = e.join(found, "event_type").groupBy("event_type").agg(
+        F.countDistinct("user_id").alias("users"), F.max("n").alias("n"), F.max("distinct_estimate").alias("estimate"), (F.count_if(F.col("value") <= F.col("median")) / F.count("value")).alias("rank")
+    )
+    near = F.abs(F.col("estimate") - F.col("users")) <= 0.02 * F.col("users")
+    return exact.select("event_type", "n", "users", near.alias("users_near"), F.col("rank").between(0.48, 0.52).alias("median_near"))
+
+
 QUERIES = {
+    "merged_sketches": (merged_sketches, "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_near, true AS median_near FROM events GROUP BY event_type"),
     "replayed_batches": (replayed_batches, "SELECT user_id, count(*) AS events, count(*) AS audited FROM events GROUP BY user_id"),
     "incremental_merge": (incremental_merge, "SELECT c_custkey, c_name, CASE WHEN c_custkey % 100 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, true AS kept_right FROM customer"),
     "writers_meet": (writers_meet, "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 1 THEN 'renamed' ELSE s_name END AS s_name, s_acctbal + 1 AS s_acctbal, 'other,own' AS writers FROM supplier"),

@@ -1,5 +1,6 @@
 """Main content by text density, and robots rules by their literals, against plain versions."""
 
+import gzip
 import random
 import re
 from html.parser import HTMLParser
@@ -121,3 +122,12 @@ def test_many_rules_of_one_site_do_not_meet_every_path(spark):
     hit = robots.met(asked, robots.indexed(rules))
     assert hit.count() == 100_000 // 7 + 1
     assert hit.where("NOT plain").isEmpty()
+
+
+def test_packed_files_are_bounded():
+    text = bytes(range(256)) * 20_000
+    packed = gzip.compress(text[:700]) + gzip.compress(text) + gzip.compress(b"")
+    assert markup.unpacked(packed) == text[:700] + text
+    assert markup.unpacked(packed, most=5_000_000) is None and markup.unpacked(packed, most=len(text) + 700) is not None
+    assert markup.unpacked(packed[:-5]) is None and markup.unpacked(packed[:1000]) is None
+    assert markup.unpacked(b"\x1f\x8bjunk") is None and markup.unpacked(gzip.compress(b"x") + b"junk") is None
