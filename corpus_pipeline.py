@@ -1,10 +1,10 @@
 """From documents to packed token identifiers: five stages, each one operator of startline.llm.
 
 Every stage takes what its predecessor kept and returns the columns of documents, whatever else they are named; the
-last returns one row for each encoded document. Rows are told apart by all their columns, not by doc_id alone: rows
-that share a doc_id, or have none, are documents of their own. A null doc_id is never the one of a group that stays
-unless the group has no other. Null and empty texts have no language and end in the first stage. Rows that are equal
-in every column are one document from near-dedup on. Empty tables give empty results in every stage.
+last returns one row for each encoded document. Rows are told apart by all their columns but maps and variants, not by
+doc_id alone: rows that share a doc_id, or have none, are documents of their own. A null doc_id is never the one of a
+group that stays unless the group has no other. Null and empty texts have no language and end in the first stage. Rows
+that are equal in every column are one document from near-dedup on. Empty tables give empty results in every stage.
 """
 
 from __future__ import annotations
