@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from startline import __main__ as cli
-from startline.operators import decide, store
+from startline.operators import decide
 from startline.plans import crawl as plans
 from startline.plans import discovery
 from startline.sources import files, lookups
