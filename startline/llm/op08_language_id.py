@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from startline.llm.common import byte_values, pieces, worker_cache
+from startline.llm.common import byte_values, materialise, pieces, worker_cache
 
 SAMPLE, DICTIONARY, LEVEL, PIECE, MARGIN, SEED = 1500, 32 << 10, 6, 2048, 0.003, 8
+BROADCAST_LABELS = 1 << 16
 UNKNOWN = "und"
 NAMES = ("lang_pred", "lang_score", "lang_rejected")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -35,10 +36,13 @@ def fold(text: bytes | None) -> bytes:
 
 
 def bounded_sample(rows: DataFrame, label: str, id_col: str, per_label: int, seed: int) -> DataFrame:
-    """About per_label rows of each label, chosen by a hash of the identifier; all of a label that has fewer."""
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    """About per_label rows of each label, chosen by a hash of the identifier; all of a label that has fewer.
+
+    The counts of up to BROADCAST_LABELS labels are broadcast, so that rows stay where they are; more are joined.
+    """
+    counts = materialise(rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")), "label-counts")
     draw = F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1 << 30)) / float(1 << 30)
-    return rows.join(counts, label).where(draw < F.lit(float(per_label)) / F.col("_n")).drop("_n")
+    return rows.join(F.broadcast(counts) if counts.count() <= BROADCAST_LABELS else counts, label).where(draw < F.lit(float(per_label)) / F.col("_n")).drop("_n")
 
 
 def learn_dictionaries(train: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> dict[str, bytes]:
