@@ -27,10 +27,12 @@ from startline.llm.common import byte_values, coded_words, materialise, pieces,
 from startline.llm.op05_decontaminate import FOLD, words_of
 from startline.llm.op08_language_id import bounded_sample, remainder
 
-SAMPLE, EXAMPLES, NEIGHBOURS, BLOCK, SEED = 3000, 1000, 15, 128, 7
+SAMPLE, EXAMPLES, NEIGHBOURS, BLOCK, SEED = 3000, 1000, 15, 512, 7
 BEGINNINGS = (4, 5, 6)
 #: Likelihood-ratio statistic of a beginning that is a term; of a term that has half its weight; the least evidence.
 BEGINNING_G2, HALF_G2, LEAST_EVIDENCE = 10.0, 8.0, 0.001
+#: Words that a task remembers from one batch to the next.
+KNOWN_WORDS = 200_000
 SEPARATES = np.array([b == 32 for b in FOLD])
 FOLDED = np.frombuffer(FOLD, np.uint8)
 
@@ -52,11 +54,31 @@ def evidence(ratio: np.ndarray) -> np.ndarray:
     return np.maximum(LEAST_EVIDENCE, ratio**2 / (ratio**2 + HALF_G2**2))
 
 
-def vectors_of(texts: list[bytes], number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts together: how many terms each has, the terms' numbers and how often they occur."""
+def numbers_of(word: bytes, number: dict[bytes, int]) -> list[int]:
+    """The numbers of those of terms_of() that have one."""
+    own, size = number.get(word), len(word)
+    found = [] if own is None else [own]
+    for n in BEGINNINGS:
+        if size < n:
+            break
+        own = number.get(word[:n] + b"*")
+        if own is not None:
+            found.append(own)
+    return found
+
+
+def vectors_of(texts: list[bytes], number: dict[bytes, int], known: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts together (known remembers words from call to call): how many terms each has, the terms' numbers and how often they occur."""
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     starts, _, coded = coded_words(FOLDED[raw], SEPARATES[raw])
-    found = [[number[t] for t in terms_of(w) if t in number] for w in coded.dictionary.to_pylist()]
+    found = []
+    for w in coded.dictionary.to_pylist():
+        own = known.get(w)
+        if own is None:
+            own = known[w] = numbers_of(w, number)
+        found.append(own)
+    if len(known) > KNOWN_WORDS:
+        known.clear()
     sizes, flat = np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], np.int64)
     codes = coded.indices.to_numpy(zero_copy_only=False)
     ends = np.cumsum([len(t) + 1 for t in texts])
@@ -227,10 +249,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     del number
 
     def count(batches):
-        number = sent.value
+        number, known = sent.value, {}
         df, total = np.zeros(len(number) + 1, np.int64), 0
         for batch in pieces(batches, 4 << 20):
-            df += np.bincount(vectors_of([t or b"" for t in byte_values(batch.column(0))], number)[1], minlength=len(df))
+            df += np.bincount(vectors_of([t or b"" for t in byte_values(batch.column(0))], number, known)[1], minlength=len(df))
             total += batch.num_rows
         own = np.nonzero(df)[0]
         yield pa.RecordBatch.from_arrays([pa.array([*own.tolist(), -1], pa.int32()), pa.array([*df[own].tolist(), total], pa.int64())], ["i", "df"])
@@ -242,7 +264,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def vectors(batches):
         for batch in pieces(batches, 4 << 20):
-            sizes, idx, tf = vectors_of([t or b"" for t in byte_values(batch.column(2))], sent.value)
+            sizes, idx, tf = vectors_of([t or b"" for t in byte_values(batch.column(2))], sent.value, {})
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (idx, tf))], ["doc_id", "toxic", "idx", "tf"])
 
@@ -257,9 +279,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = Model(by, known_examples, {c: whole.get(c, 0) / n[c] for c in (0, 1)})
 
     def judge(batches):
-        seen = {}
+        seen, known = {}, {}
         for batch in pieces(batches, 4 << 20):
-            sizes, idx, tf = vectors_of([t or b"" for t in byte_values(batch.column(1))], sent.value)
+            sizes, idx, tf = vectors_of([t or b"" for t in byte_values(batch.column(1))], sent.value, known)
             out, at = [], 0
             for size in sizes.tolist():
                 i, f = idx[at : at + size], tf[at : at + size]
