@@ -36,8 +36,9 @@ def page_links_resolved(spark, d):
 
 
 def candidate_links(spark, d):
-    found = listing.page_links(table(spark, d, "pages"))
-    return found.select("url", F.array_join(F.array_sort(urls.candidate_links(F.col("links"), F.col("url"))), " ").alias("candidates"))
+    """Candidates of every page; pages of one url share them."""
+    found = listing.links_by_url(table(spark, d, "pages"), urls.candidate_links)
+    return found.select("url", F.array_join("links", " ").alias("candidates"))
 
 
 def junk_links(spark, d):
