@@ -192,9 +192,10 @@ def handler_registry(spark, d):
 
 
 def fetch_fallback(spark, d):
+    """Each page asked for by its own id: pages may share an address."""
     p = table(spark, d, "pages")
-    page = lambda rows, name: rows.select("url", F.lit(name).alias("markdown"), F.array().cast("array<string>").alias("links"), F.col("html"), F.col("url").alias("final_url"))
-    out = lookups.fetch(p.select("page_id", "url"), page(p.where("page_id % 3 = 0"), "first"), page(p.where("page_id % 2 = 0"), "second"))
+    page = lambda rows, name: rows.select("page_id", F.lit(name).alias("markdown"), F.array().cast("array<string>").alias("links"), F.col("html"), F.col("url").alias("final_url"))
+    out = lookups.fetch(p.select("page_id", "url"), page(p.where("page_id % 3 = 0"), "first"), page(p.where("page_id % 2 = 0"), "second"), key="page_id")
     return out.select("page_id", "markdown", F.length("html").cast("long").alias("size"), "fetched")
 
 

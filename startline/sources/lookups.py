@@ -26,14 +26,17 @@ SITEMAPS = "url string, xml string"
 NOT_ALLOWED = 405
 
 
-def fetch(requests: DataFrame, first: DataFrame, second: DataFrame | None = None, forced: str | None = None) -> DataFrame:
-    """Requests with markdown, links, html, final_url: from the first backend, else from the second; or one forced."""
+def fetch(requests: DataFrame, first: DataFrame, second: DataFrame | None = None, forced: str | None = None, key: str = "url") -> DataFrame:
+    """Requests with markdown, links, html, final_url: from the first backend, else from the second; or one forced.
+
+    Requests meet pages by `key`. Of several pages of one key in a backend each request gets the same one, the least.
+    """
     fields = ("markdown", "links", "html", "final_url")
     sources = {"first": first, "second": second}
     order = [sources[forced]] if forced else [s for s in (first, second) if s is not None]
     out = requests
     for n, pages in enumerate(order):
-        out = out.join(pages.select("url", F.struct(*fields).alias(f"_{n}")), "url", "left")
+        out = out.join(pages.groupBy(key).agg(F.min(F.struct(*fields)).alias(f"_{n}")), key, "left")
     found = F.coalesce(*[F.col(f"_{n}") for n in range(len(order))])
     return out.withColumns({f: found[f] for f in fields}).withColumn("fetched", found.isNotNull()).drop(*[f"_{n}" for n in range(len(order))])
 

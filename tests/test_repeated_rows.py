@@ -5,6 +5,7 @@ import pytest
 from conftest import same
 
 from startline.plans import catalog
+from startline.sources import lookups
 
 LINK = '<a href="/%s">x</a>'
 #: Two pages of one address with other links, a page alone, one without text and one without an address.
@@ -14,9 +15,16 @@ PAGES = [
 ]
 
 
-@pytest.mark.parametrize("name", ["candidate_links"])
+@pytest.mark.parametrize("name", ["candidate_links", "fetch_fallback"])
 def test_pages_that_share_an_address(spark, tmp_path, name):
     spark.createDataFrame(PAGES, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     same(catalog.queries()[name](spark, str(tmp_path)).toPandas(), con.sql(catalog.oracle_sql()[name]).df())
+
+
+def test_a_lookup_adds_no_requests(spark):
+    asked = spark.createDataFrame([("a",), ("a",), ("b",)], "url string")
+    pages = spark.createDataFrame([("a", m, [], "h", "a") for m in ("n", "m", "n")], lookups.PAGES)
+    got = lookups.fetch(asked, pages, pages)
+    assert sorted(tuple(r) for r in got.select("url", "markdown", "fetched").collect()) == [("a", "m", True), ("a", "m", True), ("b", None, False)]
