@@ -200,10 +200,11 @@ def fetch_fallback(spark, d):
 
 
 def liveness_probe(spark, d):
+    """Each page probed by its own id: pages may share an address."""
     p = table(spark, d, "pages")
     k = F.col("page_id")
-    probes = p.where("page_id % 4 <> 0").select("url", F.when(k % 3 == 0, 405).when(k % 5 == 0, 404).otherwise(200).alias("head_status"), F.when(k % 2 == 0, 410).otherwise(200).alias("get_status"))
-    out = lookups.liveness(p.select("page_id", "url"), probes)
+    probes = p.where("page_id % 4 <> 0").select("page_id", F.when(k % 3 == 0, 405).when(k % 5 == 0, 404).otherwise(200).alias("head_status"), F.when(k % 2 == 0, 410).otherwise(200).alias("get_status"))
+    out = lookups.liveness(p.select("page_id", "url"), probes, key="page_id")
     return out.select("page_id", "page_status", F.coalesce(F.col("page_status").isin(*coerce.GONE), F.lit(False)).alias("dead"))
 
 

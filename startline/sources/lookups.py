@@ -59,10 +59,14 @@ def retried(requests: DataFrame, provider: Callable[[DataFrame, float], DataFram
     return found
 
 
-def liveness(requests: DataFrame, probes: DataFrame) -> DataFrame:
-    """Requests with page_status: of HEAD, of GET where HEAD is not allowed; null if inconclusive."""
-    status = F.when(F.col("head_status") == NOT_ALLOWED, F.col("get_status")).otherwise(F.col("head_status"))
-    return requests.join(probes, "url", "left").withColumn("page_status", status).drop("head_status", "get_status")
+def liveness(requests: DataFrame, probes: DataFrame, key: str = "url") -> DataFrame:
+    """Requests with page_status: of HEAD, of GET where HEAD is not allowed; null if inconclusive.
+
+    Requests meet probes by `key`; of several probes of one key the least holds.
+    """
+    once = probes.groupBy(key).agg(F.min(F.struct("head_status", "get_status")).alias("_probe"))
+    status = F.when(F.col("_probe.head_status") == NOT_ALLOWED, F.col("_probe.get_status")).otherwise(F.col("_probe.head_status"))
+    return requests.join(once, key, "left").withColumn("page_status", status).drop("_probe")
 
 
 def answered(requests: DataFrame, answers: DataFrame, task: str, key: str = "key") -> DataFrame:

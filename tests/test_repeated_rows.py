@@ -15,7 +15,7 @@ PAGES = [
 ]
 
 
-@pytest.mark.parametrize("name", ["candidate_links", "fetch_fallback"])
+@pytest.mark.parametrize("name", ["candidate_links", "fetch_fallback", "liveness_probe"])
 def test_pages_that_share_an_address(spark, tmp_path, name):
     spark.createDataFrame(PAGES, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     con = duckdb.connect()
@@ -28,3 +28,5 @@ def test_a_lookup_adds_no_requests(spark):
     pages = spark.createDataFrame([("a", m, [], "h", "a") for m in ("n", "m", "n")], lookups.PAGES)
     got = lookups.fetch(asked, pages, pages)
     assert sorted(tuple(r) for r in got.select("url", "markdown", "fetched").collect()) == [("a", "m", True), ("a", "m", True), ("b", None, False)]
+    probes = spark.createDataFrame([("a", 405, 410), ("a", 200, None)], lookups.PROBES)
+    assert sorted(tuple(r) for r in lookups.liveness(asked, probes).collect()) == [("a", 200), ("a", 200), ("b", None)]
