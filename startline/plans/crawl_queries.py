@@ -275,9 +275,10 @@ def wide_union_sets(spark, d):
 
 
 def missing_links(spark, d):
-    found = listing.page_links(table(spark, d, "pages")).withColumn("links", F.array_distinct("links"))
-    confirmed = F.filter(F.col("links"), lambda u: F.length(u) % 2 == 0)
-    return found.select("url", F.array_join(F.array_sort(F.array_except("links", confirmed)), " ").alias("missing"))
+    """Links of every page that are not confirmed; pages of one url share them."""
+    confirmed = lambda links: F.filter(links, lambda u: F.length(u) % 2 == 0)
+    found = listing.links_by_url(table(spark, d, "pages"), lambda links, _: F.array_except(links, confirmed(links)))
+    return found.select("url", F.array_join("links", " ").alias("missing"))
 
 
 QUERIES = {

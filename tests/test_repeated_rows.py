@@ -15,7 +15,7 @@ PAGES = [
 ]
 
 
-@pytest.mark.parametrize("name", ["candidate_links", "fetch_fallback", "liveness_probe"])
+@pytest.mark.parametrize("name", ["candidate_links", "fetch_fallback", "liveness_probe", "missing_links"])
 def test_pages_that_share_an_address(spark, tmp_path, name):
     spark.createDataFrame(PAGES, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     con = duckdb.connect()
