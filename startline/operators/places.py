@@ -37,26 +37,33 @@ def nearest(points: DataFrame, places: DataFrame, k: int, digits: int = 6) -> Da
     """id, place, km, rank: the k nearest places of every point, of equal ones (to `digits` of km) the smaller place.
 
     From points (id, lat, lon) and places (place, lat, lon); rows without coordinates take no part, and a point has
-    fewer than k if there are no more. Cells hold about k places at first; points that are not sure of their k in
-    their surroundings look again in cells of twice the side.
+    fewer than k if there are no more. Points of equal coordinates are asked for once, and of places of equal
+    coordinates only the k smallest can be an answer. Cells hold about k of those at first; coordinates that are not
+    sure of their k in their surroundings look again in cells of twice the side.
     """
     known = lambda df: df.where("lat IS NOT NULL AND lon IS NOT NULL")
-    left, places = known(points).select("id", "lat", "lon"), store.settle(known(places).select("place", F.col("lat").alias("_lat"), F.col("lon").alias("_lon")))
+    points = known(points).select("id", "lat", "lon")
+    same = Window.partitionBy("lat", "lon").orderBy("place")
+    places = known(places).select("place", "lat", "lon").withColumn("n", F.row_number().over(same)).where(F.col("n") <= k)
+    left, places = store.settle(points.select("lat", "lon").distinct()), store.settle(places.select("place", F.col("lat").alias("_lat"), F.col("lon").alias("_lon")))
     side, done = min(2.0, math.sqrt(4 * math.pi * k / max(1, places.count()))), []
     around = F.explode(F.array(*[F.struct(*[F.lit(d).alias(c) for d, c in zip((x, y, z), "xyz", strict=True)]) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]))
-    best = Window.partitionBy("id").orderBy("km", "place")
+    best = Window.partitionBy("lat", "lon").orderBy("km", "place")
     while True:
         there = places.select("place", "_lat", "_lon", *[c.alias(n) for c, n in zip(cells(F.col("_lat"), F.col("_lon"), side), "xyz", strict=True)])
         asked = left.withColumns(dict(zip(("_x", "_y", "_z"), cells(F.col("lat"), F.col("lon"), side), strict=True))).withColumn("d", around)
-        asked = asked.select("id", "lat", "lon", *[(F.col(f"_{n}") + F.col(f"d.{n}")).alias(n) for n in "xyz"])
+        asked = asked.select("lat", "lon", *[(F.col(f"_{n}") + F.col(f"d.{n}")).alias(n) for n in "xyz"])
         met = asked.join(there, ["x", "y", "z"]).withColumn("far", chord(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")))
         if side < 2:
             met = met.where(F.col("far") <= side)  # beyond it others may be nearer
-        found = store.settle(met.withColumn("km", F.round(kilometres(F.col("far")), digits)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "place", "km", "rank"))
+        found = store.settle(met.withColumn("km", F.round(kilometres(F.col("far")), digits)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("lat", "lon", "place", "km", "rank"))
         if side >= 2:
-            return reduce(DataFrame.unionByName, [*done, found])
-        sure = found.where(F.col("rank") == k).select("id")
-        done.append(found.join(sure, "id", "left_semi"))
-        left, side = store.settle(left.join(sure, "id", "left_anti")), min(2.0, side * 2)
+            done.append(found)
+            break
+        sure = found.where(F.col("rank") == k).select("lat", "lon")
+        done.append(found.join(sure, ["lat", "lon"], "left_semi"))
+        left, side = store.settle(left.join(sure, ["lat", "lon"], "left_anti")), min(2.0, side * 2)
         if left.isEmpty():
-            return reduce(DataFrame.unionByName, done)
+            break
+    answers = reduce(DataFrame.unionByName, done)
+    return points.join(answers, ["lat", "lon"]).select("id", "place", "km", "rank")

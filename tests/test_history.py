@@ -80,6 +80,23 @@ def test_nearest_against_all_pairs(spark, n, k):
     assert {(r["id"], r["rank"]): r["place"] for r in found.collect()} == want
 
 
+def test_nearest_of_many_at_the_same_coordinates(spark, monkeypatch):
+    """Work goes by coordinates: of 900 places at three of them, k of each are looked at, and 300 points ask twice."""
+    settle, sizes = places.store.settle, []
+
+    def counted(rows):
+        sizes.append(rows.count())
+        return settle(rows)
+
+    monkeypatch.setattr(places.store, "settle", counted)
+    at = [(0.0, 0.0), (0.0, 90.0), (45.0, 10.0)]
+    venues = spark.createDataFrame([(v, *at[v % 3]) for v in range(900)], "place int, lat double, lon double")
+    points = spark.createDataFrame([(p, 1.0 + p % 2, 2.0) for p in range(300)], "id int, lat double, lon double")
+    found = {(r["id"], r["rank"]): r["place"] for r in places.nearest(points, venues, 4).collect()}
+    assert found == {(p, r + 1): 3 * r for p in range(300) for r in range(4)}
+    assert max(sizes) <= 12
+
+
 def test_as_of_and_intervals_against_loops(spark):
     rnd = random.Random(6)
     key = lambda: rnd.choice(["hot", "hot", "hot", "b", None])
