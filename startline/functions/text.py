@@ -150,11 +150,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def keyword_places(low: Column, word: str) -> Column:
-    """Array of the positions (from 0) of a word that cannot overlap itself."""
-    # what is split off before each hit, added up
-    sizes = F.transform(F.split(low, "\\Q" + word + "\\E", -1), lambda p: F.length(p))
-    places = lambda all: let(F.slice(all, 1, F.size(all) - 1), lambda before: F.transform(before, lambda _, i: F.aggregate(F.slice(before, 1, i + 1), F.lit(0), lambda s, x: s + x) + i * len(word)))
-    return let(sizes, places)
+    """Array of the positions (from 0) of a word that cannot overlap itself; a text without the word is not split."""
+    # what is split off before each hit, added up; what follows the last one is not measured
+    parts = F.split(low, "\\Q" + word + "\\E", -1)
+    sizes = let(parts, lambda all: F.transform(F.slice(all, 1, F.size(all) - 1), lambda p: F.length(p)))
+    places = let(sizes, lambda before: F.transform(before, lambda _, i: F.aggregate(F.slice(before, 1, i + 1), F.lit(0), lambda s, x: s + x) + i * len(word)))
+    return F.when(F.contains(low, F.lit(word)), places).otherwise(F.array().cast("array<int>"))
 
 
 def excerpt(html: Column) -> Column:
@@ -162,14 +163,14 @@ def excerpt(html: Column) -> Column:
 
     Overlapping windows are merged. Positions are characters.
     """
-    return let(html, _excerpt)
+    return let(html, lambda h: let(F.length(h), lambda size: _excerpt(h, size)))
 
 
-def _excerpt(html: Column) -> Column:
+def _excerpt(html: Column, size: Column) -> Column:
     span = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
     found = let(F.lower(html), lambda low: F.flatten(F.array(*[keyword_places(low, word) for word in MORE_KEYWORDS])))
     windows = F.array_sort(
-        F.concat(F.array(span(F.lit(0), F.lit(EXCERPT_HEAD))), F.transform(found, lambda p: span(F.greatest(p - EXCERPT_BEFORE, F.lit(0)), F.least(p + EXCERPT_AFTER, F.length(html)))))
+        F.concat(F.array(span(F.lit(0), F.lit(EXCERPT_HEAD))), F.transform(found, lambda p: span(F.greatest(p - EXCERPT_BEFORE, F.lit(0)), F.least(p + EXCERPT_AFTER, size))))
     )
     empty = F.array().cast("array<struct<a:int,b:int>>")
 
@@ -181,4 +182,4 @@ def _excerpt(html: Column) -> Column:
 
     merged = F.aggregate(windows, empty, add)
     cut = F.array_join(F.transform(merged, lambda w: F.substr(html, w["a"] + 1, w["b"] - w["a"])), EXCERPT_GAP)
-    return F.when(F.length(html) <= EXCERPT_MOST, html).otherwise(F.substring(cut, 1, EXCERPT_MOST))
+    return F.when(size <= EXCERPT_MOST, html).otherwise(F.substring(cut, 1, EXCERPT_MOST))

@@ -77,6 +77,13 @@ def test_key_values(spark):
     assert value(spark, text.key_values(F.col("x")), x=["a=1", "b=x=y", "c", "a=2"]) == {"a": "2", "b": "x=y", "c": ""}
 
 
+def test_a_text_is_split_for_the_keywords_it_has(spark):
+    places = text.keyword_places(F.col("x"), "more")
+    assert [value(spark, places, x=x) for x in ("no", "more", "x more more y")] == [[], [0], [2, 7]]
+    plan = spark.createDataFrame([("no",)], "x string").select(places)._jdf.queryExecution().analyzed().toString()
+    assert plan.index("CASE WHEN contains(x") < plan.index("split(x")
+
+
 def test_excerpt_against_a_loop(spark):
     import random
 
