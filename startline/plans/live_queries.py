@@ -30,18 +30,18 @@ def provider_read(spark, d):
 
 
 def pacing_stream(spark, d):
-    """Crawl pacing by state and timers: requests in the order of their days, some of each in one micro-batch."""
+    """Crawl pacing by state and timers: requests in the order of their days, a third of all in each micro-batch."""
     e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("site"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("arrival"), ((F.col("user_id") % 4) * 20).cast("double").alias("delay"))
     first, last = e.agg(F.min("arrival"), F.max("arrival")).first()
-    folder, parts = f"{store.shared_folder(spark)}/startline-paced-{uuid.uuid4().hex}", 3
+    folder, parts, files = f"{store.shared_folder(spark)}/startline-paced-{uuid.uuid4().hex}", 3, 8
     span = (last - first).total_seconds() / parts + 1
     number = F.floor((F.unix_seconds("arrival") - F.unix_seconds(F.lit(first))) / span)
     for n in range(parts):
-        e.where(number == n).write.mode("append").parquet(folder)
+        e.where(number == n).repartition(files).write.mode("append").parquet(folder)
     # a beat long after all requests lets the last of them go
     e.limit(1).select(F.lit(0).cast("long").alias("id"), F.lit(-1).cast(e.schema["site"].dataType).alias("site"), (F.lit(last) + F.expr("INTERVAL 1000 DAYS")).alias("arrival"), F.lit(1.0).alias("delay")).write.mode("append").parquet(folder)
     with queue.with_state(spark):
-        stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 8).parquet(folder)
+        stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(folder)
         got = store.drained(queue.paced(stream, f"{int(span) + 1} seconds"), "paced")
     return got.where("site >= 0").select(F.col("id").alias("event_id"), "starts")
 

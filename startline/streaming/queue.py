@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from startline.operators.robots import DELAY_CAP
@@ -59,61 +59,74 @@ def upserts(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoi
 
 
 class Pacing(StatefulProcessor):
-    """Requests of one site wait in its state and leave when they are due, their delay apart at least.
+    """Requests wait in the state of their bucket and leave when they are due, their site's delay apart at least.
 
-    Requests are put in order once the watermark has passed their arrival, so it does not matter how micro-batches cut
-    them; a timer is set for the next that is due. The last start outlives an empty queue.
+    Requests of a site are put in order once the watermark has passed their arrival, so it does not matter how
+    micro-batches cut them; one timer is set for the next of a bucket that is due. A site's last start outlives an
+    empty queue. A bucket holds many sites, as every call and every read of state costs more than many rows; its state
+    is one value: requests by site, last starts by site, the timer.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at double, id long, delay double")
-        self.last = handle.getValueState("last", "at double")
+        self.state = handle.getValueState("state", "data binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [r for part in rows for r in zip(part["at"].astype(float), part["id"].astype(int), part["delay"].astype(float), strict=True)]
-        return self._leave(key, [*self._queue(), *new], timerValues)
+        waiting, last, timer = self._kept()
+        for part in rows:
+            for site, *request in zip(part["site"], part["at"].astype(float), part["id"].astype(int), part["delay"].astype(float), strict=True):
+                waiting.setdefault(site, []).append(tuple(request))
+        return self._leave(waiting, last, timer, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        return self._leave(key, self._queue(), timerValues)
+        return self._leave(*self._kept(), timerValues)
 
-    def _queue(self) -> list[tuple]:
-        return [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+    def _kept(self) -> tuple[dict, dict, int | None]:
+        found = self.state.get()
+        return ({}, {}, None) if found is None else pickle.loads(bytes(found[0]))
 
-    def _leave(self, key, queue: list[tuple], timer_values) -> Iterator[pd.DataFrame]:
+    def _leave(self, waiting: dict, last: dict, timer: int | None, timer_values) -> Iterator[pd.DataFrame]:
         now = timer_values.getCurrentWatermarkInMs() / 1000
-        last = self.last.get()[0] if self.last.exists() else None
-        queue.sort()
-        gone = []
-        for at, id_, delay in queue:
-            due = at if last is None or not delay > 0 else max(at, last + min(delay, DELAY_CAP))
-            if due > now:  # those after it are due later
-                self.handle.registerTimer(int(due * 1000) + 1)
-                break
-            gone.append((id_, due))
-            last = due if delay > 0 else last
-        left = queue[len(gone) :]
-        if gone or left:
-            self.waiting.put(left) if left else self.waiting.clear()
-        if last is not None:
-            self.last.update((last,))
+        gone, left, nexts = [], {}, []
+        for site, queue in waiting.items():
+            queue.sort()
+            before, n = last.get(site), 0
+            for at, id_, delay in queue:
+                due = at if before is None or not delay > 0 else max(at, before + min(delay, DELAY_CAP))
+                if due > now:  # those after it are due later
+                    nexts.append(due)
+                    break
+                gone.append((site, id_, due))
+                before = due if delay > 0 else before
+                n += 1
+            if n < len(queue):
+                left[site] = queue[n:]
+            if before is not None:
+                last[site] = before
+        wanted = int(min(nexts) * 1000) + 1 if nexts else None
+        if timer != wanted:
+            if timer is not None and timer > now * 1000:
+                self.handle.deleteTimer(timer)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        self.state.update((pickle.dumps((left, last, wanted)),))
         for k in range(0, len(gone), 10_000):
-            part = gone[k : k + 10_000]
-            yield pd.DataFrame({"site": key[0], "id": [g[0] for g in part], "starts": [g[1] for g in part]})
+            yield pd.DataFrame(gone[k : k + 10_000], columns=["site", "id", "starts"])
 
     def close(self) -> None:
         pass
 
 
-def paced(requests: DataFrame, late: str = "1 hour") -> DataFrame:
+def paced(requests: DataFrame, late: str = "1 hour", buckets: int = 2048) -> DataFrame:
     """site, id, starts of a stream of site, id, arrival (timestamp) and delay; rows later than `late` are dropped.
 
-    Needs the RocksDB state store, see with_state().
+    Sites share the state of `buckets`. Needs the RocksDB state store, see with_state().
     """
     seconds = F.unix_micros("arrival").cast("double") / 1_000_000
-    rows = requests.withWatermark("arrival", late).withColumn("at", seconds)
-    schema = T.StructType([requests.schema["site"], *T.StructType.fromDDL("id long, starts double").fields])
-    return rows.groupBy("site").transformWithStateInPandas(Pacing(), schema, "Append", "EventTime")
+    # a site is a string on its way through Python, where a column of numbers with a null would be another type
+    rows = requests.withWatermark("arrival", late).select(F.pmod(F.hash("site"), F.lit(buckets)).alias("bucket"), F.col("site").cast("string").alias("site"), "id", "arrival", "delay", seconds.alias("at"))
+    found = rows.groupBy("bucket").transformWithStateInPandas(Pacing(), "site string, id long, starts double", "Append", "EventTime")
+    return found.select(F.col("site").cast(requests.schema["site"].dataType).alias("site"), "id", "starts")
 
 
 @contextmanager

@@ -57,6 +57,27 @@ def test_pacing_as_a_stream(spark, tmp_path):
     assert sorted((r["site"], r["id"], r["starts"]) for r in got) == sorted((r["site"], r["id"], r["starts"]) for r in want)
 
 
+def test_pacing_keeps_many_sites_in_one_state(spark, tmp_path):
+    """Forty sites, one of them null, in three states: as each alone, over micro-batches that cut their queues."""
+    from startline.operators import robots
+
+    (tmp_path / "in").mkdir()
+    for n in range(3):
+        lines = [json.dumps({"site": i % 40 or None, "id": 1000 * n + i, "arrival": f"2024-01-01T00:{n * 10 + i * 7 % 10:02d}:{i % 60:02d}Z", "delay": float(i % 4 * 20)}) for i in range(200)]
+        lines += [json.dumps({"site": -1, "id": 9999, "arrival": "2024-01-03T00:00:00Z", "delay": 1.0})] * (n == 2)
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(lines))
+        os.utime(tmp_path / "in" / f"{n}.json", (1000 + n, 1000 + n))
+    schema = "site long, id long, arrival timestamp, delay double"
+    with queue.with_state(spark):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}/in")
+        found = queue.paced(stream, "10 minutes", buckets=3)
+        assert found.schema["site"].dataType.simpleString() == "bigint"
+        got = store.drained(found, "paced").collect()
+    rows = spark.read.schema(schema).json(f"file://{tmp_path}/in").withColumn("at", F.unix_seconds("arrival").cast("double")).where("id <> 9999").fillna({"site": 0})
+    want = robots.paced(rows, arrival="at", order=("id",)).collect()
+    assert sorted((r["site"] or 0, r["id"], r["starts"]) for r in got) == sorted((r["site"], r["id"], r["starts"]) for r in want)
+
+
 def test_provider_answers_like_a_lookup(spark, tmp_path):
     """Failures, tries and a site's waits, as a batch and as a stream that goes on where it ended."""
     from startline.sources import providers
