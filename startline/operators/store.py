@@ -133,6 +133,11 @@ def settle(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt over all cores by keys, for a step that costs far more than its small file's few row groups show."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """What a stream has now, written to a new place in the shared folder by its own query; the driver holds none of it."""
     spark = stream.sparkSession

@@ -241,7 +241,7 @@ def click_selectors(spark, d):
 
 
 def price_repair(spark, d):
-    p = table(spark, d, "part")
+    p = store.spread(table(spark, d, "part").select("p_partkey"), "p_partkey")
     k = F.col("p_partkey")
     page = F.concat(F.lit("Race\nSelect Distance 5K  10K  Half Marathon\n"), F.when(k % 2 == 0, F.lit("5K\n")).otherwise(F.lit("")), F.lit("£28\n10K\n£"), (k % 40).cast("string"), F.lit("\nHalf Marathon\n£36"))
     return p.select("p_partkey", F.sha2(markup.prices_repaired(page), 256).alias("sha"))

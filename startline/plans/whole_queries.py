@@ -115,7 +115,7 @@ def listing_caps(spark, d):
 
 def main_text_rule(spark, d):
     """Main text of generated pages: furniture goes, a card's header stays."""
-    p, k = table(spark, d, "part"), F.col("p_partkey").cast("string")
+    p, k = store.spread(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey"), F.col("p_partkey").cast("string")
     page = F.concat(
         F.lit("<html><body><nav><a href='/'>Home</a></nav><header><h1>"), F.col("p_name"), F.lit("</h1></header><main><h2>Part "), k, F.lit("</h2><p>One  <b>bold</b>\n word</p><ul><li>a</li><li>b</li></ul><script>x()</script></main><aside>ads</aside><footer>end</footer></body></html>")
     )

@@ -5,10 +5,12 @@ import random
 import re
 from html.parser import HTMLParser
 
+import pytest
 from pyspark.sql import functions as F
 
 from startline.functions import markup
 from startline.operators import robots
+from startline.plans import catalog
 
 GONE = {"nav", "footer", "aside", "script", "style", "noscript"}
 ADDS = {"article": 0.2, "main": 0.2, "section": 0.05, "p": 0.1, "blockquote": 0.1, "pre": 0.1, "table": 0.05, "div": 0.0, "ul": 0.0, "ol": 0.0, "header": 0.0, "form": -0.2}
@@ -81,6 +83,11 @@ def test_content_of_pages(spark, data):
         assert re.sub(r"[#*|]", " ", got[r["page_id"]]).split() == plain
 
 
+@pytest.mark.parametrize("name", ["main_text_rule", "price_repair"])
+def test_pages_made_from_a_small_file_are_parsed_by_all_cores(spark, data, name):
+    assert catalog.queries()[name](spark, data).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_what_goes_and_what_stays():
     page = """<body><div class="top-menu">Home and a long line that only looks like text of a page</div><div><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></div>
       <main><header><h2>10K race</h2> £25</header><p>The start is at the hall at nine, and <a href=3>the map</a> shows the way to it.</p><div><p>Short.</p></div></main>
